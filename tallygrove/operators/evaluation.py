@@ -423,6 +423,11 @@ def decisions(df: DataFrame, t: float, keep: Sequence[str] = ("id",), p: str = "
     return df.select(*keep, F.col(p).alias("p"), (F.col(p) >= F.lit(float(t))).cast("int").alias("reject"))
 
 
+def cumulative_capture(gains: DataFrame) -> DataFrame:
+    """Bin against cumulative capture, from a gains table."""
+    return gains.select("decile", "capture")
+
+
 # ---------------------------------------------------------------- packs
 
 

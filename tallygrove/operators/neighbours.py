@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallygrove.functions.scalars import hash_order
+from tallygrove.session import shared_folder
 
 BLOCK = 2048
 FIXED_SEED = 7
@@ -157,7 +158,9 @@ def knn(
 
     order = Window.partitionBy("id").orderBy("distance", "neighbour")
     first = asked.withColumn("cells", _first_cells(centre, held, reach, need)("vec"))
-    found = _search(first, celled, k, held, block, skip_self)
+    shared_folder(train.sparkSession)
+    # read three times below: kept as a table so that the search runs once
+    found = _search(first, celled, k, held, block, skip_self).checkpoint()
     radius = (
         found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
         .groupBy("id").agg(F.max("distance").alias("radius"))

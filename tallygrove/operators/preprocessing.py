@@ -72,6 +72,15 @@ class StandardScale:
         return ScaleModel({r["column"]: (r["mean"], r["std_pop"]) for r in rows}, self.eps)
 
 
+def with_statistics(df: DataFrame, train: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Add ``<c>_mean`` and ``<c>_std`` learnt on ``train``. They are two numbers per column, so they
+    go in as literals: no join is needed to bring fitted values to another split."""
+    stats = StandardScale(cols).fit(train).stats
+    return df.withColumns(
+        {f"{c}_{k}": F.lit(v) for c, pair in stats.items() for k, v in zip(("mean", "std"), pair)}
+    )
+
+
 def standardize_train_only(cols: Sequence[str], eps: float = 1e-12) -> StandardScale:
     return StandardScale(cols, eps)
 

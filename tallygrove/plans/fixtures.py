@@ -21,3 +21,52 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
         bad.cast("int").alias("label"),
         (price / (price + F.lit(250000.0))).alias("p"),
     )
+
+
+def scored_split(spark: SparkSession, folder: str, seed: int = 42) -> DataFrame:
+    from tallygrove.operators.splits import split_stratified
+
+    return split_stratified(scored(spark, folder), seed)
+
+
+def price_panel(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly mean unit price per brand: (month, ticker, price).
+
+    Line items are summed per part and month before they meet the parts.
+    """
+    line = table(spark, folder, "lineitem")
+    per_part = line.groupBy("l_partkey", F.trunc("l_shipdate", "month").alias("month")).agg(
+        F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), F.count(F.lit(1)).alias("n")
+    )
+    part = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
+    return (
+        per_part.join(part, "l_partkey")
+        .groupBy("month", "ticker")
+        .agg((F.sum("s") / F.sum("n")).alias("price"))
+    )
+
+
+def purchase_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Users x hours, 1 where the user bought in that hour: dense 0/1 cells."""
+    from tallygrove.sources.tables import with_positions
+
+    events = table(spark, folder, "events")
+    hours = events.groupBy("user_id").agg(
+        *[
+            F.max(((F.col("event_type") == "purchase") & (F.hour("ts") == h)).cast("int")).alias(f"h{h}")
+            for h in range(24)
+        ]
+    )
+    cells = F.posexplode(F.array(*[F.col(f"h{h}") for h in range(24)])).alias("col_idx", "value")
+    placed = with_positions(hours, "user_id")
+    return placed.select("row_idx", cells).select("row_idx", "col_idx", F.col("value").cast("double").alias("value"))
+
+
+def line_regression(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as a regression table: q, d, t in about 0..1, price in thousands."""
+    return table(spark, folder, "lineitem").select(
+        (F.col("l_quantity") / 50).alias("q"),
+        (F.col("l_discount") * 10).alias("d"),
+        (F.col("l_tax") * 10).alias("t"),
+        (F.col("l_extendedprice") / 1000).alias("y"),
+    )
