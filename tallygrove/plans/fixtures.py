@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.sources.tables import read_table
+from tallygrove.functions.scalars import floor_log, ordinal_encode, signed_log
+from tallygrove.operators.splits import split_stratified
+from tallygrove.sources.tables import read_table, with_positions
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,8 +26,6 @@ def scored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_split(spark: SparkSession, folder: str, seed: int = 42) -> DataFrame:
-    from tallygrove.operators.splits import split_stratified
-
     return split_stratified(scored(spark, folder), seed)
 
 
@@ -48,8 +48,6 @@ def price_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 def purchase_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Users x hours, 1 where the user bought in that hour: dense 0/1 cells."""
-    from tallygrove.sources.tables import with_positions
-
     events = table(spark, folder, "events")
     hours = events.groupBy("user_id").agg(
         *[
@@ -70,3 +68,37 @@ def line_regression(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("l_tax") * 10).alias("t"),
         (F.col("l_extendedprice") / 1000).alias("y"),
     )
+
+
+def equities(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as equities: logs of the balance and of the total ordered."""
+    spent = table(spark, folder, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.sum("o_totalprice").alias("spent"))
+    both = table(spark, folder, "customer").select("c_custkey", "c_acctbal").join(spent, "c_custkey", "left")
+    return both.select(
+        F.col("c_custkey").alias("id"),
+        signed_log(F.coalesce("c_acctbal", F.lit(0.0))).alias("style"),
+        floor_log(F.coalesce("spent", F.lit(0.0))).alias("size"),
+    )
+
+
+# fixed order of the part types, for the ordinal column
+LEVELS = {"ECONOMY": 1, "SMALL": 2, "STANDARD": 3, "MEDIUM": 4, "LARGE": 5, "PROMO": 6}
+
+
+def houses(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as houses: mean unit price sold (label), size, ordinal level, nominal brand."""
+    sold = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.count(F.lit(1)).alias("sold"),
+        F.avg("l_quantity").alias("mean_quantity"),
+        F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("label"),
+    )
+    return table(spark, folder, "part").join(sold, "p_partkey").select(
+        F.col("p_partkey").alias("id"),
+        (F.col("label") / 100).alias("label"),
+        F.col("p_size").cast("double").alias("size"),
+        F.coalesce(ordinal_encode("p_type", LEVELS), F.lit(0)).cast("double").alias("level"),
+        (F.col("p_retailprice") / 1000).alias("list_price"),
+        F.col("sold").cast("double").alias("sold"),
+        "mean_quantity",
+        F.col("p_brand").alias("brand"),
+    )
