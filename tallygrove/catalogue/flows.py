@@ -1 +1,71 @@
-"""."""
+"""End-to-end flows over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallygrove.catalogue.registry import register
+from tallygrove.operators import network, patterns as pt
+from tallygrove.plans import credit, housing, market
+from tallygrove.plans import fixtures as fx
+
+
+@register("flow_credit_features")
+def _(spark, folder):
+    return credit.engineer(fx.loans(spark, folder))
+
+
+@register("flow_credit_metrics")
+def _(spark, folder):
+    return credit.run(fx.loans(spark, folder), grid=[0.01, 1.0, 100.0]).tables["metrics"]
+
+
+@register("flow_credit_network")
+def _(spark, folder):
+    small = network.MlpParams(epochs=2)
+    return credit.run_network(fx.loans(spark, folder), n_trials=2, base=small)
+
+
+@register("flow_housing_models")
+def _(spark, folder):
+    table, features = housing.prepare(fx.iowa(spark, folder))
+    n = table.count()
+    return housing.compare(housing.split_and_scale(table, features, int(0.6 * n), int(0.2 * n)), search=2, trees=10)
+
+
+@register("flow_housing_strongest")
+def _(spark, folder):
+    table, features = housing.prepare(fx.iowa(spark, folder))
+    n = table.count()
+    return housing.strongest(housing.split_and_scale(table, features, int(0.6 * n), int(0.2 * n)), 0.3)
+
+
+@register("flow_return_factors")
+def _(spark, folder):
+    prices = fx.price_panel(spark, folder).withColumnRenamed("month", "date")
+    return market.return_factors(prices, 60).projection
+
+
+@register("flow_equity_clusters")
+def _(spark, folder):
+    raw = fx.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "--").otherwise(F.col("c_acctbal").cast("string")).alias("peg"),
+        F.concat(F.col("c_custkey").cast("string"), F.lit(".5")).alias("cap"),
+    )
+    return market.cluster_equities(market.clean_equities(raw))[0]
+
+
+@register("flow_run_regression")
+def _(spark, folder):
+    table = fx.line_regression(spark, folder).select("q", "d", F.col("y").alias("target"))
+    return market.run_regression(table, "target", 0.1)
+
+
+@register("flow_pattern_detection")
+def _(spark, folder):
+    cells = fx.purchase_cells(spark, folder)
+    kernel = [[1, 0, 0], [0, 1, 0], [0, 1, 0]]
+    lit = pt.highlight(cells, pt.match_by_sum(pt.convolve2d_valid(cells, kernel), kernel), kernel)
+    flagged = pt.matched_cells(cells, pt.match_by_cosine(cells, kernel), kernel).drop("value")
+    return lit.join(flagged, ["row_idx", "col_idx"])

@@ -13,6 +13,7 @@ from tallygrove.operators.evaluation import regression_metrics
 from tallygrove.operators.preprocessing import assemble
 from tallygrove.operators.splits import split_exact
 from tallygrove.plans import fixtures as fx
+from tallygrove.session import shared_folder
 
 # ------------------------------------------------------------------ gradient descent
 
@@ -241,10 +242,12 @@ def _(spark, folder):
 
 
 def _wide_returns(spark, folder):
-    prices = panel.tail_dates(fx.price_panel(spark, folder), "month", 60)
+    shared_folder(spark)
+    # brands x months, read several times below: written once
+    prices = panel.tail_dates(fx.price_panel(spark, folder).checkpoint(), "month", 60)
     returns = panel.date_align(panel.pct_change(prices, "ticker", "month", "price"), "ticker", "month", "ret")
     tickers = [r[0] for r in prices.select("ticker").distinct().orderBy("ticker").collect()]  # the columns
-    return panel.to_wide(returns, "ticker", "month", "ret", tickers), tickers
+    return panel.to_wide(returns, "ticker", "month", "ret", tickers).checkpoint(), tickers
 
 
 @register("l14_pca_shares")
@@ -315,7 +318,7 @@ def _(spark, folder):
 
 @register("l21_gradient_check")
 def _(spark, folder):
-    rows = network.training_rows(_features(spark, folder))
+    rows = network.training_rows(*_network_rows(spark, folder))
     p = network.MlpParams(layers=2, units=8, activation="tanh")
     off = network.gradient_check(rows, p, 3, network.initial(p, 3))
     rows.unpersist()

@@ -128,7 +128,7 @@ def linear_score(df: DataFrame, cols: Sequence[str], weights: Sequence[float], i
 def svm_linear(df: DataFrame, c: float = 1.0, features: str = "features", label: str = "label") -> LinearSVCModel:
     """Minimises ||w||^2 / 2 + c * total hinge loss."""
     return LinearSVC(
-        featuresCol=features, labelCol=label, regParam=1.0 / (df.count() * c), standardization=False, maxIter=1000, tol=1e-9
+        featuresCol=features, labelCol=label, regParam=1.0 / (df.count() * c), standardization=False, maxIter=500, tol=1e-8
     ).fit(df)
 
 

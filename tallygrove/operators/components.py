@@ -6,11 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallygrove.operators.statistics import covariance_matrix
-
 
 @dataclass(frozen=True)
 class Components:
@@ -40,18 +39,18 @@ class Components:
 
 
 def pca(df: DataFrame, cols: Sequence[str], k: int = 3) -> Components:
-    """Eigenpairs of the sample covariance. The matrix is built on the executors in one pass; its
-    k x k numbers are decomposed on the driver. Each loading vector is signed so that its largest
-    entry is positive."""
-    cells = covariance_matrix(df, cols).collect()  # len(cols) squared rows
-    at = {c: i for i, c in enumerate(cols)}
-    m = np.zeros((len(cols), len(cols)))
-    for r in cells:
-        m[at[r.col_a], at[r.col_b]] = r.value
-    values, vectors = np.linalg.eigh(m)
-    order = np.argsort(values)[::-1]
+    """Eigenpairs of the sample covariance, all eigenvalues and the first k loading vectors.
+
+    The covariance is summed on the executors in one pass; only its len(cols) squared numbers reach
+    the driver. Each loading vector is signed so that its largest entry is positive. Rows with a
+    null are left out.
+    """
+    clean = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).dropna()
+    rows = VectorAssembler(inputCols=list(cols), outputCol="_x").transform(clean).select("_x")
+    fitted = PCA(k=len(cols), inputCol="_x", outputCol="_pc").fit(rows)
+    spread = clean.agg(*[F.var_samp(f"`{c}`").alias(f"v{i}") for i, c in enumerate(cols)]).first()
+    total = sum(spread)
     lines = []
-    for i in order[:k]:
-        v = vectors[:, i]
+    for v in fitted.pc.toArray().T[:k]:
         lines.append((v * np.sign(v[np.argmax(np.abs(v))])).tolist())
-    return Components(cols, values[order].tolist(), lines)
+    return Components(cols, [float(s) * total for s in fitted.explainedVariance.toArray()], lines)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions.scalars import hash_order
-from tallygrove.operators.evaluation import auc_expr, log_loss_expr, score_points
+from tallygrove.operators.evaluation import log_loss_expr
 
 BLOCK = 4096  # numbers per block of an emitted weight vector
 BN_EPS = 1e-3
@@ -175,13 +175,28 @@ def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return x.astype(np.float64), batch.column("y").to_numpy(zero_copy_only=False).astype(np.float64)
 
 
-def training_rows(df: DataFrame, features: str = "features", label: str = "label", id_col: str = "id", seed: int = 42) -> DataFrame:
-    """Rows spread and ordered by hash: every task sees a fair, repeatable sample. Persisted."""
-    h = hash_order(id_col, seed)
-    spread = df.select(
-        F.col(id_col).alias("id"), vector_to_array(features, "float32").alias("x"), F.col(label).cast("double").alias("y"), h.alias("_h")
-    )
-    return spread.repartition("_h").sortWithinPartitions("_h", "id").persist(StorageLevel.MEMORY_AND_DISK)
+def training_rows(
+    train: DataFrame,
+    validation: DataFrame,
+    features: str = "features",
+    label: str = "label",
+    id_col: str = "id",
+    seed: int = 42,
+) -> DataFrame:
+    """Both parts in one table, spread and ordered by hash: every task sees a fair, repeatable
+    sample of each. Persisted."""
+
+    def shaped(df: DataFrame, part: str) -> DataFrame:
+        return df.select(
+            F.lit(part).alias("part"),
+            F.col(id_col).alias("id"),
+            vector_to_array(features, "float32").alias("x"),
+            F.col(label).cast("double").alias("y"),
+            hash_order(id_col, seed).alias("_h"),
+        )
+
+    both = shaped(train, "train").unionByName(shaped(validation, "validation"))
+    return both.repartition("_h").sortWithinPartitions("part", "_h", "id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _blocks(total: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
@@ -296,11 +311,35 @@ class MlpModel:
         )
 
 
-def _losses(model: MlpModel, rows: DataFrame) -> tuple[float, float]:
-    """Mean cross-entropy plus penalty, and AUC."""
-    scored = rows.select(F.col("y").alias("label"), model._scorer()("x").alias("p"))
-    loss = scored.agg(log_loss_expr()).first()[0]
-    return loss + model.penalty(), score_points(scored).agg(auc_expr()).first()[0]
+AUC_STEPS = 199  # the epoch table's AUC is read off this many evenly spaced thresholds
+
+
+def _losses(model: MlpModel, rows: DataFrame) -> dict[str, tuple[float, float]]:
+    """Per part: mean cross-entropy plus penalty, and AUC over a fixed grid of thresholds.
+
+    One job; what reaches the driver is a few hundred counts per part.
+    """
+    scored = rows.select("part", F.col("y").alias("label"), model._scorer()("x").alias("p"))
+    step = F.ceil(F.col("p") * F.lit(float(AUC_STEPS))).cast("int")
+    n = F.count(F.lit(1))
+    counts = scored.groupBy("part", step.alias("step")).agg(
+        n.alias("n"), F.sum("label").alias("pos"), (log_loss_expr() * n).alias("loss")
+    )
+    found = counts.collect()
+    out = {}
+    for part in {r.part for r in found}:
+        table = np.zeros((AUC_STEPS + 1, 2))
+        total = 0.0
+        for r in found:
+            if r.part == part:
+                table[r.step] = (r.n - r.pos, r.pos)
+                total += r.loss
+        reach = np.vstack([np.zeros(2), np.cumsum(table[::-1], axis=0)])
+        sizes = reach[-1]
+        area = float((np.diff(reach[:, 0]) * (reach[1:, 1] + reach[:-1, 1]) / 2).sum())
+        auc = float(area / (sizes[0] * sizes[1])) if sizes.all() else math.nan
+        out[part] = (float(total / sizes.sum() + model.penalty()), float(auc))
+    return out
 
 
 def fit_mlp(
@@ -317,20 +356,22 @@ def fit_mlp(
     ``epoch`` takes local minibatch steps and averages once an epoch; ``sync`` takes one exact
     full-batch step an epoch.
     """
-    fit_rows = training_rows(train, features, label, id_col, p.seed)
-    check_rows = training_rows(validation, features, label, id_col, p.seed)
+    rows = training_rows(train, validation, features, label, id_col, p.seed)
     try:
-        return _train(fit_rows, check_rows, p, mode)
+        return _train(rows, p, mode)
     finally:
-        fit_rows.unpersist()
-        check_rows.unpersist()
+        rows.unpersist()
 
 
-def _train(fit_rows: DataFrame, check_rows: DataFrame, p: MlpParams, mode: str) -> MlpModel:
+def _train(rows: DataFrame, p: MlpParams, mode: str = "epoch") -> MlpModel:
     if mode not in ("epoch", "sync"):
         raise ValueError(f"unknown mode '{mode}'")
-    shape = fit_rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("x")).alias("nx")).first()
-    nx, parts = shape.nx, fit_rows.rdd.getNumPartitions()
+    fit_rows = rows.where("part = 'train'")
+    sizes = fit_rows.select(F.size("x").alias("nx"), F.spark_partition_id().alias("part_no"))
+    shape = sizes.agg(
+        F.count(F.lit(1)).alias("n"), F.max("nx").alias("nx"), F.count_distinct("part_no").alias("parts")
+    ).first()
+    nx, parts = shape.nx, shape.parts
     state = initial(p, nx)
     size = _trained(p, nx)
     moments = np.zeros(2 * size)
@@ -346,8 +387,8 @@ def _train(fit_rows: DataFrame, check_rows: DataFrame, p: MlpParams, mode: str)
             step += 1
             adam(state, full_gradient(fit_rows, p, nx, state), moments[:size], moments[size:], step, rate, size)
         now = MlpModel(p, nx, state)
-        train_loss, train_auc = _losses(now, fit_rows)
-        val_loss, val_auc = _losses(now, check_rows)
+        measured = _losses(now, rows)
+        (train_loss, train_auc), (val_loss, val_auc) = measured["train"], measured["validation"]
         history.append((epoch, train_loss, train_auc, val_loss, val_auc))
         if math.isfinite(val_loss) and val_loss < best_loss:
             best, best_loss, bad = state, val_loss, 0
@@ -419,14 +460,13 @@ def mlp_random_search(
     train: DataFrame, validation: DataFrame, n_trials: int = 8, seed: int = 42, base: MlpParams = MlpParams(), **cols: str
 ) -> tuple[MlpModel, list[tuple[MlpParams, float]]]:
     """Best configuration by validation loss, trained once more; that run is the result."""
-    fit_rows, check_rows = training_rows(train, seed=seed, **cols), training_rows(validation, seed=seed, **cols)
+    rows = training_rows(train, validation, seed=seed, **cols)
     try:
         trials = []
         for t in range(n_trials):
             p = sample_params(t, seed, base)
-            trials.append((p, _train(fit_rows, check_rows, p, "epoch").val_loss))
+            trials.append((p, _train(rows, p).val_loss))
         winner = min(trials, key=lambda r: r[1])[0]
-        return _train(fit_rows, check_rows, winner, "epoch"), trials
+        return _train(rows, winner), trials
     finally:
-        fit_rows.unpersist()
-        check_rows.unpersist()
+        rows.unpersist()

@@ -46,12 +46,15 @@ def forward_fill(df: DataFrame, ticker: str, date: str, value: str, block: Colum
 def pct_change(
     df: DataFrame, ticker: str, date: str, price: str, fill: bool = True, block: Column | None = None
 ) -> DataFrame:
-    """Return against the row before, ``price / previous - 1``; each ticker's first row is dropped."""
-    if fill:
-        df = forward_fill(df, ticker, date, price, block)
-    prev = previous_value(df, ticker, date, price, "_prev", block=block)
-    ret = F.try_divide(price, "_prev") - 1
-    return prev.where(F.col("_prev").isNotNull()).select(date, ticker, ret.alias("ret"))
+    """Return against the row before, ``price / previous - 1``; rows without one are dropped.
+
+    With ``fill`` gaps take the last price present first. That price is also what the next row is
+    compared with, so one look back serves both.
+    """
+    prev = previous_value(df, ticker, date, price, "_prev", fill, block)
+    now = F.coalesce(price, "_prev") if fill else F.col(price)
+    ret = F.try_divide(now, "_prev") - 1
+    return prev.select(date, ticker, ret.alias("ret")).where(F.col("ret").isNotNull())
 
 
 def tail_dates(df: DataFrame, date: str, n: int) -> DataFrame:

@@ -92,17 +92,33 @@ def polyreg_gd(
     return linreg_gd(wide, [f"x{k}" for k in range(degree + 1)], "_y", rate, steps, tol)
 
 
-def ridge(df: DataFrame, alpha: float, features: str = "features", label: str = "label", fit_intercept: bool = True) -> LinearRegressionModel:
+# widest vector the library's one-pass normal equations take; wider ones iterate over the rows
+NORMAL_FEATURES = 4096
+
+
+def _width(df: DataFrame, features: str) -> int:
+    row = df.select(features).first()
+    if row is None:
+        raise ValueError("no rows to fit on")
+    return row[0].size
+
+
+def ridge(
+    df: DataFrame, alpha: float, features: str = "features", label: str = "label", fit_intercept: bool = True
+) -> LinearRegressionModel:
     """Minimises ||y - Xw - b||^2 + alpha ||w||^2 with a free intercept.
 
-    The library divides the objective by n and scales the label by its sample deviation s, so the
-    equal penalty is alpha * s / n.
+    The library divides the objective by n and scales the label by its deviation s, so the equal
+    penalty is alpha * s / n. Its normal equations (one pass over the rows) use the population
+    deviation, its iterative solver the sample one.
     """
-    stat = df.agg(F.count(label).alias("n"), F.stddev_samp(label).alias("s")).first()
+    one_pass = _width(df, features) <= NORMAL_FEATURES
+    spread = F.stddev_pop(label) if one_pass else F.stddev_samp(label)
+    stat = df.agg(F.count(label).alias("n"), spread.alias("s")).first()
     return LinearRegression(
         featuresCol=features,
         labelCol=label,
-        solver="l-bfgs",
+        solver="normal" if one_pass else "l-bfgs",
         elasticNetParam=0.0,
         standardization=False,
         regParam=alpha * stat.s / stat.n,
@@ -113,11 +129,12 @@ def ridge(df: DataFrame, alpha: float, features: str = "features", label: str =
 
 
 def lasso(df: DataFrame, alpha: float, features: str = "features", label: str = "label") -> LinearRegressionModel:
-    """Minimises ||y - Xw - b||^2 / 2n + alpha ||w||_1."""
+    """Minimises ||y - Xw - b||^2 / 2n + alpha ||w||_1. Up to a few thousand features the rows are
+    read once, for their moments."""
     return LinearRegression(
         featuresCol=features,
         labelCol=label,
-        solver="l-bfgs",
+        solver="normal" if _width(df, features) <= NORMAL_FEATURES else "l-bfgs",
         elasticNetParam=1.0,
         standardization=False,
         regParam=alpha,

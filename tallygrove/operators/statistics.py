@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,8 +59,47 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return _per_column(df, cols, {"n": F.count, "mean": F.avg, "var_pop": F.var_pop, "std_pop": F.stddev_pop})
 
 
+WIDE = 12  # beyond this many columns one aggregate per pair makes the plan too large
+
+
+def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Per pair of columns (i, j), over their complete rows: n and the sums of x, y, xx, yy, xy.
+
+    Every task adds up its Arrow batches as matrices and emits one row per pair, so the shuffle
+    does not grow with the table. Values are taken around the column means, which keeps the
+    differences of large sums exact.
+    """
+    k = len(cols)
+    centre = np.array([v or 0.0 for v in df.agg(*[F.avg(f"`{c}`") for c in cols]).first()])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, k, k))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64) - centre
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(np.float64)
+            total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        i, j = np.divmod(np.arange(k * k), k)
+        columns = [i.astype(np.int32), j.astype(np.int32), *total.reshape(6, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    sums = ["n", "x", "y", "xx", "yy", "xy"]
+    parts = df.select(*[F.col(f"`{c}`").cast("double") for c in cols]).mapInArrow(
+        task, "i int, j int, " + ", ".join(f"{c} double" for c in sums)
+    )
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _named(pairs: DataFrame, cols: Sequence[str], value: Column) -> DataFrame:
+    names = F.lit(list(cols))
+    return pairs.select(F.get(names, F.col("i")).alias("col_a"), F.get(names, F.col("j")).alias("col_b"), value.alias("value"))
+
+
 def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Sample covariance of every pair of columns, long form; each pair uses its complete rows."""
+    if len(cols) > WIDE:
+        value = F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n")), F.col("n") - 1)
+        return _named(_pair_sums(df, cols), cols, value)
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
     aggs = [F.covar_samp(cols[i], cols[j]).alias(f"v_{i}_{j}") for i, j in pairs]
     return _unstack(df.agg(*aggs), _square(cols))
@@ -78,6 +119,12 @@ def _square(cols: Sequence[str]) -> list[Column]:
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation, long form; null where a column is constant."""
+    if len(cols) > WIDE:
+        n, x, y = F.col("n"), F.col("x"), F.col("y")
+        spread = F.sqrt((F.col("xx") - x * x / n) * (F.col("yy") - y * y / n))
+        constant = (F.col("xx") - x * x / n <= 1e-12 * F.col("xx")) | (F.col("yy") - y * y / n <= 1e-12 * F.col("yy"))
+        value = F.when((n > 1) & ~constant, F.try_divide(F.col("xy") - x * y / n, spread))
+        return _named(_pair_sums(df, cols), cols, value)
     aggs = []
     for i, j in combinations_with_replacement(range(len(cols)), 2):
         a, b = F.col(cols[i]), F.col(cols[j])

@@ -102,3 +102,103 @@ def houses(spark: SparkSession, folder: str) -> DataFrame:
         "mean_quantity",
         F.col("p_brand").alias("brand"),
     )
+
+
+def loans(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders, their lines and customers in the columns of a loan table."""
+    lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("l_quantity").alias("qty"),
+        F.avg("l_discount").alias("disc"),
+        F.avg("l_tax").alias("tax"),
+        F.min("l_linenumber").alias("first_line"),
+        F.count_if(F.col("l_returnflag") == "R").alias("returned"),
+        F.count_if(F.col("l_linestatus") == "F").alias("closed"),
+    )
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_nationkey", "c_mktsegment")
+    all_of = table(spark, folder, "orders").join(lines, "o_orderkey", "left").join(customers, "o_custkey")
+    c = F.col
+    bad = (c("o_orderstatus") == "F") | ((c("o_orderstatus") == "P") & (c("o_totalprice") > 350000))
+    n = F.coalesce("n", F.lit(0)).cast("double")
+    return all_of.select(
+        c("o_orderkey").alias("id"),
+        c("o_totalprice").alias("loan_amnt"),
+        c("o_totalprice").alias("funded_amnt"),
+        (c("o_totalprice") * 0.98).alias("funded_amnt_inv"),
+        (c("o_totalprice") / 36).alias("installment"),
+        (c("c_acctbal") * 10 + 20000).alias("annual_inc"),
+        (c("o_totalprice") / 30000).alias("dti"),
+        F.concat(F.round(F.coalesce("disc", F.lit(0.0)) * 100, 2).cast("string"), F.lit("%")).alias("int_rate"),
+        F.concat(F.round(F.coalesce("tax", F.lit(0.0)) * 100, 2).cast("string"), F.lit(" %")).alias("revol_util"),
+        F.lit(" 36 months").alias("term"),
+        F.lit("10+ years").alias("emp_length"),
+        F.date_format("o_orderdate", "MMM-yyyy").alias("issue_d"),
+        F.date_format(F.add_months("o_orderdate", -12 * (c("c_nationkey") + 1)), "MMM-yyyy").alias("earliest_cr_line"),
+        c("c_mktsegment").alias("purpose"),
+        F.when(c("n") > 3, "f").otherwise("w").alias("initial_list_status"),
+        F.substring("o_orderpriority", 1, 1).alias("grade"),
+        F.concat(F.substring("o_orderpriority", 1, 1), (c("c_nationkey") % 5).cast("string")).alias("sub_grade"),
+        F.when(c("c_acctbal") > 5000, "OWN").when(c("c_acctbal") > 0, "MORTGAGE").alias("home_ownership"),
+        F.when(c("returned") > 0, "Verified").otherwise("Not Verified").alias("verification_status"),
+        c("c_nationkey").cast("string").alias("addr_state"),
+        F.lit("INDIVIDUAL").alias("application_type"),
+        F.coalesce("returned", F.lit(0)).cast("double").alias("delinq_2yrs"),
+        n.alias("inq_last_6mths"),
+        n.alias("open_acc"),
+        F.coalesce("closed", F.lit(0)).cast("double").alias("pub_rec"),
+        F.coalesce("qty", F.lit(0.0)).alias("total_acc"),
+        F.lit(0.0).alias("collections_12_mths_ex_med"),
+        F.when(c("o_orderpriority") != "5-LOW", F.lit(0.0)).otherwise(F.when(c("n") > 0, F.lit(1.0))).alias("acc_now_delinq"),
+        F.greatest("c_acctbal", F.lit(0.0)).alias("revol_bal"),
+        F.when(c("returned") > 0, c("qty")).alias("tot_coll_amt"),
+        c("c_acctbal").alias("tot_cur_bal"),
+        F.when(c("c_acctbal") > 0, c("c_acctbal") * 2).alias("total_rev_hi_lim"),
+        F.when(c("returned") > 0, c("qty")).alias("mths_since_last_delinq"),
+        F.when(c("closed") > 1, c("qty") * 2).alias("mths_since_last_record"),
+        F.when(c("returned") > 1, c("qty") + 12).alias("mths_since_last_major_derog"),
+        F.when(bad, "Charged Off").when(c("o_orderstatus") == "O", "Fully Paid").otherwise("Current").alias("loan_status"),
+    )
+
+
+def iowa(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts and their sales in the columns of a house table."""
+    sold = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.sum("l_quantity").alias("qty"),
+        F.avg("l_quantity").alias("mean_qty"),
+        F.avg("l_discount").alias("disc"),
+        F.avg("l_tax").alias("tax"),
+        F.max("l_linenumber").cast("double").alias("last_line"),
+        F.count_if(F.col("l_returnflag") == "R").cast("double").alias("returned"),
+        F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("unit"),
+    )
+    c = F.col
+    grade = F.when(c("p_type") == "ECONOMY", "Po").when(c("p_type") == "SMALL", "Fa").when(c("p_type") == "STANDARD", "TA")
+    return table(spark, folder, "part").join(sold, "p_partkey").select(
+        c("p_partkey").alias("id"),
+        (c("qty") * 10).alias("lot_area"),
+        (c("p_size") % 10 + 1).cast("double").alias("overall_qual"),
+        c("last_line").alias("overall_cond"),
+        (c("p_size") + 1950).cast("double").alias("year_built"),
+        (c("p_size") + 1960 + c("last_line")).alias("year_remod_add"),
+        F.when(c("last_line") > 3, c("qty")).alias("bsmt_fin_sf1"),
+        c("returned").alias("bsmt_fin_sf2"),
+        (c("mean_qty") * 2).alias("bsmt_unf_sf"),
+        (c("qty") + c("mean_qty")).alias("total_bsmt_sf"),
+        c("p_retailprice").alias("first_flr_sf"),
+        (c("p_retailprice") * c("disc")).alias("second_flr_sf"),
+        (c("p_retailprice") * (1 + c("disc"))).alias("gr_liv_area"),
+        (c("n") % 3).alias("full_bath"),
+        (c("n") % 2).alias("half_bath"),
+        (c("n") % 5).alias("bedroom_abv_gr"),
+        (c("n") % 9).alias("tot_rms_abv_grd"),
+        (c("returned") % 3).alias("fireplaces"),
+        (c("returned") % 4).alias("garage_cars"),
+        (c("tax") * 100).alias("garage_area"),
+        (c("disc") * 100).alias("wood_deck_sf"),
+        c("mean_qty").alias("open_porch_sf"),
+        F.when(c("returned") > 0, c("tax")).alias("enclosed_porch"),
+        F.coalesce(grade, F.when(c("p_type") == "MEDIUM", "Gd").when(c("p_type") == "LARGE", "Ex")).alias("bsmt_qual"),
+        c("p_brand").alias("neighborhood"),
+        (c("unit") / 100).alias("sale_price"),
+    )
