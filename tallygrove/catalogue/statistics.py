@@ -8,6 +8,7 @@ from tallygrove.catalogue.registry import PANEL, RETURNS, SCORED, STRATIFIED, ha
 from tallygrove.operators.cleaning import align_by_id
 from tallygrove.operators import order_stats, panel, preprocessing as prep, splits, statistics as st
 from tallygrove.plans.fixtures import price_panel, scored, scored_split, table
+from tallygrove.session import shared_folder
 
 COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
@@ -397,7 +398,9 @@ def _(spark, folder):
         F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.substring("o_orderpriority", 1, 1).alias("prio"),
         F.lit(2.0).alias("constant"), F.lit("x").alias("term"),
     )
-    df = align_by_id(scored_split(spark, folder).drop("p"), extra)
+    shared_folder(spark)
+    # every fit below reads the rows again: the join is written once
+    df = align_by_id(scored_split(spark, folder).drop("p"), extra).checkpoint()
     return prep.Preprocess(["price", "constant"], ["prio"]).fit(df.where("split = 'train'")).transform(df)
 
 

@@ -165,8 +165,8 @@ def score_points(df: DataFrame, by: Sequence[str] = (), p: str = "p", label: str
     )
 
 
-def roc_points(df: DataFrame, by: Sequence[str] = (), p: str = "p", label: str = "label") -> DataFrame:
-    return score_points(df, by, p, label).select(
+def _roc_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return points.select(
         *by,
         "threshold",
         F.try_divide("fp", "negatives").alias("fpr"),
@@ -174,8 +174,8 @@ def roc_points(df: DataFrame, by: Sequence[str] = (), p: str = "p", label: str =
     )
 
 
-def pr_points(df: DataFrame, by: Sequence[str] = (), p: str = "p", label: str = "label") -> DataFrame:
-    return score_points(df, by, p, label).select(
+def _pr_of(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return points.select(
         *by,
         "threshold",
         (F.col("tp") / F.col("run_n")).alias("precision"),
@@ -183,6 +183,14 @@ def pr_points(df: DataFrame, by: Sequence[str] = (), p: str = "p", label: str =
     )
 
 
+def roc_points(df: DataFrame, by: Sequence[str] = (), p: str = "p", label: str = "label") -> DataFrame:
+    return _roc_of(score_points(df, by, p, label), by)
+
+
+def pr_points(df: DataFrame, by: Sequence[str] = (), p: str = "p", label: str = "label") -> DataFrame:
+    return _pr_of(score_points(df, by, p, label), by)
+
+
 def auc_expr() -> Column:
     """Aggregate over score points: share of (positive, negative) pairs ranked right, ties half."""
     neg = (F.col("n") - F.col("pos")).cast("double")
@@ -300,25 +308,31 @@ def quantile_edges(df: DataFrame, p: str = "p", bins: int = 10) -> list[float]:
     return sorted({v for v in exact_quantiles(df, {p: F.col(p)}, inner)[p] if v is not None})
 
 
-def calibration_table(df: DataFrame, bins: int = 10, p: str = "p", label: str = "label") -> DataFrame:
+def calibration_table(
+    df: DataFrame, bins: int = 10, p: str = "p", label: str = "label", edges: Sequence[float] | None = None
+) -> DataFrame:
     """Mean prediction against observed rate per quantile bin; empty bins are absent."""
-    edges = quantile_edges(df, p, bins)
+    edges = quantile_edges(df, p, bins) if edges is None else edges
     return (
         df.groupBy((_interval(p, edges) + 1).alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(label).alias("observed"))
     )
 
 
+def _ece_of(calibration: DataFrame) -> DataFrame:
+    gap = F.col("n") * F.abs(F.col("observed") - F.col("mean_p"))
+    return calibration.agg((F.sum(gap) / F.sum("n")).alias("ece"))
+
+
 def ece(df: DataFrame, bins: int = 10, strategy: str = "quantile", p: str = "p", label: str = "label") -> DataFrame:
     """Expected calibration error. Uniform bins are (lo, hi] over 0..1, so p = 0 is in no bin but
     still counts in n."""
     if strategy == "quantile":
-        edges, keep = quantile_edges(df, p, bins), F.lit(True)
-    elif strategy == "uniform":
-        edges, keep = [i / bins for i in range(1, bins)], (F.col(p) > 0) & (F.col(p) <= 1)
-    else:
+        return _ece_of(calibration_table(df, bins, p, label))
+    if strategy != "uniform":
         raise ValueError(f"unknown strategy '{strategy}'")
-    per_bin = df.groupBy(F.when(keep, _interval(p, edges)).alias("bin")).agg(
+    inside = (F.col(p) > 0) & (F.col(p) <= 1)
+    per_bin = df.groupBy(F.when(inside, _interval(p, [i / bins for i in range(1, bins)])).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("conf"), F.avg(label).alias("acc")
     )
     gap = F.when(F.col("bin").isNotNull(), F.col("n") * F.abs(F.col("acc") - F.col("conf"))).otherwise(0.0)
@@ -328,27 +342,22 @@ def ece(df: DataFrame, bins: int = 10, strategy: str = "quantile", p: str = "p",
 def psi_table(df: DataFrame, split: str, expected: str, actual: str, bins: int = 10, p: str = "p") -> DataFrame:
     """Shares per bin of the expected split's quantiles, and each bin's stability term."""
     edges = quantile_edges(df.where(F.col(split) == expected), p, bins)
-    counts = [
-        F.count_if((F.col(split) == s) & (_interval(p, edges) == b)).alias(f"{tag}{b}")
-        for tag, s in (("e", expected), ("a", actual))
-        for b in range(len(edges) + 1)
-    ]
-    sizes = [
-        F.count_if(F.col(split) == s).alias(f"n_{tag}") for tag, s in (("e", expected), ("a", actual))
-    ]
-    cells = F.array(
-        *[
-            F.struct(F.lit(b + 1).alias("bin"), F.col(f"e{b}").alias("e"), F.col(f"a{b}").alias("a"))
-            for b in range(len(edges) + 1)
-        ]
+    counted = (
+        df.where(F.col(split).isin(expected, actual))
+        .groupBy((_interval(p, edges) + 1).alias("bin"))
+        .agg(F.count_if(F.col(split) == expected).alias("e"), F.count_if(F.col(split) == actual).alias("a"))
     )
-    e = F.col("c.e") / F.col("n_e") + F.lit(TINY)
-    a = F.col("c.a") / F.col("n_a") + F.lit(TINY)
-    return (
-        df.agg(*counts, *sizes)
-        .select("n_e", "n_a", F.explode(cells).alias("c"))
-        .select("c.bin", e.alias("expected_share"), a.alias("actual_share"), ((a - e) * F.ln(a / e)).alias("term"))
+    every = Window.partitionBy(F.lit(0))  # over one row per bin
+    bin_rows = df.sparkSession.range(1, len(edges) + 2).select(F.col("id").cast("int").alias("bin"))
+    shares = bin_rows.join(F.broadcast(counted), "bin", "left").select(
+        "bin",
+        *[
+            (F.coalesce(c, F.lit(0)) / F.sum(c).over(every) + F.lit(TINY)).alias(name)
+            for c, name in (("e", "expected_share"), ("a", "actual_share"))
+        ],
     )
+    e, a = F.col("expected_share"), F.col("actual_share")
+    return shares.withColumn("term", (a - e) * F.ln(a / e))
 
 
 def psi(df: DataFrame, split: str, expected: str, actual: str, bins: int = 10, p: str = "p") -> DataFrame:
@@ -466,21 +475,25 @@ def binary_metrics(df: DataFrame, t: float, by: str = "split", p: str = "p", lab
 
 
 def evaluation_pack(df: DataFrame, t: float, split: str = "split", reference: str = "train") -> Mapping[str, DataFrame]:
-    """Every table of the credit-risk report, each a lazy DataFrame. ``df`` should be persisted."""
+    """Every table of the credit-risk report, each a lazy DataFrame. ``df`` should be persisted.
+
+    The curves share one ordering of the test scores, the calibration tables one set of edges.
+    """
     test = df.where(F.col(split) == "test")
+    points = score_points(test)
+    calibration = calibration_table(test)
     return {
         "metrics": binary_metrics(df, t, split),
         "report": classification_report(test, t),
         "confusion": confusion_shares(test, t),
-        "roc": roc_points(test),
-        "pr": pr_points(test),
+        "roc": _roc_of(points),
+        "pr": _pr_of(points),
         "ks": ks_cdf(test),
-        "calibration": calibration_table(test),
-        "ece": ece(test),
+        "calibration": calibration,
+        "ece": _ece_of(calibration),
         "psi": psi(df, split, reference, "test"),
         "cap": accuracy_ratio(test),
         "deciles": safest_first_table(test),
         "topk": topk_capture(test),
         "decisions": decisions(test, t),
     }
-

@@ -1,6 +1,6 @@
 """Exact k nearest neighbours between two tables of any size.
 
-Training rows are grouped around pivots (a few hundred of them, chosen by hash). Distances to the
+Training rows are grouped around pivots (about the square root of their number, chosen by hash). Distances to the
 pivots bound which groups can hold a neighbour of a query:
 
 1. each query searches the nearest groups that together hold k rows, which gives it a radius no
@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from tallygrove.functions.scalars import hash_order
 from tallygrove.session import shared_folder
 
-BLOCK = 2048
+BLOCK = 8192  # rows, and queries, one task compares at a time
+MAX_PIVOTS = 16_384
+PIVOT_BYTES = 64 << 20
+TILE = 1 << 22  # distances held at once inside a task
 FIXED_SEED = 7
 
 
@@ -40,8 +43,9 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _pivots(train: DataFrame, pivots: int | None) -> tuple[np.ndarray, int]:
     n = train.count()
-    want = pivots or min(256, max(1, math.isqrt(n)))
-    rows = train.orderBy(hash_order("id", FIXED_SEED), "id").limit(want).collect()  # at most 256 rows
+    width = train.select(F.size("vec")).first()[0]
+    want = pivots or max(1, min(math.isqrt(n), n // 1024, MAX_PIVOTS, PIVOT_BYTES // (8 * width)))
+    rows = train.orderBy(hash_order("id", FIXED_SEED), "id").limit(want).collect()  # bounded in number and bytes
     return np.array([r.vec for r in rows], dtype=np.float64), n
 
 
@@ -109,19 +113,25 @@ def _search(queries: DataFrame, train: DataFrame, k: int, held: np.ndarray, bloc
         if q.empty or t.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         a, b = _unpack(q["vec"]), _unpack(t["vec"])
-        t_ids = t["id"].to_numpy()
-        rough = _distances(a, b)
+        q_ids, t_ids = q["id"].to_numpy(), t["id"].to_numpy()
         want = min(k + 1, len(b))
-        near = np.partition(rough, want - 1, axis=1)[:, want - 1]
         slack = 1e-6 * (1.0 + np.abs(a).max() + np.abs(b).max())
         out = []
-        for i, q_id in enumerate(q["id"].to_numpy()):
-            at = np.flatnonzero(rough[i] <= near[i] + slack)
+        step = max(1, TILE // len(b))
+        for lo in range(0, len(a), step):
+            rough = _distances(a[lo : lo + step], b)
+            near = np.partition(rough, want - 1, axis=1)[:, want - 1]
+            i, j = np.nonzero(rough <= (near + slack)[:, None])
+            i = i + lo
             if skip_self:
-                at = at[t_ids[at] != q_id]
-            exact = np.sqrt(((b[at] - a[i]) ** 2).sum(1))
-            pick = np.lexsort((t_ids[at], exact))[:k]
-            out.append(pd.DataFrame({"id": q_id, "neighbour": t_ids[at][pick], "distance": exact[pick]}))
+                other = q_ids[i] != t_ids[j]
+                i, j = i[other], j[other]
+            exact = np.sqrt(((b[j] - a[i]) ** 2).sum(1))
+            order = np.lexsort((t_ids[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.searchsorted(i, i)  # where the query's run starts
+            kept = np.arange(len(i)) - first < k
+            out.append(pd.DataFrame({"id": q_ids[i[kept]], "neighbour": t_ids[j[kept]], "distance": exact[kept]}))
         return pd.concat(out, ignore_index=True)
 
     return (

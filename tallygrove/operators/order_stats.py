@@ -49,64 +49,82 @@ def order_statistics(
     df: DataFrame,
     targets: Mapping[object, tuple[Column, int]],
     counts: Mapping[object, int],
+    brackets: Mapping[object, tuple[float | int, float | int]] | None = None,
     gather_rows: int = GATHER_ROWS,
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[object, OrderStat]:
     """Value at each 0-based rank. ``targets``: name -> (expression, rank); all expressions have
-    one type, and ``counts`` gives the number of non-null values behind each."""
+    one type, and ``counts`` gives the number of non-null values behind each. ``brackets`` are
+    guesses of where a target lies; a wrong one costs a round."""
     searches: dict[object, _Search] = {}
     for name, (expr, rank) in targets.items():
         if not 0 <= rank < counts[name]:
             raise ValueError(f"rank {rank} of {counts[name]} values")
         searches[name] = _Search(expr, rank, counts[name])
 
+    guesses = dict(brackets or {})
     while True:
-        wide = [s for s in searches.values() if s.found is None and s.rows > gather_rows]
+        wide = {name: s for name, s in searches.items() if s.found is None and s.rows > gather_rows}
         if not wide:
             break
-        _narrow(df, wide, accuracy)
+        ends = _sketch(df, {n: s for n, s in wide.items() if n not in guesses}, accuracy)
+        ends.update({n: guesses.pop(n) for n in list(guesses) if n in wide})
+        _narrow(df, wide, ends)
     _finish(df, [s for s in searches.values() if s.found is None])
     return {name: s.found for name, s in searches.items()}
 
 
-def _narrow(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
-    margin = 2.0 / accuracy
-    asks = []
-    for i, s in enumerate(searches):
-        at = (s.rank - s.below) / s.rows
-        ends = [max(0.0, at - margin), min(1.0, at + margin)]
-        asks.append(F.percentile_approx(F.when(s.inside(), s.expr), ends, accuracy).alias(f"q{i}"))
-    ends = df.agg(*asks).first()
-
-    asks = []
-    for i, s in enumerate(searches):
-        a, b = F.lit(ends[i][0]), F.lit(ends[i][1])
-        inside = s.inside()
-        asks += [
-            F.count_if(inside & (s.expr < a)).alias(f"lt{i}"),
-            F.count_if(inside & (s.expr == a)).alias(f"a{i}"),
-            F.count_if(inside & (s.expr > a) & (s.expr < b)).alias(f"mid{i}"),
-            F.count_if(inside & (s.expr == b)).alias(f"b{i}"),
-        ]
+def _groups(searches: Mapping[object, _Search]) -> list[list[object]]:
+    """Names of the searches that go on in the same interval of the same expression."""
+    out: dict[tuple, list[object]] = {}
+    for name, s in searches.items():
+        out.setdefault((str(s.expr), s.lo, s.hi), []).append(name)
+    return list(out.values())
+
+
+def _around(at: float, accuracy: int) -> list[float]:
+    """Shares of rows surely on either side of share ``at`` by a sketch's error bound."""
+    return [max(0.0, at - 2.0 / accuracy), min(1.0, at + 2.0 / accuracy)]
+
+
+def _sketch(df: DataFrame, searches: Mapping[object, _Search], accuracy: int) -> dict[object, tuple]:
+    """A bracket for every search; those in one interval share one sketch."""
+    if not searches:
+        return {}
+    asks, groups = [], _groups(searches)
+    for names in groups:
+        first = searches[names[0]]
+        shares = [p for n in names for p in _around((searches[n].rank - searches[n].below) / first.rows, accuracy)]
+        asks.append(F.percentile_approx(F.when(first.inside(), first.expr), shares, accuracy))
+    row = df.agg(*asks).first()
+    return {n: (row[i][2 * k], row[i][2 * k + 1]) for i, names in enumerate(groups) for k, n in enumerate(names)}
+
+
+def _narrow(df: DataFrame, searches: Mapping[object, _Search], ends: Mapping[object, tuple]) -> None:
+    """Count exactly at both ends of every bracket and keep the part that holds the rank."""
+    asks, place = [], {}
+    for names in _groups(searches):
+        first = searches[names[0]]
+        for cut in sorted({e for n in names for e in ends[n]}):
+            place.update({(n, cut): len(asks) for n in names})
+            inside = first.inside()
+            asks += [F.count_if(inside & (first.expr < F.lit(cut))), F.count_if(inside & (first.expr == F.lit(cut)))]
     got = df.agg(*asks).first()
 
-    for i, s in enumerate(searches):
-        a, b = ends[i]
-        left, on_a, mid, on_b = (got[f"{k}{i}"] for k in ("lt", "a", "mid", "b"))
+    for name, s in searches.items():
+        a, b = ends[name]
+        (lt_a, on_a), (lt_b, on_b) = ((got[place[name, e]], got[place[name, e] + 1]) for e in (a, b))
         at = s.rank - s.below
-        if at < left:
-            s.hi, s.rows = a, left
-        elif at < left + on_a:
-            s.found = OrderStat(a, s.below + left, on_a)
-        elif a == b:
-            s.lo, s.below, s.rows = a, s.below + left + on_a, s.rows - left - on_a
-        elif at < left + on_a + mid:
-            s.lo, s.hi, s.below, s.rows = a, b, s.below + left + on_a, mid
-        elif at < left + on_a + mid + on_b:
-            s.found = OrderStat(b, s.below + left + on_a + mid, on_b)
+        if at < lt_a:
+            s.hi, s.rows = a, lt_a
+        elif at < lt_a + on_a:
+            s.found = OrderStat(a, s.below + lt_a, on_a)
+        elif at < lt_b:
+            s.lo, s.hi, s.below, s.rows = a, b, s.below + lt_a + on_a, lt_b - lt_a - on_a
+        elif at < lt_b + on_b:
+            s.found = OrderStat(b, s.below + lt_b, on_b)
         else:
-            used = left + on_a + mid + on_b
-            s.lo, s.below, s.rows = b, s.below + used, s.rows - used
+            s.lo, s.below, s.rows = b, s.below + lt_b + on_b, s.rows - lt_b - on_b
 
 
 def _finish(df: DataFrame, searches: list[_Search]) -> None:
@@ -146,29 +164,35 @@ def exact_quantiles(
     df: DataFrame,
     exprs: Mapping[str, Column],
     probs: Sequence[float],
-    **limits: int,
+    gather_rows: int = GATHER_ROWS,
+    accuracy: int = SKETCH_ACCURACY,
 ) -> dict[str, list[float | None]]:
     """Quantiles with linear interpolation between neighbouring values; None for an empty column."""
     exprs = {name: e.cast("double") for name, e in exprs.items()}
-    sizes = df.agg(*[F.count(e).alias(f"n{i}") for i, e in enumerate(exprs.values())]).first()
-    targets, counts = {}, {}
+    # one pass gives the sizes and, a quantile being a share, the first brackets too
+    shares = [x for p in probs for x in _around(p, accuracy)]
+    asks = [a for e in exprs.values() for a in (F.count(e), F.percentile_approx(e, shares, accuracy))]
+    row = df.agg(*asks).first()
+    sizes = {name: row[2 * i] for i, name in enumerate(exprs)}
+    targets, counts, brackets = {}, {}, {}
     for i, (name, e) in enumerate(exprs.items()):
-        if not sizes[i]:
+        if not sizes[name]:
             continue
-        for p in probs:
-            at = p * (sizes[i] - 1)
+        for k, p in enumerate(probs):
+            at = p * (sizes[name] - 1)
             for rank in {math.floor(at), math.ceil(at)}:
                 targets[name, rank] = (e, rank)
-                counts[name, rank] = sizes[i]
-    stats = order_statistics(df, targets, counts, **limits) if targets else {}
+                counts[name, rank] = sizes[name]
+                brackets[name, rank] = (row[2 * i + 1][2 * k], row[2 * i + 1][2 * k + 1])
+    stats = order_statistics(df, targets, counts, brackets, gather_rows, accuracy) if targets else {}
     out: dict[str, list[float | None]] = {}
-    for i, name in enumerate(exprs):
-        if not sizes[i]:
+    for name in exprs:
+        if not sizes[name]:
             out[name] = [None] * len(probs)
             continue
         line = []
         for p in probs:
-            at = p * (sizes[i] - 1)
+            at = p * (sizes[name] - 1)
             a, b = stats[name, math.floor(at)].value, stats[name, math.ceil(at)].value
             line.append(a + (b - a) * (at - math.floor(at)))
         out[name] = line

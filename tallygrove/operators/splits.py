@@ -19,21 +19,32 @@ from tallygrove.operators.order_stats import order_statistics
 Cut = tuple[int, int | None]  # last hash inside, and the last id inside if that hash is shared
 
 
-def _cuts(df: DataFrame, id_col: str, seed: int, sizes: Mapping[object, tuple[Column, int, Sequence[int]]]) -> dict:
+HASH = "_h"
+
+
+def _hashed(df: DataFrame, id_col: str, seed: int) -> DataFrame:
+    """The hash as a column of its own: it is used many times and computed once."""
+    return df.withColumn(HASH, hash_order(id_col, seed))
+
+
+def _cuts(hashed: DataFrame, id_col: str, sizes: Mapping[object, tuple[Column, int, Sequence[int]]]) -> dict:
     """For every group (condition, rows) the cut after each given number of rows."""
-    h = hash_order(id_col, seed)
-    targets, counts = {}, {}
+    h = F.col(HASH)
+    targets, counts, brackets = {}, {}, {}
     for name, (cond, rows, firsts) in sizes.items():
         for m in firsts:
             if 0 < m < rows:
                 targets[name, m] = (F.when(cond, h), m - 1)
                 counts[name, m] = rows
-    stats = order_statistics(df, targets, counts) if targets else {}
+                # hashes are even, so the cut lies within a few deviations of its share
+                share, off = m / rows, 8 * math.sqrt(m * (rows - m) / rows) / rows
+                brackets[name, m] = tuple(int(min(max(share + d, 0.0), 1.0) * 2**52) for d in (-off, off))
+    stats = order_statistics(hashed, targets, counts, brackets) if targets else {}
     shared = {k: s for k, s in stats.items() if s.equal > 1}
     ids = {}
     if shared:  # equal hashes are divided by id
         ids = order_statistics(
-            df,
+            hashed,
             {
                 k: (F.when(targets[k][0] == F.lit(s.value), F.col(id_col).cast("bigint")), targets[k][1] - s.below)
                 for k, s in shared.items()
@@ -43,13 +54,13 @@ def _cuts(df: DataFrame, id_col: str, seed: int, sizes: Mapping[object, tuple[Co
     return {k: (s.value, ids[k].value if k in ids else None) for k, s in stats.items()}
 
 
-def _first_rows(cuts: dict, name: object, m: int, rows: int, id_col: str, seed: int) -> Column:
+def _first_rows(cuts: dict, name: object, m: int, rows: int, id_col: str) -> Column:
     """Is the row among the first m of its group?"""
     if m <= 0:
         return F.lit(False)
     if m >= rows:
         return F.lit(True)
-    h = hash_order(id_col, seed)
+    h = F.col(HASH)
     value, last_id = cuts[name, m]
     if last_id is None:
         return h <= F.lit(value)
@@ -65,11 +76,12 @@ def split_by_sizes(df: DataFrame, sizes: Sequence[tuple[str, int]], rest: str, s
         ends.append(total)
     if total > rows:
         raise ValueError(f"{total} rows wanted, {rows} present")
-    cuts = _cuts(df, id_col, seed, {"all": (F.lit(True), rows, ends)})
+    hashed = _hashed(df, id_col, seed)
+    cuts = _cuts(hashed.select(id_col, HASH), id_col, {"all": (F.lit(True), rows, ends)})
     side = F.lit(rest)
     for (name, _), end in reversed(list(zip(sizes, ends))):
-        side = F.when(_first_rows(cuts, "all", end, rows, id_col, seed), F.lit(name)).otherwise(side)
-    return df.withColumn("split", side)
+        side = F.when(_first_rows(cuts, "all", end, rows, id_col), F.lit(name)).otherwise(side)
+    return hashed.withColumn("split", side).drop(HASH)
 
 
 def split_random(df: DataFrame, test_fraction: float, seed: int, id_col: str = "id") -> DataFrame:
@@ -109,12 +121,14 @@ def split_stratified(
     left = {k: c - test[k] for k, c in counts.items()}
     val = quotas(left, math.ceil(validation_fraction * (n - n_test)))
     groups = {k: (F.col(label) == F.lit(k), c, [test[k], test[k] + val[k]]) for k, c in counts.items()}
-    cuts = _cuts(df, id_col, seed, groups)
+    hashed = _hashed(df, id_col, seed)
+    cuts = _cuts(hashed.select(id_col, label, HASH), id_col, groups)
     is_test, is_val = F.lit(False), F.lit(False)
     for k, (cond, c, (a, b)) in groups.items():
-        is_test = is_test | (cond & _first_rows(cuts, k, a, c, id_col, seed))
-        is_val = is_val | (cond & _first_rows(cuts, k, b, c, id_col, seed))
-    return df.withColumn("split", F.when(is_test, "test").when(is_val, "validation").otherwise("train"))
+        is_test = is_test | (cond & _first_rows(cuts, k, a, c, id_col))
+        is_val = is_val | (cond & _first_rows(cuts, k, b, c, id_col))
+    side = F.when(is_test, "test").when(is_val, "validation").otherwise("train")
+    return hashed.withColumn("split", side).drop(HASH)
 
 
 def shuffle_rows(df: DataFrame, seed: int, id_col: str = "id") -> DataFrame:

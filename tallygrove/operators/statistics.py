@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallygrove.operators.order_stats import exact_quantiles
 
@@ -147,20 +148,36 @@ def high_corr_pairs(corr: DataFrame, cols: Sequence[str], threshold: float = 0.7
 def near_constant_columns(df: DataFrame, cols: Sequence[str], threshold: float = 0.9995) -> DataFrame:
     """Number columns whose most frequent value (null counts as one) has at least this share.
 
-    A share above one half makes that value the column's median even by a rough sketch, so one
-    candidate per column is enough: a first pass sketches it, a second counts it exactly.
+    Columns of whole numbers within 0..1, as one-hot blocks are, need only their sum. For the others
+    a share above one half makes the value the column's median even by a rough sketch, so one
+    candidate per column is enough: the sketch names it, a second pass counts it exactly.
     """
     if threshold <= 0.501:
         raise ValueError("the threshold must be above 0.501")
-    sketch = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double"), 0.5, 10_000).alias(f"m{i}") for i, c in enumerate(cols)]
-    ).first()
-    aggs = []
-    for i, c in enumerate(cols):
-        hits = F.count_if(F.col(c).cast("double") == F.lit(sketch[i])) if sketch[i] is not None else F.lit(0)
-        aggs.append((F.greatest(hits, F.count_if(F.col(c).isNull())) / F.count(F.lit(1))).alias(f"s{i}"))
-    cells = [F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("top_share")) for i, c in enumerate(cols)]
-    return _unstack(df.agg(*aggs), cells).where(F.col("top_share") >= threshold)
+    whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
+    pos = {c: i for i, c in enumerate(cols)}
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for c, i in pos.items():
+        aggs.append(F.count(f"`{c}`").alias(f"k{i}"))
+        if c in whole:
+            aggs += [F.min(f"`{c}`").alias(f"a{i}"), F.max(f"`{c}`").alias(f"b{i}"), F.sum(f"`{c}`").alias(f"s{i}")]
+    got = df.agg(*aggs).first()
+    top: dict[str, int] = {}
+    for c, i in pos.items():
+        there = got[f"k{i}"]
+        if there == 0:
+            top[c] = got.n
+        elif c in whole and got[f"a{i}"] >= 0 and got[f"b{i}"] <= 1:
+            top[c] = max(got[f"s{i}"], there - got[f"s{i}"], got.n - there)
+    rest = [c for c in cols if c not in top]
+    if rest:
+        value = {c: F.col(f"`{c}`").cast("double") for c in rest}
+        mid = df.agg(*[F.percentile_approx(value[c], 0.5, 10_000) for c in rest]).first()
+        hits = df.agg(*[F.count_if(value[c] == F.lit(m)) for c, m in zip(rest, mid)]).first()
+        for c, h in zip(rest, hits):
+            top[c] = max(h, got.n - got[f"k{pos[c]}"])
+    rows = [(c, top[c] / got.n) for c in cols if got.n and top[c] / got.n >= threshold]
+    return df.sparkSession.createDataFrame(rows, "column string, top_share double")
 
 
 def describe(df: DataFrame, cols: Sequence[str], **limits: int) -> DataFrame:
