@@ -143,13 +143,16 @@ def _(spark, folder):
     return _line_with(spark, folder, price=fx.to_number(F.col("l_extendedprice").cast("string")))
 
 
-MONTHS = F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))
+def _months():
+    return F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))
+
+
 MONTHS_SQL = "CASE WHEN l_returnflag <> 'N' THEN l_quantity END"
 
 
 @register("p4_missing_flag", f"SELECT {KEY}, CAST(l_returnflag <> 'N' AS INTEGER) AS ever FROM lineitem")
 def _(spark, folder):
-    return _line_with(spark, folder, ever=fx.missing_flag(MONTHS))
+    return _line_with(spark, folder, ever=fx.missing_flag(_months()))
 
 
 @register(
@@ -160,7 +163,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     flag = F.when(F.col("l_linenumber") != 2, F.col("l_returnflag"))
-    return ops.fill_missing(_line_with(spark, folder, months=MONTHS, flag=flag), {"months": 999, "flag": "0"})
+    return ops.fill_missing(_line_with(spark, folder, months=_months(), flag=flag), {"months": 999, "flag": "0"})
 
 
 @register(
@@ -171,7 +174,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     flag = F.when(F.col("l_linenumber") != 2, F.col("l_returnflag"))
-    return ops.fill_all_zero(_line_with(spark, folder, months=MONTHS, flag=flag))
+    return ops.fill_all_zero(_line_with(spark, folder, months=_months(), flag=flag))
 
 
 @register(
@@ -191,8 +194,8 @@ def _(spark, folder):
     f"SELECT {KEY}, CAST(l_returnflag <> 'N' AND l_quantity <= 24 AS INTEGER) AS recent FROM lineitem",
 )
 def _(spark, folder):
-    filled = F.coalesce(MONTHS, F.lit(999.0))
-    return _line_with(spark, folder, recent=fx.recency_flag(filled, fx.missing_flag(MONTHS), 24))
+    filled = F.coalesce(_months(), F.lit(999.0))
+    return _line_with(spark, folder, recent=fx.recency_flag(filled, fx.missing_flag(_months()), 24))
 
 
 @register(
@@ -201,8 +204,8 @@ def _(spark, folder):
     "l_orderkey l_linenumber score~",
 )
 def _(spark, folder):
-    filled = F.coalesce(MONTHS, F.lit(999.0))
-    return _line_with(spark, folder, score=fx.recency_score(filled, fx.missing_flag(MONTHS)))
+    filled = F.coalesce(_months(), F.lit(999.0))
+    return _line_with(spark, folder, score=fx.recency_score(filled, fx.missing_flag(_months())))
 
 
 @register(
@@ -211,7 +214,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     tax = F.when(F.col("l_linenumber") != 4, F.col("l_tax"))
-    return ops.drop_missing(_line_with(spark, folder, months=MONTHS, tax=tax), ["months", "tax"])
+    return ops.drop_missing(_line_with(spark, folder, months=_months(), tax=tax), ["months", "tax"])
 
 
 @register(
@@ -272,7 +275,7 @@ def _(spark, folder):
     "l_orderkey l_linenumber total~",
 )
 def _(spark, folder):
-    both = _line_with(spark, folder, a=MONTHS, b=F.col("l_tax"))
+    both = _line_with(spark, folder, a=_months(), b=F.col("l_tax"))
     return ops.fill_missing(ops.drop_columns(ops.add_columns(both, "total", ["a", "b"]), ["a", "b"]), {"total": 0})
 
 

@@ -203,11 +203,19 @@ def average_precision_expr() -> Column:
     return F.try_divide(F.sum(F.col("pos") * (F.col("tp") / F.col("run_n"))), F.first("positives"))
 
 
+def _gap() -> Column:
+    return F.try_divide("tp", "positives") - F.try_divide("fp", "negatives")
+
+
+def _ks_value() -> Column:
+    """The gap of :func:`ks_expr` alone, which needs no sorting."""
+    return F.when(F.max(_gap()).isNotNull(), F.greatest(F.max(_gap()), F.lit(0.0)))
+
+
 def ks_expr() -> Column:
     """Aggregate over score points: struct(gap, threshold) of the largest signed TPR-FPR, counting
     the empty start of the curve; of equal gaps the highest threshold. Null if one class is absent."""
-    gap = F.try_divide("tp", "positives") - F.try_divide("fp", "negatives")
-    best = F.max(F.struct(gap.alias("gap"), F.col("threshold").alias("threshold")))
+    best = F.max(F.struct(_gap().alias("gap"), F.col("threshold").alias("threshold")))
     start = F.struct(F.lit(0.0).alias("gap"), F.lit(float("inf")).alias("threshold"))
     return F.when(best["gap"].isNotNull(), F.greatest(best, start))
 
@@ -419,8 +427,8 @@ def choose_threshold(
         return -best.down if best.f1 > 0 else 0.5
     if mode == "ks":
         # absolute gap, from the top: of equal gaps the highest threshold
-        gap = F.abs(F.try_divide("tp", "positives") - F.try_divide("fp", "negatives"))
-        b = score_points(df, (), p, label).agg(F.max(F.struct(gap.alias("gap"), "threshold")).alias("b")).first().b
+        gap = F.abs(_gap()).alias("gap")
+        b = score_points(df, (), p, label).agg(F.max(F.struct(gap, "threshold")).alias("b")).first().b
         if b is None or b.gap is None:
             return 0.5
         return min(max(b.threshold, 0.0), 1.0)
@@ -450,7 +458,7 @@ def binary_metrics(df: DataFrame, t: float, by: str = "split", p: str = "p", lab
         *_counts(t, p, label),
     )
     curves = score_points(df, [by], p, label).groupBy(by).agg(
-        auc_expr().alias("auc"), average_precision_expr().alias("average_precision"), ks_expr()["gap"].alias("ks")
+        auc_expr().alias("auc"), average_precision_expr().alias("average_precision"), _ks_value().alias("ks")
     )
     pr = _over("tp", F.col("tp") + F.col("fp"))
     rc = _over("tp", F.col("tp") + F.col("fn"))

@@ -22,19 +22,18 @@ def previous_value(
 ) -> DataFrame:
     """Add the value of the row before (per ticker, by date); with ``skip_null`` the last one present."""
     blocked = df.withColumn("_block", _year(date) if block is None else block)
-    seen = F.col(value).isNotNull() if skip_null else F.lit(True)
-    last = F.max_by(F.struct(value), F.when(seen, F.col(date)))
-    ends = blocked.groupBy(ticker, "_block").agg(F.when(F.max(F.when(seen, F.col(date))).isNotNull(), last).alias("_end"))
+    when = F.when(F.col(value).isNotNull(), F.col(date)) if skip_null else F.col(date)
+    ends = blocked.groupBy(ticker, "_block").agg(F.max_by(value, when).alias("_end"))
     # one row per ticker and block: the calendar bounds the window
     earlier = Window.partitionBy(ticker).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(ticker, "_block", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
-    before = Window.partitionBy(ticker, "_block").orderBy(date).rowsBetween(Window.unboundedPreceding, -1)
-    inside = F.last(F.when(seen, F.struct(value)), ignorenulls=True).over(before)
-    return (
-        blocked.join(carried, [ticker, "_block"])
-        .withColumn(out, F.coalesce(inside, F.col("_carry"))[value])
-        .drop("_block", "_carry")
-    )
+    carried = ends.select(ticker, "_block", F.last("_end", ignorenulls=skip_null).over(earlier).alias("_carry"))
+    order = Window.partitionBy(ticker, "_block").orderBy(date)
+    if skip_null:
+        before = F.last(value, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        previous = F.coalesce(before, F.col("_carry"))
+    else:
+        previous = F.when(F.row_number().over(order) == 1, F.col("_carry")).otherwise(F.lag(value).over(order))
+    return blocked.join(carried, [ticker, "_block"]).withColumn(out, previous).drop("_block", "_carry")
 
 
 def forward_fill(df: DataFrame, ticker: str, date: str, value: str, block: Column | None = None) -> DataFrame:

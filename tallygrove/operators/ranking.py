@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOT = "_slot"
+MAX_SLOTS = 8192  # bounds the sketch and the broadcast of slot totals
 
 
 def with_slots(df: DataFrame, key: str, tie: str | None = None, slots: int | None = None) -> DataFrame:
     """Add ``_slot``: non-decreasing in (key, tie), about equal row counts per slot."""
-    slots = slots or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = slots or min(MAX_SLOTS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / slots for i in range(1, slots)]
     bad = F.col(key).isNull() | F.isnan(F.col(key).cast("double"))
     sketch = df.agg(
@@ -59,7 +60,8 @@ def _bucket(df: DataFrame, col: str, splits: Sequence[float], out: str) -> DataF
     if not splits:
         return df.withColumn(out, F.lit(0))
     stage = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=col, outputCol=out, handleInvalid="keep")
-    return stage.transform(df).withColumn(out, F.col(out).cast("int"))
+    # never null (checked above), and said so: the join on the slot then needs no filter of its own
+    return stage.transform(df).withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(0)))
 
 
 def _offsets(slotted: DataFrame, sums: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.functions.scalars import floor_log, ordinal_encode, signed_log
 from tallygrove.operators.splits import split_stratified
+from tallygrove.session import shared_folder
 from tallygrove.sources.tables import read_table, with_positions
 
 
@@ -32,8 +33,10 @@ def scored_split(spark: SparkSession, folder: str, seed: int = 42) -> DataFrame:
 def price_panel(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly mean unit price per brand: (month, ticker, price).
 
-    Line items are summed per part and month before they meet the parts.
+    Line items are summed per part and month before they meet the parts. The panel is small and the
+    panel operators read it several times, so it is written once.
     """
+    shared_folder(spark)
     line = table(spark, folder, "lineitem")
     per_part = line.groupBy("l_partkey", F.trunc("l_shipdate", "month").alias("month")).agg(
         F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("s"), F.count(F.lit(1)).alias("n")
@@ -43,6 +46,7 @@ def price_panel(spark: SparkSession, folder: str) -> DataFrame:
         per_part.join(part, "l_partkey")
         .groupBy("month", "ticker")
         .agg((F.sum("s") / F.sum("n")).alias("price"))
+        .checkpoint()
     )
 
 
