@@ -78,8 +78,8 @@ def _(spark, folder):
     """WITH f AS (SELECT page_id, regexp_extract_all(html, '<div class="ad">(.*?)</div>', 1, 's') AS hits FROM pages),
        e AS (SELECT page_id, generate_subscripts(hits, 1) - 1 AS position, unnest(hits) AS raw FROM f WHERE len(hits) > 0)
        SELECT page_id, CAST(position AS INTEGER) AS position,
-              nullif(trim(regexp_replace(raw, '<[^>]*>', '', 'g')), '') AS text,
-              CASE WHEN trim(regexp_replace(raw, '<[^>]*>', '', 'g')) = '' THEN 'empty' ELSE 'ok' END AS status FROM e
+              nullif(regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS text,
+              CASE WHEN regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g') = '' THEN 'empty' ELSE 'ok' END AS status FROM e
        UNION ALL SELECT page_id, NULL, NULL, 'missing' FROM f WHERE len(hits) = 0""",
 )
 def _(spark, folder):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -56,8 +56,19 @@ def binary_like(df: DataFrame, cols: Sequence[str], declared: Sequence[str] = ()
 
 
 def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Mean with population variance and standard deviation, as scaling uses."""
-    return _per_column(df, cols, {"n": F.count, "mean": F.avg, "var_pop": F.var_pop, "std_pop": F.stddev_pop})
+    """Mean with population variance and standard deviation, as scaling uses.
+
+    Merging partial means may leave a constant column a last-digit spread, so a constant is told by
+    its ends and gets exactly 0.
+    """
+
+    def unless_constant(measure: Callable) -> Callable:
+        return lambda c: F.when(F.min(c) < F.max(c), measure(c)).when(F.count(c) > 0, F.lit(0.0))
+
+    mean = lambda c: F.when(F.min(c) < F.max(c), F.avg(c)).otherwise(F.min(c).cast("double"))
+    return _per_column(
+        df, cols, {"n": F.count, "mean": mean, "var_pop": unless_constant(F.var_pop), "std_pop": unless_constant(F.stddev_pop)}
+    )
 
 
 WIDE = 12  # beyond this many columns one aggregate per pair makes the plan too large
@@ -67,11 +78,13 @@ def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per pair of columns (i, j), over their complete rows: n and the sums of x, y, xx, yy, xy.
 
     Every task adds up its Arrow batches as matrices and emits one row per pair, so the shuffle
-    does not grow with the table. Values are taken around the column means, which keeps the
-    differences of large sums exact.
+    does not grow with the table. Values are taken around the column means (a constant column
+    around its value, which leaves exact zeros), so that no large sums are subtracted.
     """
     k = len(cols)
-    centre = np.array([v or 0.0 for v in df.agg(*[F.avg(f"`{c}`") for c in cols]).first()])
+    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    middle = df.agg(*[F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.avg(v)) for v in x]).first()
+    centre = np.array([v or 0.0 for v in middle])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((6, k, k))
@@ -85,7 +98,7 @@ def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
 
     sums = ["n", "x", "y", "xx", "yy", "xy"]
-    parts = df.select(*[F.col(f"`{c}`").cast("double") for c in cols]).mapInArrow(
+    parts = df.select(*x).mapInArrow(
         task, "i int, j int, " + ", ".join(f"{c} double" for c in sums)
     )
     return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
@@ -130,8 +143,9 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for i, j in combinations_with_replacement(range(len(cols)), 2):
         a, b = F.col(cols[i]), F.col(cols[j])
         both = a.isNotNull() & b.isNotNull()
-        spread = F.stddev_samp(F.when(both, a)) * F.stddev_samp(F.when(both, b))
-        value = F.when(spread > 0, F.try_divide(F.covar_samp(a, b), spread))
+        x, y = F.when(both, a), F.when(both, b)
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        value = F.when(varies, F.try_divide(F.covar_samp(a, b), F.stddev_samp(x) * F.stddev_samp(y)))
         aggs.append(value.alias(f"v_{i}_{j}"))
     return _unstack(df.agg(*aggs), _square(cols))
 

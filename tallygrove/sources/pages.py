@@ -23,7 +23,7 @@ def extract_tag_text(
     pattern = rf"(?is)<{tag}\b{_attr('class', css_class)}[^>]*>(.*?)</{tag}>"
     found = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
     raw = df.select(key, F.posexplode_outer(found).alias("position", "raw"))
-    text = F.trim(F.regexp_replace("raw", "<[^>]*>", ""))
+    text = F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", ""), r"^\s+|\s+$", "")
     return raw.select(key, "position", F.nullif(text, F.lit("")).alias("text"), _status("raw", text))
 
 
