@@ -19,7 +19,7 @@ from tallygrove.plans import fixtures as fx
 LINES = """SELECT l_quantity / 50 AS q, l_discount * 10 AS d, l_tax * 10 AS t, l_extendedprice / 1000 AS y FROM lineitem"""
 
 
-def _descent_sql(xs: list[str], rate: float, steps: int, tol: float | None, names: list[str]) -> str:
+def descent_sql(xs: list[str], rate: float, steps: int, tol: float | None, names: list[str]) -> str:
     """The same iterates from the moments, by a recursive query."""
     k = len(xs)
     sums = [f"sum(({xs[i]}) * ({xs[j]})) AS g{i}{j}" for i in range(k) for j in range(k)]
@@ -41,20 +41,20 @@ def _ones(spark, folder):
     return fx.line_regression(spark, folder).withColumn("one", F.lit(1.0))
 
 
-@register("l1_linreg_gd", _descent_sql(["1.0", "q"], 0.01, 10_000, None, ["one", "q"]), "feature coefficient~")
+@register("l1_linreg_gd", descent_sql(["1.0", "q"], 0.01, 10_000, None, ["one", "q"]), "feature coefficient~")
 def _(spark, folder):
     return regression.linreg_gd(_ones(spark, folder), ["one", "q"], "y", 0.01, 10_000).table(spark)
 
 
 @register(
-    "l2_linreg_gd_tolerance", _descent_sql(["1.0", "q", "d"], 0.1, 100_000, 1e-7, ["one", "q", "d"]), "feature coefficient~", digits=4
+    "l2_linreg_gd_tolerance", descent_sql(["1.0", "q", "d"], 0.1, 100_000, 1e-7, ["one", "q", "d"]), "feature coefficient~", digits=4
 )
 def _(spark, folder):
     return regression.linreg_gd(_ones(spark, folder), ["one", "q", "d"], "y", 0.1, 100_000, 1e-7).table(spark)
 
 
 @register(
-    "l3_polyreg_gd", _descent_sql(["1.0", "q", "q * q"], 0.01, 10_000, 1e-8, ["x0", "x1", "x2"]), "feature coefficient~", digits=4
+    "l3_polyreg_gd", descent_sql(["1.0", "q", "q * q"], 0.01, 10_000, 1e-8, ["x0", "x1", "x2"]), "feature coefficient~", digits=4
 )
 def _(spark, folder):
     return regression.polyreg_gd(fx.line_regression(spark, folder), "q", "y", 2, 0.01, 10_000, 1e-8).table(spark)

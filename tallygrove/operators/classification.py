@@ -31,7 +31,7 @@ def logistic(
         elasticNetParam=0.0,
         standardization=False,
         maxIter=max_iter,
-        tol=1e-10,
+        tol=1e-8,
     ).fit(df)
 
 
@@ -74,7 +74,7 @@ def logistic_penalised(
         standardization=False,
         fitIntercept=False,
         maxIter=max_iter,
-        tol=1e-10,
+        tol=1e-8,
     ).fit(rows.withColumn("_x", array_to_vector("_x")))
     first, *rest = fitted.coefficients.toArray().tolist()
     return PenalisedLogistic(first, rest)

@@ -45,7 +45,10 @@ def _pivots(train: DataFrame, pivots: int | None) -> tuple[np.ndarray, int]:
     n = train.count()
     width = train.select(F.size("vec")).first()[0]
     want = pivots or max(1, min(math.isqrt(n), n // 1024, MAX_PIVOTS, PIVOT_BYTES // (8 * width)))
-    rows = train.orderBy(hash_order("id", FIXED_SEED), "id").limit(want).collect()  # bounded in number and bytes
+    # the lowest hashes: a filter on the hash first, so that no task ranks more than a few too many
+    enough = min(1.0, (want + 10 * math.sqrt(want) + 10) / n)
+    hashed = train.withColumn("_h", hash_order("id", FIXED_SEED)).where(F.col("_h") <= int(enough * 2**52))
+    rows = hashed.orderBy("_h", "id").limit(want).collect()  # bounded in number and bytes
     return np.array([r.vec for r in rows], dtype=np.float64), n
 
 

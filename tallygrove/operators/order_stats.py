@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GATHER_ROWS = 200_000  # rows of one bracket that may be sorted together
+GATHER_AT_ONCE = 10_000  # the same where a bracket is at hand, counting being cheaper than sorting
 SKETCH_ACCURACY = 10_000
 
 
@@ -64,7 +65,11 @@ def order_statistics(
 
     guesses = dict(brackets or {})
     while True:
-        wide = {name: s for name, s in searches.items() if s.found is None and s.rows > gather_rows}
+        wide = {
+            name: s
+            for name, s in searches.items()
+            if s.found is None and s.rows > min(gather_rows, GATHER_AT_ONCE if name in guesses else gather_rows)
+        }
         if not wide:
             break
         ends = _sketch(df, {n: s for n, s in wide.items() if n not in guesses}, accuracy)
