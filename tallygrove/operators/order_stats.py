@@ -12,6 +12,7 @@ import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def order_statistics(
     accuracy: int = SKETCH_ACCURACY,
 ) -> dict[object, OrderStat]:
     """Value at each 0-based rank. ``targets``: name -> (expression, rank); all expressions have
-    one type, and ``counts`` gives the number of non-null values behind each. ``brackets`` are
+    one type (numbers exact as doubles), and ``counts`` gives the number of non-null values behind each. ``brackets`` are
     guesses of where a target lies; a wrong one costs a round."""
     searches: dict[object, _Search] = {}
     for name, (expr, rank) in targets.items():
@@ -105,31 +106,64 @@ def _sketch(df: DataFrame, searches: Mapping[object, _Search], accuracy: int) ->
     return {n: (row[i][2 * k], row[i][2 * k + 1]) for i, names in enumerate(groups) for k, n in enumerate(names)}
 
 
+def _count_around(df: DataFrame, groups: list[tuple[Column, list[float]]]) -> list[dict[float, tuple[int, int]]]:
+    """Per group (expression, ascending cuts): rows below and rows at every cut.
+
+    Each row finds its bin by binary search and is counted once per group; a cut has a bin of its
+    own, which ends at the next larger double. Cuts are exact as doubles.
+    """
+    binned, cells, spots = df, [], []
+    for g, (expr, cuts) in enumerate(groups):
+        splits = sorted({float(c) for c in cuts} | {math.nextafter(c, math.inf) for c in cuts})
+        spots.append(splits)
+        binned = binned.withColumn(f"_v{g}", expr.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
+        stage = Bucketizer(
+            splits=[-math.inf, *splits, math.inf], inputCol=f"_v{g}", outputCol=f"_b{g}", handleInvalid="keep"
+        )
+        binned = stage.transform(binned)
+        bin_no = F.col(f"_b{g}").cast("int")
+        cells.append(F.when(bin_no.isNotNull(), F.struct(F.lit(g).alias("g"), bin_no.alias("b"))))
+    rows = (
+        binned.select(F.explode(F.array_compact(F.array(*cells))).alias("c"))
+        .groupBy("c.g", "c.b")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .collect()  # twice the number of cuts at most
+    )
+    out = []
+    for g, (_, cuts) in enumerate(groups):
+        sizes = {r.b: r.n for r in rows if r.g == g}
+        found = {}
+        for c in cuts:
+            at = spots[g].index(float(c)) + 1
+            found[c] = (sum(n for b, n in sizes.items() if b < at), sizes.get(at, 0))
+        out.append(found)
+    return out
+
+
 def _narrow(df: DataFrame, searches: Mapping[object, _Search], ends: Mapping[object, tuple]) -> None:
     """Count exactly at both ends of every bracket and keep the part that holds the rank."""
-    asks, place = [], {}
-    for names in _groups(searches):
+    names_of = _groups(searches)
+    asked = []
+    for names in names_of:
         first = searches[names[0]]
-        for cut in sorted({e for n in names for e in ends[n]}):
-            place.update({(n, cut): len(asks) for n in names})
-            inside = first.inside()
-            asks += [F.count_if(inside & (first.expr < F.lit(cut))), F.count_if(inside & (first.expr == F.lit(cut)))]
-    got = df.agg(*asks).first()
+        asked.append((F.when(first.inside(), first.expr), sorted({e for n in names for e in ends[n]})))
+    counted = _count_around(df, asked)
 
-    for name, s in searches.items():
-        a, b = ends[name]
-        (lt_a, on_a), (lt_b, on_b) = ((got[place[name, e]], got[place[name, e] + 1]) for e in (a, b))
-        at = s.rank - s.below
-        if at < lt_a:
-            s.hi, s.rows = a, lt_a
-        elif at < lt_a + on_a:
-            s.found = OrderStat(a, s.below + lt_a, on_a)
-        elif at < lt_b:
-            s.lo, s.hi, s.below, s.rows = a, b, s.below + lt_a + on_a, lt_b - lt_a - on_a
-        elif at < lt_b + on_b:
-            s.found = OrderStat(b, s.below + lt_b, on_b)
-        else:
-            s.lo, s.below, s.rows = b, s.below + lt_b + on_b, s.rows - lt_b - on_b
+    for names, found in zip(names_of, counted):
+        for name in names:
+            s, (a, b) = searches[name], ends[name]
+            (lt_a, on_a), (lt_b, on_b) = found[a], found[b]
+            at = s.rank - s.below
+            if at < lt_a:
+                s.hi, s.rows = a, lt_a
+            elif at < lt_a + on_a:
+                s.found = OrderStat(a, s.below + lt_a, on_a)
+            elif at < lt_b:
+                s.lo, s.hi, s.below, s.rows = a, b, s.below + lt_a + on_a, lt_b - lt_a - on_a
+            elif at < lt_b + on_b:
+                s.found = OrderStat(b, s.below + lt_b, on_b)
+            else:
+                s.lo, s.below, s.rows = b, s.below + lt_b + on_b, s.rows - lt_b - on_b
 
 
 def _finish(df: DataFrame, searches: list[_Search]) -> None:

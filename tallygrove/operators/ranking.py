@@ -35,7 +35,7 @@ def with_slots(df: DataFrame, key: str, tie: str | None = None, slots: int | Non
     runs = [(v, len(list(g))) for v, g in groupby(sketch.cuts or [])]
     hot = {v: n for v, n in runs if n > 1 and math.isfinite(v)} if tie else {}
     splits = sorted({v for v, _ in runs if math.isfinite(v)} | {math.nextafter(v, math.inf) for v in hot})
-    out = _bucket(df.withColumn("_key", F.col(key).cast("double")), "_key", splits, SLOT)
+    out = _bucket(df.withColumn("_key", F.col(key).cast("double") + F.lit(0.0)), "_key", splits, SLOT)
     if not hot:
         return out.drop("_key")
 
