@@ -69,7 +69,7 @@ def suffix_order(ranks: np.ndarray, stop: np.ndarray, least: int) -> np.ndarray:
         begin = np.flatnonzero(new)
         sizes = np.diff(np.append(begin, len(open_)))
         lone = np.repeat(sizes == 1, sizes)
-        if depth >= least:  # equal so far over ``depth``: a repeat, now in its final place
+        if 2 * depth > least:  # they may share ``least`` elements, and are in their final place
             done.append(open_[lone])
         open_ = open_[~lone]
         depth *= 2
