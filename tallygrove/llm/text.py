@@ -73,6 +73,19 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return bytes_[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+class ByteHash:
+    """Hashes of any span of a byte array, each in constant time."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data] * _power(_BASE, n), out=self.total[1:])
+        self.inverse = _power(_INVERSE, n + 1)
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return (self.total[end] - self.total[start]) * self.inverse[start] + (end - start).astype(np.uint64)
+
+
 class Words:
     """All words of a batch: byte spans, document of each, and hashes."""
 
@@ -97,10 +110,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word's bytes."""
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTES[self.data] * _power(_BASE, n), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * _power(_INVERSE, n + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+        return mix(ByteHash(self.data)(self.start, self.end))
 
     def sum_by_doc(self, values: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(values)])
