@@ -1,7 +1,7 @@
 """Toxic spans and document scores from a linear-chain conditional random field.
 
-A token is inside a toxic span or not; the field has a weight for each hashed feature of a token (the word, its
-beginnings and its end) and for each pair of neighbouring states. Training tokens are labelled from document labels: in a
+A token is inside a toxic span or not; the field has a weight for each hashed feature of a token (the word and its
+beginnings) and for each pair of neighbouring states. Training tokens are labelled from document labels: in a
 toxic document those count as toxic whose word or beginning is far more frequent in toxic documents than in others.
 Scoring runs forward-backward over all tokens; marginals give spans and, through a logistic curve, a document score.
 """
@@ -30,8 +30,10 @@ class Settings:
     per_class: int = 2000  # labelled documents of each class that the fit reads; the bound of its sample
     max_chars: int = 50_000  # longer documents are scored but not in the sample
     bits: int = 18  # features are hashed to 2 ** bits weights
-    ratio: float = 20.0  # a token is labelled toxic where its share in toxic documents is so many times that in others
-    least: int = 3  # toxic documents that must hold it
+    ratio: float = 20.0  # a token is labelled toxic where it is so many times as frequent in toxic documents
+    least: int = 8  # neighbourhoods in toxic documents that must hold it,
+    share: float = 0.01  # and as many as this share of the toxic documents
+    rare: float = 5.0  # tokens below which a feature counts little
     steps: int = 40
     rate: float = 0.5
     penalty: float = 1e-6
@@ -56,11 +58,10 @@ def tokens(column: pa.Array) -> Words:
 
 
 def features(words: Words) -> np.ndarray:
-    """Hashes of each token's word, its first 3, 4 and 5 bytes and its last 3: a row for each kind."""
+    """Hashes of each token's word and its first 3, 4 and 5 bytes: a row for each kind."""
     of = ByteHash(words.data)
     spans = [(words.start, words.end)]
     spans += [(words.start, np.minimum(words.start + k, words.end)) for k in (3, 4, 5)]
-    spans += [(np.maximum(words.end - 3, words.start), words.end)]
     return np.stack([mix(of(a, b) + np.uint64(kind)) for kind, (a, b) in enumerate(spans)])
 
 
@@ -149,17 +150,30 @@ def _walk(
 
 
 def label_tokens(feats: np.ndarray, words: Words, toxic: np.ndarray, settings: Settings) -> np.ndarray:
-    """True on tokens of toxic documents whose word, or beginning of 4 or 5 bytes, marks toxic documents."""
-    found = np.zeros(len(words), bool)
-    n = np.array([(~toxic).sum(), toxic.sum()])
+    """True on tokens of toxic documents whose word, or beginning of 4 or 5 bytes, marks toxic documents.
+
+    One whose word or longer beginning other documents use too is not. What counts is the number of distinct neighbourhoods (the words before and after), so that copies of one document
+    don't make its words look frequent.
+    """
+    found, plain = np.zeros(len(words), bool), np.zeros(len(words), bool)
+    if not len(words):
+        return found
+    word = feats[0]
+    around = mix(np.concatenate([word[:1], word[:-1]]) + mix(np.concatenate([word[1:], word[-1:]])))
+    side = toxic[words.doc]
     for kind in (0, 2, 3):
         keys, back = np.unique(feats[kind], return_inverse=True)
-        pair = np.unique(back.astype(np.int64) * words.docs + words.doc)
-        held = np.bincount(pair // words.docs, weights=toxic[pair % words.docs], minlength=len(keys))
-        clean = np.bincount(pair // words.docs, minlength=len(keys)) - held
-        ratio = ((held + 0.5) / (n[1] + 1)) / ((clean + 0.5) / (n[0] + 1))
-        found |= ((ratio >= settings.ratio) & (held >= settings.least))[back]
-    return found & toxic[words.doc]
+        order = np.lexsort((around, back, side))
+        new = np.ones(len(order), bool)
+        new[1:] = (back[order][1:] != back[order][:-1]) | (around[order][1:] != around[order][:-1]) | (side[order][1:] != side[order][:-1])
+        each = order[new]
+        held = np.bincount(back[each], weights=side[each], minlength=len(keys))
+        clean = np.bincount(back[each], minlength=len(keys)) - held
+        ratio = ((held + 0.5) / (held.sum() + 1)) / ((clean + 0.5) / (clean.sum() + 1))
+        found |= ((ratio >= settings.ratio) & (held >= max(settings.least, settings.share * toxic.sum())))[back]
+        if kind != 2:
+            plain |= ((ratio < settings.ratio) & (clean >= 2))[back]
+    return found & ~plain & side
 
 
 def _odds(weights: np.ndarray, bias: float, slots: np.ndarray) -> np.ndarray:
@@ -194,12 +208,14 @@ def train(texts: list[str], toxic: list[int], settings: Settings = Settings()) -
     feats = features(words)
     truth = label_tokens(feats, words, y, settings)
     slots = (feats >> np.uint64(64 - settings.bits)).astype(np.int64)
-    weights, bias, moves = np.zeros(1 << settings.bits), -4.0, np.zeros((2, 2))
+    weights, moves = np.zeros(1 << settings.bits), np.zeros((2, 2))
+    bias = np.log((truth.sum() + 0.5) / (len(truth) + 1)) - 1.0  # unseen words are clean until their features say else
     before = np.concatenate([[False], truth[:-1]]) if len(truth) else truth
     before[words.first[:-1][words.per_doc() > 0]] = False
     seen = np.array([[(~before & ~truth).sum(), (~before & truth).sum()], [(before & ~truth).sum(), (before & truth).sum()]])
     size = max(1, int(truth.sum()))
-    grad_w, grad_b, grad_m = np.full(1 << settings.bits, 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    # features of few tokens move little: frequent words and beginnings explain what they can
+    grad_w, grad_b, grad_m = np.full(1 << settings.bits, (settings.rare / size) ** 2), 1e-3, np.full((2, 2), 1e-3)
     used, inverse = np.unique(slots, return_inverse=True)
     inverse = inverse.reshape(slots.shape)
     for _ in range(settings.steps):
@@ -223,15 +239,15 @@ def train(texts: list[str], toxic: list[int], settings: Settings = Settings()) -
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Field:
     """Fit on a bounded sample of the labelled documents: about ``per_class`` of each class, drawn by hash of the id.
 
-    Rows without text, id or label are left out; a document labelled twice is toxic if any label says so.
+    Rows without text, id or label are left out; a document labelled twice is toxic if any label says so, and so is a repeated text.
     """
     marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_by_class(marked, "id", "toxic", settings.per_class, 2)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).dropna()
     texts = texts.filter(F.length("text") <= settings.max_chars)
     rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").limit(4 * settings.per_class)
-    rows = sorted(rows.collect())
-    return train([r.text for r in rows], [r.toxic for r in rows], settings)
+    once = {r.text: r.toxic for r in sorted(rows.collect(), key=lambda r: (r.toxic, r.doc_id))}
+    return train(list(once), list(once.values()), settings)
 
 
 def judge(column: pa.Array, model: Field) -> tuple[np.ndarray, np.ndarray, pa.Array]:
