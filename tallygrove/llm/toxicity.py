@@ -27,7 +27,7 @@ SCHEMA = "doc_id long, score double, n_toxic long, spans array<struct<start:long
 class Settings:
     """Bounds and rates of the fit."""
 
-    per_class: int = 2000  # labelled documents of each class that the fit reads; the bound of its sample
+    per_class: int = 1500  # labelled documents of each class that the fit reads; the bound of its sample
     max_chars: int = 50_000  # longer documents are scored but not in the sample
     bits: int = 18  # features are hashed to 2 ** bits weights
     ratio: float = 20.0  # a token is labelled toxic where it is so many times as frequent in toxic documents
@@ -207,7 +207,8 @@ def train(texts: list[str], toxic: list[int], settings: Settings = Settings()) -
     words = tokens(pa.array(texts, pa.string()))
     feats = features(words)
     truth = label_tokens(feats, words, y, settings)
-    slots = (feats >> np.uint64(64 - settings.bits)).astype(np.int64)
+    slots = (feats >> np.uint64(64 - settings.bits)).astype(np.int32)
+    del feats
     weights, moves = np.zeros(1 << settings.bits), np.zeros((2, 2))
     bias = np.log((truth.sum() + 0.5) / (len(truth) + 1)) - 1.0  # unseen words are clean until their features say else
     before = np.concatenate([[False], truth[:-1]]) if len(truth) else truth
@@ -217,7 +218,7 @@ def train(texts: list[str], toxic: list[int], settings: Settings = Settings()) -
     # features of few tokens move little: frequent words and beginnings explain what they can
     grad_w, grad_b, grad_m = np.full(1 << settings.bits, (settings.rare / size) ** 2), 1e-3, np.full((2, 2), 1e-3)
     used, inverse = np.unique(slots, return_inverse=True)
-    inverse = inverse.reshape(slots.shape)
+    inverse = inverse.reshape(slots.shape).astype(np.int32)
     for _ in range(settings.steps):
         p, pairs = marginals(_odds(weights, bias, slots), words.first, moves)
         miss = (p - truth) / size
