@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["op2_quality_rules", "op7_near_duplicates", "op9_toxicity", "op10_decontamination"]
+MODULES = ["op1_sentencepiece_dropout", "op2_quality_rules", "op7_near_duplicates", "op9_toxicity", "op10_decontamination"]
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
