@@ -13,15 +13,18 @@ def remainder(key: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")
 
 
-def bounded_by_class(rows: DataFrame, key: str, label: str, per_class: int, max_classes: int) -> DataFrame:
-    """About ``per_class`` rows of each of the ``max_classes`` most frequent labels, never more than 1.5 times that in all.
+def bounded_by_class(rows: DataFrame, key: str, label: str, per_class: int, max_classes: int, total: int | None = None) -> DataFrame:
+    """About ``per_class`` rows (with ``total``, fewer of many classes) of each of the ``max_classes`` most frequent labels.
 
+    Never more than 1.5 times that in all.
     Counts cover all rows; a row is taken by the hash of its ``key``, so a rerun takes the same.
     """
     counts = rows.filter(F.col(label).isNotNull()).groupBy(label).count()
     top = counts.orderBy(F.desc("count"), label).limit(max_classes).collect()
     if not top:
         return rows.limit(0)
+    if total:
+        per_class = max(1, min(per_class, total // len(top)))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(20240229)), F.lit(_RANGE))
     keep = F.lit(False)
     for value, count in top:
