@@ -32,6 +32,8 @@ _ENDS[list(b".!?")] = True
 LABELLERS = (
     ("length", "n_words", 20, None, 100, None),
     ("symbols", "symbol_share", None, 0.05, 0.0, 0.005),
+    ("marked_words", "marked_share", None, 0.2, 0.0, 0.02),
+    ("letters", "letter_share", 0.88, None, 0.92, None),
     ("capitals", "upper_share", None, 0.5, 0.0, 0.15),
     ("repeats", "repeat_share", None, 0.3, 0.0, 0.05),
     ("lines", "line_share", None, 0.3, 0.0, 0.1),
@@ -71,10 +73,13 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
     lines = Words(data, offsets, inside)
     line_kinds = np.unique(lines.hashes() + mix(lines.doc), return_index=True)[1]
     n_lines = np.maximum(lines.per_doc(), 1)
+    marked = np.concatenate([[0], np.cumsum(_SYMBOL[data])])
     last = data[words.end - 1] if len(words) else np.zeros(0, np.uint8)
     return {
         "n_words": n,
         "symbol_share": sum_ranges(_SYMBOL[data], offsets) / chars,
+        "marked_share": words.sum_by_doc(marked[words.end] > marked[words.start]) / some,
+        "letter_share": sum_ranges(_LETTER[data] & code_points(data), offsets) / chars,
         "upper_share": sum_ranges(_UPPER[data], offsets) / letters,
         "repeat_share": again / some,
         "line_share": 1 - np.maximum(np.bincount(lines.doc[line_kinds], minlength=words.docs), n_lines == 1) / n_lines,
