@@ -2,12 +2,12 @@
 
 Shingles are ordered rare first by a sketch of their counts. Two sets of Jaccard similarity t share a shingle among the
 first few of each (prefix filter), are of like size (length filter), and have room for enough shared shingles after that
-one (positional filter) and in each part of the hash space (suffix filter); what is left is verified once per pair.
+one (positional filter) and in bitmaps of the sets (suffix filter); what is left is verified once per pair.
 
 Equal sets are one class before the join. Lists of documents that share a prefix shingle are joined in full up to
-``SHORT`` documents. In a longer list every document is compared with the list's first; all other pairs are compared
-only where these links leave documents of the list in different components, so a large group of near copies doesn't
-become all its pairs while no link between components is lost.
+``SHORT`` documents. In a longer list documents are first compared with the heads of their lists; then all pairs of
+the list are that these links leave in different components. So a large group of near copies doesn't become all its
+pairs, while no link between components is lost.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from tallygrove.llm.text import LOWER, Rolling, Words, flat, mix, slices
 
 SKETCH_BITS = 20  # buckets of the counts: 4 MB a task whatever the input
 CHUNKS = 16  # parts in which the tasks' counts are added up
-SHORT = 16
+SHORT = 6
+TESTS = (3, 24)  # heads with which a document of a longer list is compared, by rounds, before all pairs are
 
 
 @dataclass(frozen=True)
@@ -99,8 +100,21 @@ def frequencies(texts: DataFrame, sim: Similarity) -> np.ndarray:
     return _add_up(texts.mapInArrow(count, "part int, counts binary"))
 
 
+def _bitmaps(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """A bitmap of each set's hashes: the least power of two of bits that is four times its size, in 64-bit words."""
+    n = np.diff(first)
+    bits = np.maximum(64, 4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    words = np.where(n > 0, bits // 64, 0)
+    begin = np.concatenate([[0], np.cumsum(words)])
+    doc = np.repeat(np.arange(len(n)), n)
+    bit = (values & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(begin[-1], np.uint64)
+    np.bitwise_or.at(out, begin[doc] + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    return pa.ListArray.from_arrays(begin.astype(np.int32), pa.array(out.view(np.int64)))
+
+
 def prefixes(texts: DataFrame, sim: Similarity, rare: np.ndarray) -> DataFrame:
-    """``doc_id``, ``n`` shingles, ``signature`` of the set, ``prefix``: its rarest shingles."""
+    """``doc_id``, ``n`` shingles, ``signature`` of the set, ``prefix`` (its rarest shingles), ``bits`` (its bitmap)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,42 +131,69 @@ def prefixes(texts: DataFrame, sim: Similarity, rare: np.ndarray) -> DataFrame:
                 take = order[place < length[docs]]
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(values[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(marks, pa.binary()), lists],
-                    ["doc_id", "n", "signature", "prefix"],
+                    [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(marks, pa.binary()), lists, _bitmaps(values, first)],
+                    ["doc_id", "n", "signature", "prefix", "bits"],
                 )
 
-    return texts.mapInArrow(work, "doc_id long, n int, signature binary, prefix array<long>")
+    return texts.mapInArrow(work, "doc_id long, n int, signature binary, prefix array<long>, bits array<long>")
+
+
+def _enough(shared: Column, sim: Similarity) -> Column:
+    """Whether so many shared shingles would make documents of ``na`` and ``nb`` similar."""
+    return (100 + sim.percent) * shared.cast("long") >= sim.percent * (F.col("na").cast("long") + F.col("nb"))
+
+
+def _alike(x: Column, y: Column, sim: Similarity) -> Column:
+    """Suffix filter on bitmaps: every bit of one set that the other lacks is a shingle that they don't share."""
 
+    def folded(a: Column, b: Column) -> Column:
+        half = F.size(b)
+        return F.when(F.size(a) <= half, a).otherwise(F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseOR(q)))
 
-def _need(a: Column, b: Column, sim: Similarity) -> Column:
-    """100 + percent times the least shared count is percent times the sum of sizes: True where ``shared`` reaches it."""
-    return sim.percent * (a.cast("long") + b)
+    def lacking(a: Column, b: Column) -> Column:
+        each = F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
+        return F.aggregate(each, F.lit(0), lambda s, v: s + v)
 
+    a, b = folded(x, y), folded(y, x)
+    return _enough(F.least(F.col("na") - lacking(a, b), F.col("nb") - lacking(b, a)), sim)
 
-def _possible(pairs: DataFrame, sim: Similarity) -> DataFrame:
-    """Distinct ``a``, ``b`` of rows (a, na, pa, b, nb, pb) that pass the length and positional filters."""
+
+def _close(sim: Similarity) -> Column:
+    """Length and positional filters on a row (a, na, pa, b, nb, pb) of two documents and a shingle of both."""
     c = F.col
     near = 100 * F.least("na", "nb").cast("long") >= sim.percent * F.greatest("na", "nb").cast("long")
-    # before this shared shingle at most the earlier places are shared, after it at most the rest of the shorter
+    # before this shingle at most the earlier places are shared, after it at most the rest of the shorter
     room = F.least("pa", "pb") + 1 + F.least(c("na") - c("pa") - 1, c("nb") - c("pb") - 1)
-    return (
-        pairs.filter((c("a") != c("b")) & near & ((100 + sim.percent) * room.cast("long") >= _need(c("na"), c("nb"), sim)))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    return (c("a") != c("b")) & near & _enough(room, sim)
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    small, large = F.least("a", "b"), F.greatest("a", "b")
+    return pairs.select(small.alias("a"), large.alias("b")).distinct()
+
 
+def _pairs(rows: DataFrame, sim: Similarity, apart: bool = False) -> DataFrame:
+    """Pairs of documents in a list: the smaller by one of its first shingles, which are fewer for it than for the larger.
 
-def _pairs(rows: DataFrame, sim: Similarity, other: Column | None = None) -> DataFrame:
-    """Pairs of documents in a list: the smaller by one of its first shingles, which are fewer for it than for the larger."""
+    With ``apart``, rows have a component and a bitmap: only pairs of different components whose bitmaps are alike.
+    """
     c = F.col
-    a = rows.select("shingle", c("doc").alias("a"), c("n").alias("na"), c("pos").alias("pa"), *([c("comp").alias("ca")] if other is not None else []))
-    b = rows.select("shingle", c("doc").alias("b"), c("n").alias("nb"), c("pos").alias("pb"), *([c("comp").alias("cb")] if other is not None else []))
-    index = (c("pa") * (100 + sim.percent) <= c("na") * (100 - sim.percent)) & (
-        (c("na") < c("nb")) | ((c("na") == c("nb")) & (c("a") < c("b")))
-    )
-    on = ["shingle"]
-    joined = a.join(b, on).filter(index)
-    return _possible(joined if other is None else joined.filter(other), sim)
+    more = ("comp", "bits") if apart else ()
+    a = rows.select("shingle", c("doc").alias("a"), c("n").alias("na"), c("pos").alias("pa"), *[c(m).alias(f"{m}_a") for m in more])
+    b = rows.select("shingle", c("doc").alias("b"), c("n").alias("nb"), c("pos").alias("pb"), *[c(m).alias(f"{m}_b") for m in more])
+    smaller = (c("na") < c("nb")) | ((c("na") == c("nb")) & (c("a") < c("b")))
+    wanted = smaller & (c("pa") * (100 + sim.percent) <= c("na") * (100 - sim.percent)) & _close(sim)
+    if apart:
+        wanted = (c("comp_a") != c("comp_b")) & wanted & _alike(c("bits_a"), c("bits_b"), sim)
+    return _distinct(a.join(b, "shingle").filter(wanted))
+
+
+def _filtered(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
+    """The pairs whose bitmaps are alike."""
+    c = F.col
+    one = pairs.join(sets.select(c("doc_id").alias("a"), c("n").alias("na"), c("bits").alias("x")), "a")
+    two = one.join(sets.select(c("doc_id").alias("b"), c("n").alias("nb"), c("bits").alias("y")), "b")
+    return two.filter(_alike(c("x"), c("y"), sim)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
@@ -178,18 +219,13 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
                     [part.column("doc_id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:])], pa.binary())], ["doc_id", "set"]
                 )
 
-    parts = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
-
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = sim.percent * (len(x) + len(y))
-                ends = [np.diff(np.concatenate([[0], np.searchsorted(z, parts), [len(z)]])) for z in (x, y)]
-                if (100 + sim.percent) * int(np.minimum(*ends).sum()) >= need:  # suffix filter
-                    both = np.sort(np.concatenate([x, y]))
-                    good[i] = (100 + sim.percent) * int((both[1:] == both[:-1]).sum()) >= need
+                both = np.sort(np.concatenate([x, y]))
+                good[i] = (100 + sim.percent) * int((both[1:] == both[:-1]).sum()) >= sim.percent * (len(x) + len(y))
             yield batch.select(["u", "v"]).filter(pa.array(good))
 
     known = texts.mapInArrow(sets, "doc_id long, set binary")
@@ -225,29 +261,45 @@ def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), smallest.cast("long").alias("component_id"))
 
 
+def _to_heads(rows: DataFrame, sim: Similarity, tests: int) -> DataFrame:
+    """Pairs of a document and a head of one of its lists, ``tests`` for each document; a list's head is any of its documents."""
+    c = F.col
+    head = F.min(F.struct(F.xxhash64("doc", "shingle").alias("draw"), "doc", "n", "pos")).over(Window.partitionBy("shingle"))
+    rows = rows.withColumn("head", head)
+    if "comp" in rows.columns:
+        other = F.min_by("comp", F.struct(F.xxhash64("doc", "shingle"), "doc")).over(Window.partitionBy("shingle"))
+        rows = rows.withColumn("other", other).filter("comp != other")
+    own = rows.select(
+        c("doc").alias("a"), c("n").alias("na"), c("pos").alias("pa"), c("head.doc").alias("b"), c("head.n").alias("nb"), c("head.pos").alias("pb")
+    )
+    own = own.filter(_close(sim)).select("a", "b").distinct()
+    nth = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("a", "b"), "b"))  # a document has few lists
+    return _distinct(own.withColumn("nth", nth).filter(c("nth") <= tests))
+
+
 def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """Enough verified links between classes to connect all that any links connect."""
     c = F.col
     spark = worded.sparkSession
     first = worded.join(classes.select(c("class").alias("doc_id")), "doc_id", "left_semi")
     rows = first.select(c("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "shingle"))
-    same = Window.partitionBy("shingle")
-    rows = rows.withColumn("k", F.count("*").over(same)).withColumn("head", F.min(F.struct("n", "doc", "pos")).over(same))
-    rows = stored(rows.filter("k > 1"), "postings")
-    star = rows.filter(c("k") > SHORT).select(
-        c("doc").alias("a"), c("n").alias("na"), c("pos").alias("pa"), c("head.doc").alias("b"), c("head.n").alias("nb"), c("head.pos").alias("pb")
-    )
-    short = _pairs(rows.filter(c("k") <= SHORT), sim)
-    links = stored(verified(short.union(_possible(star, sim)).distinct(), texts, sim), "verified")
-    long = rows.filter(c("k") > SHORT)
-    found = stored(components(spark, links), "components")
-    named = long.join(found, c("doc") == c("node"), "left").withColumn("comp", F.coalesce("component", "doc"))
-    mixed = named.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
-    open_ = stored(named.join(mixed, "shingle").select("shingle", "doc", "n", "pos", "comp"), "open")
-    if open_.isEmpty():
-        return links
-    more = verified(_pairs(open_, sim, c("ca") != c("cb")), texts, sim)
-    return stored(links.union(more), "verified")
+    rows = stored(rows.withColumn("k", F.count("*").over(Window.partitionBy("shingle"))).filter("k > 1"), "postings")
+    sets = worded.select("doc_id", "n", "bits")
+    pairs = _pairs(rows.filter(c("k") <= SHORT), sim).union(_to_heads(rows.filter(c("k") > SHORT), sim, TESTS[0])).distinct()
+    links = stored(verified(_filtered(pairs, sets, sim), texts, sim), "verified")
+    for tests in (*TESTS[1:], None):
+        found = stored(components(spark, links), "components")
+        named = rows.filter(c("k") > SHORT).join(found, c("doc") == c("node"), "left").withColumn("comp", F.coalesce("component", "doc"))
+        mixed = named.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
+        open_ = stored(named.join(mixed, "shingle").select("shingle", "doc", "n", "pos", "comp"), "open")
+        if open_.isEmpty():
+            break
+        if tests:
+            pairs = _filtered(_to_heads(open_, sim, tests), sets, sim)
+        else:
+            pairs = _pairs(open_.join(sets.select(c("doc_id").alias("doc"), "bits").dropDuplicates(["doc"]), "doc"), sim, apart=True)
+        links = stored(links.union(verified(pairs, texts, sim)), "verified")
+    return links
 
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
