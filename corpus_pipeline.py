@@ -2,19 +2,60 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallygrove.llm import repetition
+from tallygrove.llm import decontamination, near_duplicates, repetition, toxicity
+from tallygrove.llm import sentencepiece_dropout as sentencepiece
 from tallygrove.session import fresh_path
 
+MODEL = "piece_bpe_32k.model"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return repetition.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't toxic, as learned from the labels of those that are left."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
+def duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id."""
+    return near_duplicates.keep_one(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't contaminated by the benchmark."""
+    return decontamination.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document under merge-dropout, and whether they decode to its text."""
+    model = public_tokenizers.path(MODEL)
+    decoded = sentencepiece.decode(sentencepiece.encode(docs, model), model)
+    return decoded.select(
+        "doc_id",
+        "ids",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.length("decoded").cast("long").alias("n_chars"),
+        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
+    )
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxic_documents),
+    ("near duplicates", duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("sentencepiece", tokens),
+]
 
+#: SQL expresses neither the random field nor the merges; the tests hold the rows against a brute-force version
 ORACLE_SQL = None
 
 
@@ -22,7 +63,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written as Parquet and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = fresh_path(spark, name)
+        path = fresh_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

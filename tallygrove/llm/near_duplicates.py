@@ -304,8 +304,11 @@ def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similar
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     """One document of each group, the one of the smallest id, with all columns; rows without an id all stay."""
-    found = groups(docs, sim)
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    ided = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return ided.unionByName(left.filter(F.col("doc_id").isNull()))
+    c = F.col
+    found = stored(groups(docs, sim), "groups")
+    gone = stored(found.filter(c("doc_id") != c("component_id")).select(c("doc_id").alias("_gone")).distinct(), "gone")
+    left = docs.join(gone, c("doc_id").cast("long") == c("_gone"), "left_anti")
+    if found.filter(c("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return left
+    ided = left.filter(c("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return ided.unionByName(left.filter(c("doc_id").isNull()))
