@@ -36,15 +36,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document under merge-dropout, and whether they decode to its text."""
-    model = public_tokenizers.path(MODEL)
-    decoded = sentencepiece.decode(sentencepiece.encode(docs, model), model)
-    return decoded.select(
-        "doc_id",
-        "ids",
-        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
-        F.length("decoded").cast("long").alias("n_chars"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
-    )
+    checked = sentencepiece.encode_and_check(docs, public_tokenizers.path(MODEL))
+    return checked.withColumn("n_tokens", F.coalesce(F.size("ids"), F.lit(0)).cast("long"))
 
 
 STAGES = [

@@ -13,15 +13,11 @@ MODEL = "piece_bpe_32k.model"
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
-    model = public_tokenizers.path(MODEL)
-    return digests(sp.decode(sp.encode(table(spark, folder, "documents"), model), model))
-
-
-def digests(decoded: DataFrame) -> DataFrame:
-    return decoded.select(
+    checked = sp.encode_and_check(table(spark, folder, "documents"), public_tokenizers.path(MODEL))
+    return checked.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.xxhash64("ids").alias("ids_hash"),
-        F.length("decoded").cast("long").alias("n_chars"),
-        F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
+        "n_chars",
+        "lossless",
     )

@@ -24,6 +24,7 @@ from tallygrove.llm.text import ByteHash, code_points, flat, mix, slices
 
 BLANK = "▁"
 NEVER = np.int32(2**31 - 1)
+SLICE = 1 << 20  # text bytes whose units are merged at a time
 WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64)  # longer units go through the agenda one by one
 
 
@@ -268,6 +269,19 @@ def _owners(column: pa.Array) -> np.ndarray:
     return mix(column.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
 
 
+def _lists(text: pa.Array, owners: pa.Array, dropout: Dropout, vocab: Vocabulary) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """Ids of each text, null for a null, and ids and offsets of all."""
+    ids, offsets = encode_texts(text, _owners(owners), dropout, vocab)
+    lists = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids))
+    if text.null_count:
+        lists = pc.if_else(text.is_null(), pa.scalar(None, lists.type), lists)
+    return lists, ids, offsets
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def encode(docs: DataFrame, model: str, dropout: Dropout = Dropout()) -> DataFrame:
     """``doc_id``, ``text``, ``ids`` (array of piece ids) of every row.
 
@@ -279,16 +293,33 @@ def encode(docs: DataFrame, model: str, dropout: Dropout = Dropout()) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(model)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
+                lists, _, _ = _lists(part.column("text"), part.column("doc_id"), dropout, vocab)
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], ["doc_id", "text", "ids"])
+
+    return _rows(docs).mapInArrow(work, "doc_id long, text string, ids array<int>")
+
+
+def encode_and_check(docs: DataFrame, model: str, dropout: Dropout = Dropout()) -> DataFrame:
+    """``doc_id``, ``ids`` as of ``encode``, and of their decoding ``n_chars`` and whether it is ``lossless``: equal to the text.
+
+    Both are done batch by batch in one task, so that texts and ids don't travel twice. A null text is lossless.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(model)
+        for batch in batches:
+            for part in slices(batch, limit=SLICE):
                 text = part.column("text")
-                ids, offsets = encode_texts(text, _owners(part.column("doc_id")), dropout, vocab)
-                lists = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids))
+                lists, ids, offsets = _lists(text, part.column("doc_id"), dropout, vocab)
+                back = decode_ids(ids, offsets, vocab)
+                same = pc.equal(back, text.fill_null(""))
+                size = pc.utf8_length(back).cast(pa.int64())
                 if text.null_count:
-                    lists = pc.if_else(text.is_null(), pa.scalar(None, lists.type), lists)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), text, lists], ["doc_id", "text", "ids"])
+                    size = pc.if_else(text.is_null(), pa.scalar(None, pa.int64()), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, size, same], ["doc_id", "ids", "n_chars", "lossless"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, text string, ids array<int>")
+    return _rows(docs).mapInArrow(work, "doc_id long, ids array<int>, n_chars long, lossless boolean")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -302,7 +333,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             if lists.null_count:
                 lists = pc.if_else(lists.is_null(), pa.scalar([], lists.type), lists)
                 offsets = lists.offsets.to_numpy().astype(np.int64)
-            step = 1000
+            step = 100
             for row in range(0, batch.num_rows, step):
                 own = offsets[row : row + step + 1]
                 ids = lists.values.to_numpy(zero_copy_only=False)[own[0] : own[-1]]

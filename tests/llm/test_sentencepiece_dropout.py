@@ -100,7 +100,7 @@ def test_tables(spark):
     assert len(got) == len(rows) and all(r.text == r.decoded for r in got)
     assert [r.ids for r in got if r.text is None] == [None] and len({tuple(r.ids) for r in got if r.doc_id == 3}) == 1
     assert sp.decode(sp.encode(docs.limit(0), MODEL), MODEL).count() == 0
-    from tallygrove.llm.queries.op1_sentencepiece_dropout import digests
-
-    out = digests(sp.decode(sp.encode(docs, MODEL), MODEL)).collect()
-    assert all(r.lossless for r in out) and {r.doc_id: r.n_tokens for r in out}[50] == 0
+    checked = sp.encode_and_check(docs, MODEL).collect()
+    by = {(r.doc_id, r.text): r.ids for r in got}
+    assert all(r.lossless for r in checked) and sorted(map(str, by.values())) == sorted(map(str, {(r.doc_id, str(r.ids)): r.ids for r in checked}.values()))
+    assert {r.doc_id: r.n_chars for r in checked}[60] == len(rows[-1][1]) and [r.n_chars for r in checked if r.doc_id == 50] == [None]
