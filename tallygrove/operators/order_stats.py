@@ -1,9 +1,10 @@
 """Exact order statistics and quantiles without gathering a column in one task.
 
 ``percentile`` keeps one map of all distinct values per column in a single task. Here sketches
-only *locate* a rank: each round asks ``percentile_approx`` for a narrow bracket, counts exactly
-how many rows fall below, on and between its ends, and goes on inside the part that holds the
-rank. What is left after one or two rounds is sorted. Sketch errors cost rounds, never accuracy.
+only *locate* a rank: each round asks them for a narrow bracket, counts exactly how many rows fall
+below, on and between its ends, and goes on inside the part that holds the rank. What is left after
+one or two rounds is sorted. Sketch errors cost rounds, never accuracy. Sketches of scan tasks are
+merged in two steps, so no task takes one from every scan task.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 
 GATHER_ROWS = 200_000  # rows of one bracket that may be sorted together
 GATHER_AT_ONCE = 10_000  # the same where a bracket is at hand, counting being cheaper than sorting
-SKETCH_ACCURACY = 10_000
+SKETCH_ACCURACY = 8192  # size parameter of the sketches
+SKETCH_GROUPS = 512  # sketches that the last step of a merge takes at most
 
 
 @dataclass(frozen=True)
@@ -80,6 +82,35 @@ def order_statistics(
     return {name: s.found for name, s in searches.items()}
 
 
+def sketched(
+    df: DataFrame, asks: Sequence[tuple[Column, Sequence[float]]], accuracy: int = SKETCH_ACCURACY, also: Sequence[Column] = ()
+) -> tuple[list[list[float] | None], list]:
+    """For each (expression, shares): approximate quantiles at the shares, None without values; and the sums of ``also``.
+
+    Scan tasks' sketches meet in groups by partition number, then the groups' sketches in one task.
+    """
+    values = [e.cast("double").alias(f"_v{i}") for i, (e, _) in enumerate(asks)]
+    rows = df.select(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("_g"), *values, *[c.alias(f"_a{i}") for i, c in enumerate(also)])
+    parts = rows.groupBy("_g").agg(
+        *[F.kll_sketch_agg_double(f"_v{i}", accuracy).alias(f"_s{i}") for i in range(len(asks))],
+        *[F.count(f"_v{i}").alias(f"_n{i}") for i in range(len(asks))],
+        *[F.sum(f"_a{i}").alias(f"_a{i}") for i in range(len(also))],
+    )
+    # a group without values has no sketch to merge
+    held = [F.when(F.col(f"_n{i}") > 0, F.col(f"_s{i}")) for i in range(len(asks))]
+    merged = parts.agg(
+        *[F.kll_merge_agg_double(h).alias(f"_s{i}") for i, h in enumerate(held)],
+        *[F.sum(f"_n{i}").alias(f"_n{i}") for i in range(len(asks))],
+        *[F.sum(f"_a{i}").alias(f"_a{i}") for i in range(len(also))],
+    )
+    out = [
+        F.when(F.col(f"_n{i}") > 0, F.kll_sketch_get_quantile_double(f"_s{i}", F.array(*[F.lit(float(p)) for p in shares])))
+        for i, (_, shares) in enumerate(asks)
+    ]
+    row = merged.select(*out, *[F.col(f"_a{i}") for i in range(len(also))]).first()
+    return [None if q is None else list(q) for q in row[: len(asks)]], list(row[len(asks) :])
+
+
 def _groups(searches: Mapping[object, _Search]) -> list[list[object]]:
     """Names of the searches that go on in the same interval of the same expression."""
     out: dict[tuple, list[object]] = {}
@@ -89,8 +120,9 @@ def _groups(searches: Mapping[object, _Search]) -> list[list[object]]:
 
 
 def _around(at: float, accuracy: int) -> list[float]:
-    """Shares of rows surely on either side of share ``at`` by a sketch's error bound."""
-    return [max(0.0, at - 2.0 / accuracy), min(1.0, at + 2.0 / accuracy)]
+    """Shares of rows very likely on either side of share ``at`` by a sketch's error."""
+    off = 2.5 / accuracy**0.94
+    return [max(0.0, at - off), min(1.0, at + off)]
 
 
 def _sketch(df: DataFrame, searches: Mapping[object, _Search], accuracy: int) -> dict[object, tuple]:
@@ -101,8 +133,8 @@ def _sketch(df: DataFrame, searches: Mapping[object, _Search], accuracy: int) ->
     for names in groups:
         first = searches[names[0]]
         shares = [p for n in names for p in _around((searches[n].rank - searches[n].below) / first.rows, accuracy)]
-        asks.append(F.percentile_approx(F.when(first.inside(), first.expr), shares, accuracy))
-    row = df.agg(*asks).first()
+        asks.append((F.when(first.inside(), first.expr), shares))
+    row, _ = sketched(df, asks, accuracy)
     return {n: (row[i][2 * k], row[i][2 * k + 1]) for i, names in enumerate(groups) for k, n in enumerate(names)}
 
 
@@ -210,9 +242,8 @@ def exact_quantiles(
     exprs = {name: e.cast("double") for name, e in exprs.items()}
     # one pass gives the sizes and, a quantile being a share, the first brackets too
     shares = [x for p in probs for x in _around(p, accuracy)]
-    asks = [a for e in exprs.values() for a in (F.count(e), F.percentile_approx(e, shares, accuracy))]
-    row = df.agg(*asks).first()
-    sizes = {name: row[2 * i] for i, name in enumerate(exprs)}
+    first, held = sketched(df, [(e, shares) for e in exprs.values()], accuracy, [e.isNotNull().cast("long") for e in exprs.values()])
+    sizes = {name: held[i] or 0 for i, name in enumerate(exprs)}
     targets, counts, brackets = {}, {}, {}
     for i, (name, e) in enumerate(exprs.items()):
         if not sizes[name]:
@@ -222,7 +253,7 @@ def exact_quantiles(
             for rank in {math.floor(at), math.ceil(at)}:
                 targets[name, rank] = (e, rank)
                 counts[name, rank] = sizes[name]
-                brackets[name, rank] = (row[2 * i + 1][2 * k], row[2 * i + 1][2 * k + 1])
+                brackets[name, rank] = (first[i][2 * k], first[i][2 * k + 1])
     stats = order_statistics(df, targets, counts, brackets, gather_rows, accuracy) if targets else {}
     out: dict[str, list[float | None]] = {}
     for name in exprs:

@@ -16,6 +16,9 @@ from itertools import groupby
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
+
+from tallygrove.operators.order_stats import sketched
 
 SLOT = "_slot"
 MAX_SLOTS = 8192  # bounds the sketch and the broadcast of slot totals
@@ -26,13 +29,13 @@ def with_slots(df: DataFrame, key: str, tie: str | None = None, slots: int | Non
     slots = slots or min(MAX_SLOTS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / slots for i in range(1, slots)]
     bad = F.col(key).isNull() | F.isnan(F.col(key).cast("double"))
-    sketch = df.agg(
-        F.count_if(bad).alias("bad"),
-        F.percentile_approx(F.col(key).cast("double"), probs, max(10_000, 10 * slots)).alias("cuts"),
-    ).first()
-    if sketch.bad:
-        raise ValueError(f"{sketch.bad} rows have no value in '{key}'")
-    runs = [(v, len(list(g))) for v, g in groupby(sketch.cuts or [])]
+    if tie and not isinstance(df.schema[tie].dataType, NumericType):
+        raise ValueError(f"'{tie}' breaks ties and must be a number")
+    accuracy = min(32_768, max(4096, 4 * slots))
+    (cuts,), (missing,) = sketched(df, [(F.col(key), probs)], accuracy, [bad.cast("long")])
+    if missing:
+        raise ValueError(f"{missing} rows have no value in '{key}'")
+    runs = [(v, len(list(g))) for v, g in groupby(cuts or [])]
     hot = {v: n for v, n in runs if n > 1 and math.isfinite(v)} if tie else {}
     splits = sorted({v for v, _ in runs if math.isfinite(v)} | {math.nextafter(v, math.inf) for v in hot})
     out = _bucket(df.withColumn("_key", F.col(key).cast("double") + F.lit(0.0)), "_key", splits, SLOT)
@@ -40,13 +43,8 @@ def with_slots(df: DataFrame, key: str, tie: str | None = None, slots: int | Non
         return out.drop("_key")
 
     # sub-slots by id inside the scores that fill more than one slot
-    id_cuts = (
-        df.where(F.col(key).cast("double").isin(list(hot)))
-        .agg(F.percentile_approx(F.col(tie).cast("double"), probs, max(10_000, 10 * slots)).alias("cuts"))
-        .first()
-        .cuts
-    )
-    fine = sorted(set(id_cuts))
+    (id_cuts,), _ = sketched(df.where(F.col(key).cast("double").isin(list(hot))), [(F.col(tie), probs)], accuracy)
+    fine = sorted(set(id_cuts or []))
     parts = [1] * (len(splits) + 1)
     for v, n in hot.items():
         parts[splits.index(v) + 1] = n
@@ -81,6 +79,11 @@ def _offsets(slotted: DataFrame, sums: Sequence[str], by: Sequence[str]) -> Data
     return totals.select(*by, SLOT, *pick)
 
 
+def _few(offsets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A row per slot is always small enough to broadcast; of many groups the planner decides."""
+    return offsets if by else F.broadcast(offsets)
+
+
 def running_rows(
     df: DataFrame,
     key: str,
@@ -97,8 +100,7 @@ def running_rows(
     local = slotted.withColumns(
         {"_no": F.row_number().over(win), **{f"_run_{c}": F.sum(c).over(upto) for c in sums}}
     )
-    # at most a few rows per slot and group: always small enough to broadcast
-    joined = local.join(F.broadcast(_offsets(slotted, sums, by)), [*by, SLOT])
+    joined = local.join(_few(_offsets(slotted, sums, by), by), [*by, SLOT])
     return joined.select(
         *df.columns,
         (F.col("_before") + F.col("_no")).alias("row_no"),
@@ -125,7 +127,7 @@ def running_points(
     local = points.withColumns(
         {"_run_n": F.sum("n").over(upto), **{f"_run_{c}": F.sum(c).over(upto) for c in sums}}
     )
-    joined = local.join(F.broadcast(_offsets(slotted, sums, by)), [*by, SLOT])
+    joined = local.join(_few(_offsets(slotted, sums, by), by), [*by, SLOT])
     return joined.select(
         *by,
         key,

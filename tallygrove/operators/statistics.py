@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallygrove.operators.order_stats import exact_quantiles
+from tallygrove.operators.order_stats import exact_quantiles, sketched
 
 
 def _unstack(row: DataFrame, cells: Sequence[Column]) -> DataFrame:
@@ -71,37 +71,49 @@ def moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-WIDE = 12  # beyond this many columns one aggregate per pair makes the plan too large
+WIDE = 12  # beyond this many columns one aggregate per pair makes the plan too large; the answers are the same
+
+
+def _value(name: str) -> Column:
+    """A column as a number; NaN is missing, like null."""
+    x = F.col(f"`{name}`").cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Per pair of columns (i, j), over their complete rows: n and the sums of x, y, xx, yy, xy.
+    """Per pair of columns (i, j), over their complete rows: n, the sums of x, y, xx, yy, xy, and whether x and y vary.
 
     Every task adds up its Arrow batches as matrices and emits one row per pair, so the shuffle
     does not grow with the table. Values are taken around the column means (a constant column
     around its value, which leaves exact zeros), so that no large sums are subtracted.
     """
     k = len(cols)
-    x = [F.col(f"`{c}`").cast("double") for c in cols]
+    x = [_value(c) for c in cols]
     middle = df.agg(*[F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.avg(v)) for v in x]).first()
     centre = np.array([v or 0.0 for v in middle])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((6, k, k))
+        low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
         for batch in batches:
             x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64) - centre
             there = ~np.isnan(x)
+            for j in range(k):
+                both = there & there[:, j : j + 1]
+                low[:, j] = np.minimum(low[:, j], np.where(both, x, np.inf).min(axis=0, initial=np.inf))
+                high[:, j] = np.maximum(high[:, j], np.where(both, x, -np.inf).max(axis=0, initial=-np.inf))
             x, m = np.where(there, x, 0.0), there.astype(np.float64)
             total += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
         i, j = np.divmod(np.arange(k * k), k)
-        columns = [i.astype(np.int32), j.astype(np.int32), *total.reshape(6, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+        ends = [e.reshape(-1) for e in (low, high, low.T, high.T)]
+        columns = [i.astype(np.int32), j.astype(np.int32), *total.reshape(6, -1), *ends]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["i", "j", *sums, "x0", "x1", "y0", "y1"])
 
     sums = ["n", "x", "y", "xx", "yy", "xy"]
-    parts = df.select(*x).mapInArrow(
-        task, "i int, j int, " + ", ".join(f"{c} double" for c in sums)
-    )
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums])
+    fields = ", ".join(f"{c} double" for c in (*sums, "x0", "x1", "y0", "y1"))
+    parts = df.select(*[v.alias(f"_x{n}") for n, v in enumerate(x)]).mapInArrow(task, f"i int, j int, {fields}")
+    varies = (F.min("x0") < F.max("x1")) & (F.min("y0") < F.max("y1"))
+    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in sums], varies.alias("varies"))
 
 
 def _named(pairs: DataFrame, cols: Sequence[str], value: Column) -> DataFrame:
@@ -110,12 +122,12 @@ def _named(pairs: DataFrame, cols: Sequence[str], value: Column) -> DataFrame:
 
 
 def covariance_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Sample covariance of every pair of columns, long form; each pair uses its complete rows."""
+    """Sample covariance of every pair of columns, long form; each pair uses the rows where neither is null or NaN."""
     if len(cols) > WIDE:
         value = F.try_divide(F.col("xy") - F.try_divide(F.col("x") * F.col("y"), F.col("n")), F.col("n") - 1)
         return _named(_pair_sums(df, cols), cols, value)
     pairs = list(combinations_with_replacement(range(len(cols)), 2))
-    aggs = [F.covar_samp(cols[i], cols[j]).alias(f"v_{i}_{j}") for i, j in pairs]
+    aggs = [F.covar_samp(_value(cols[i]), _value(cols[j])).alias(f"v_{i}_{j}") for i, j in pairs]
     return _unstack(df.agg(*aggs), _square(cols))
 
 
@@ -132,16 +144,15 @@ def _square(cols: Sequence[str]) -> list[Column]:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation, long form; null where a column is constant."""
+    """Pearson correlation, long form, over each pair's complete rows; null where a column is constant on them."""
     if len(cols) > WIDE:
         n, x, y = F.col("n"), F.col("x"), F.col("y")
         spread = F.sqrt((F.col("xx") - x * x / n) * (F.col("yy") - y * y / n))
-        constant = (F.col("xx") - x * x / n <= 1e-12 * F.col("xx")) | (F.col("yy") - y * y / n <= 1e-12 * F.col("yy"))
-        value = F.when((n > 1) & ~constant, F.try_divide(F.col("xy") - x * y / n, spread))
+        value = F.when((n > 1) & F.col("varies"), F.try_divide(F.col("xy") - x * y / n, spread))
         return _named(_pair_sums(df, cols), cols, value)
     aggs = []
     for i, j in combinations_with_replacement(range(len(cols)), 2):
-        a, b = F.col(cols[i]), F.col(cols[j])
+        a, b = _value(cols[i]), _value(cols[j])
         both = a.isNotNull() & b.isNotNull()
         x, y = F.when(both, a), F.when(both, b)
         varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
@@ -164,10 +175,11 @@ def near_constant_columns(df: DataFrame, cols: Sequence[str], threshold: float =
 
     Columns of whole numbers within 0..1, as one-hot blocks are, need only their sum. For the others
     a share above one half makes the value the column's median even by a rough sketch, so one
-    candidate per column is enough: the sketch names it, a second pass counts it exactly.
+    candidate per column is enough: the sketch names it, a second pass counts it exactly. For lower
+    thresholds all values are counted.
     """
     if threshold <= 0.501:
-        raise ValueError("the threshold must be above 0.501")
+        return _frequent(df, cols, threshold)
     whole = {f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)}
     pos = {c: i for i, c in enumerate(cols)}
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -186,7 +198,7 @@ def near_constant_columns(df: DataFrame, cols: Sequence[str], threshold: float =
     rest = [c for c in cols if c not in top]
     if rest:
         value = {c: F.col(f"`{c}`").cast("double") for c in rest}
-        mid = df.agg(*[F.percentile_approx(value[c], 0.5, 10_000) for c in rest]).first()
+        mid = [q[0] if q else None for q in sketched(df, [(value[c], [0.5]) for c in rest])[0]]
         hits = df.agg(*[F.count_if(value[c] == F.lit(m)) for c, m in zip(rest, mid)]).first()
         for c, h in zip(rest, hits):
             top[c] = max(h, got.n - got[f"k{pos[c]}"])
@@ -194,6 +206,15 @@ def near_constant_columns(df: DataFrame, cols: Sequence[str], threshold: float =
     return df.sparkSession.createDataFrame(rows, "column string, top_share double")
 
 
+def _frequent(df: DataFrame, cols: Sequence[str], threshold: float) -> DataFrame:
+    """The same by counting the values of all columns in one shuffle."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("v")) for c in cols])
+    counts = df.select(F.explode(cells).alias("c")).groupBy("c.column", "c.v").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("column").agg(F.max("n").alias("top"), F.sum("n").alias("all"))
+    share = F.col("top") / F.col("all")
+    return top.where(share >= threshold).select("column", share.alias("top_share"))
+
+
 def describe(df: DataFrame, cols: Sequence[str], **limits: int) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column."""
     quart = exact_quantiles(df, {c: F.col(c) for c in cols}, [0.25, 0.5, 0.75], **limits)

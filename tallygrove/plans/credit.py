@@ -16,7 +16,6 @@ from tallygrove.operators.preprocessing import Preprocess, PreprocessModel, asse
 from tallygrove.operators.statistics import require_complete
 
 # fixed values: the columns of a loan table and what is done with them
-AMOUNTS = ["loan_amnt", "funded_amnt", "funded_amnt_inv"]
 KEPT_AMOUNT = "funded_amnt_inv"
 NUMBERS = ["installment", "annual_inc", "dti", "revol_bal", "tot_coll_amt", "tot_cur_bal", "total_rev_hi_lim"]
 PERCENTS = ["int_rate", "revol_util"]
@@ -50,15 +49,17 @@ FEATURES = [
 def engineer(loans: DataFrame, date_format: str = "MMM-yyyy") -> DataFrame:
     """Raw loans -> id, label, numeric features and text categories. One projection and one filter.
 
+    Rows without a count, ``revol_util`` (or with no number in it) or a date are dropped.
+
     Redundant amounts, raw month counters, raw dates and free text are left out.
     """
-    derived: dict[str, Column] = {c: fx.parse_percent(c) for c in PERCENTS}
+    derived: dict[str, Column] = {"int_rate": fx.parse_percent("int_rate")}
     for months, (ever, recent, limit, score) in COUNTERS.items():
         filled = F.coalesce(F.col(months), F.lit(NEVER))
         derived[ever] = fx.missing_flag(months)
         derived[recent] = fx.recency_flag(filled, derived[ever], limit)
         derived[score] = fx.recency_score(filled, derived[ever])
-    complete = cleaning.drop_missing(loans, COUNTS)
+    complete = cleaning.drop_missing(loans.withColumn("revol_util", fx.parse_percent("revol_util")), [*COUNTS, "revol_util"])
     dated = complete.withColumns(
         {
             "issue_d": fx.parse_month_year("issue_d", date_format),

@@ -21,8 +21,10 @@ def test_credit_cleaning(spark, small):
     loans = fx.loans(spark, small)
     broken = loans.withColumn("issue_d", F.when(F.col("id") < 10, "?").otherwise(F.col("issue_d")))
     broken = broken.withColumn("open_acc", F.when(F.col("id").between(10, 19), None).otherwise(F.col("open_acc")))
+    rate = F.when(F.col("id").between(20, 24), None).when(F.col("id").between(25, 29), "n/a").otherwise(F.col("revol_util"))
+    broken = broken.withColumn("revol_util", rate)
     kept = {r.id for r in credit.engineer(broken).select("id").collect()}
-    assert kept == {r.id for r in credit.engineer(loans).where("id >= 20").select("id").collect()}
+    assert kept == {r.id for r in credit.engineer(loans).where("id >= 30").select("id").collect()}
     bad = loans.withColumn("dti", F.when(F.col("id") == 5, None).otherwise(F.col("dti")))
     with pytest.raises(ValueError, match="dti"):
         credit.prepare(bad)

@@ -55,8 +55,8 @@ def test_near_constant(spark):
     )
     got = {r["column"]: r.top_share for r in st.near_constant_columns(df, df.columns, 0.999).collect()}
     assert got == {c: pytest.approx(1999 / 2000) for c in ("rare", "odd_one", "absent")}
-    with pytest.raises(ValueError):
-        st.near_constant_columns(df, ["rare"], 0.4)
+    low = {r["column"]: r.top_share for r in st.near_constant_columns(df, df.columns, 0.4).collect()}
+    assert low == {**got, "even": 0.5}
 
 
 def test_describe_matches_pandas(table):
@@ -90,3 +90,19 @@ def test_histogram_matches_numpy(scored):
     assert sum(abs(got.get(i, 0) - w) for i, w in enumerate(want)) <= 2  # a value on an edge may round either way
     one = st.histogram(scored.withColumn("p", F.lit(0.5)), "p", 4).collect()
     assert [(r.bin, r.n) for r in one] == [(2, 2000)]
+
+
+def test_missing_values_and_constants_count_alike_at_every_width(spark):
+    rows = [(1.0, 2.0, 0.1), (2.0, 1.0, 0.1), (float("nan"), 5.0, 0.1), (4.0, None, 0.1), (5.0, 7.0, 0.1), (3.0, 3.5, 0.1)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    wide = df.select("*", *[(F.col("a") * k).alias(f"x{k}") for k in range(10)])
+    assert len(wide.columns) == st.WIDE + 1
+    for matrix in (st.covariance_matrix, st.correlation_matrix):
+        pair = lambda cols: {
+            (r.col_a, r.col_b): None if r.value is None else round(r.value, 9)
+            for r in matrix(wide, cols).collect()
+            if {r.col_a, r.col_b} <= {"a", "b", "c"}
+        }
+        assert pair(wide.columns) == pair(wide.columns[:-1])
+        assert pair(wide.columns)["a", "b"] is not None
+        assert pair(wide.columns)["c", "a"] == (0.0 if matrix is st.covariance_matrix else None)
