@@ -73,17 +73,27 @@ def _(spark, folder):
     return src.matrix_from_table(table(spark, folder, "part"), "p_partkey")
 
 
+# advertisements of every second page get a further class, every fifth an attribute that only ends in "class"
+CLASSED = """replace(html, '<div class="ad">', CASE WHEN page_id % 5 = 0 THEN '<div data-class="ad">'
+    WHEN page_id % 2 = 0 THEN '<div class="wide ad  top">' ELSE '<div class="ad">' END)"""
+
+
 @register(
     "s8_extract_tag_text",
-    """WITH f AS (SELECT page_id, regexp_extract_all(html, '<div class="ad">(.*?)</div>', 1, 's') AS hits FROM pages),
-       e AS (SELECT page_id, generate_subscripts(hits, 1) - 1 AS position, unnest(hits) AS raw FROM f WHERE len(hits) > 0)
+    f"""WITH d AS (SELECT page_id, regexp_extract_all({CLASSED}, '<div ([^>]*)>.*?</div>', 1, 's') AS heads,
+                 regexp_extract_all({CLASSED}, '<div [^>]*>(.*?)</div>', 1, 's') AS raws FROM pages),
+       u AS (SELECT page_id, generate_subscripts(raws, 1) AS k, unnest(heads) AS head, unnest(raws) AS raw FROM d WHERE len(raws) > 0),
+       e AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS position, raw FROM u
+             WHERE (head LIKE 'class=%' OR head LIKE '% class=%')
+               AND list_contains(string_split_regex(regexp_extract(head, '(^| )class="([^"]*)"', 2), '\\s+'), 'ad'))
        SELECT page_id, CAST(position AS INTEGER) AS position,
               nullif(regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g'), '') AS text,
               CASE WHEN regexp_replace(regexp_replace(raw, '<[^>]*>', '', 'g'), '^\\s+|\\s+$', '', 'g') = '' THEN 'empty' ELSE 'ok' END AS status FROM e
-       UNION ALL SELECT page_id, NULL, NULL, 'missing' FROM f WHERE len(hits) = 0""",
+       UNION ALL SELECT page_id, NULL, NULL, 'missing' FROM pages WHERE page_id NOT IN (SELECT page_id FROM e)""",
 )
 def _(spark, folder):
-    return pg.extract_tag_text(table(spark, folder, "pages"), "html", "div", "ad")
+    pages = table(spark, folder, "pages").withColumn("html", F.expr(CLASSED))
+    return pg.extract_tag_text(pages, "html", "div", "ad")
 
 
 @register(

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 
 def _attr(name: str, value: str | None) -> str:
-    return "" if value is None else rf"""(?=[^>]*\b{name}=["']{re.escape(value)}["'])"""
+    """The attribute, after white space. A single class is any of the element's classes, several are the exact text."""
+    if value is None:
+        return ""
+    inside = re.escape(value) if re.search(r"\s", value) else rf"(?:[^\"']*\s)?{re.escape(value)}(?:\s[^\"']*)?"
+    return rf"""(?=[^>]*\s{name}\s*=\s*["']{inside}["'])"""
 
 
 def extract_tag_text(
@@ -18,9 +22,10 @@ def extract_tag_text(
 ) -> DataFrame:
     """``(key, position, text, status)``: stripped text of every matching element, inner tags removed.
 
-    Status: ok, empty (element without text) or missing (no such element).
+    Status: ok, empty (element without text) or missing (no such element). The text of an element goes to
+    the first closing tag of its name, also where an element of the same name is nested in it.
     """
-    pattern = rf"(?is)<{tag}\b{_attr('class', css_class)}[^>]*>(.*?)</{tag}>"
+    pattern = rf"(?is)<{tag}\b{_attr('class', css_class)}[^>]*>(.*?)</{tag}\s*>"
     found = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(1))
     raw = df.select(key, F.posexplode_outer(found).alias("position", "raw"))
     text = F.regexp_replace(F.regexp_replace("raw", "<[^>]*>", ""), r"^\s+|\s+$", "")
@@ -29,12 +34,11 @@ def extract_tag_text(
 
 def first_link(df: DataFrame, html: str, css_class: str | None = None, key: str = "page_id") -> DataFrame:
     """``(key, href, status)``: target of the first matching link."""
-    pattern = rf"""(?is)<a\b{_attr('class', css_class)}[^>]*?\bhref=["']([^"']*)["']"""
-    href = F.regexp_extract(F.col(html), pattern, 1)
-    found = F.col(html).rlike(pattern)
-    return df.select(key, F.when(found, F.nullif(href, F.lit(""))).alias("href"), F.when(found, href).alias("raw")).select(
-        key, "href", _status("raw", F.col("raw"))
-    )
+    # one capture holds the mark and the target, so one pass tells an empty target from none
+    pattern = rf"""(?is)<a\b{_attr('class', css_class)}[^>]*?\s(href=["'][^"']*)["']"""
+    found = F.nullif(F.regexp_extract(F.col(html), pattern, 1), F.lit(""))
+    raw = df.select(key, F.substring(found, len("href='") + 1, 1 << 30).alias("raw"))
+    return raw.select(key, F.nullif("raw", F.lit("")).alias("href"), _status("raw", F.col("raw")))
 
 
 def _status(raw: str, text: Column) -> Column:

@@ -43,3 +43,16 @@ def test_tag_text(spark):
     assert {(r.page_id, r.status) for r in rest} == {(2, "missing"), (3, "missing")}
     links = {r.page_id: (r.href, r.status) for r in pages.first_link(df, "html", "x y").collect()}
     assert links == {1: ("/one", "ok"), 2: (None, "missing"), 3: (None, "missing")}
+
+
+def test_classes_are_matched_by_token(spark):
+    html = {
+        1: '<div class="ad banner">a</div>', 2: "<div id=x class='big  ad'>b</div>", 3: '<div data-class="ad">c</div>',
+        4: '<div class="ads">d</div>', 5: '<div class="bad ad-top">e</div>', 6: '<DIV CLASS="ad">f</DIV>', 7: '<a class="go" href="">x</a>',
+        8: '<a data-href="no" href="yes">x</a>',
+    }
+    df = spark.createDataFrame(list(html.items()), "page_id long, html string")
+    got = {r.page_id: r.text for r in pages.extract_tag_text(df, "html", "div", "ad").collect()}
+    assert {k: v for k, v in got.items() if v} == {1: "a", 2: "b", 6: "f"}
+    links = {r.page_id: (r.href, r.status) for r in pages.first_link(df, "html").collect()}
+    assert links[7] == (None, "empty") and links[8] == ("yes", "ok") and links[1] == (None, "missing")
