@@ -7,27 +7,26 @@ from pyspark.sql import functions as F
 from tallygrove.catalogue.models import descent_sql
 from tallygrove.catalogue.patterns import CELLS, KERNEL
 from tallygrove.catalogue.registry import register
-from tallygrove.operators import network, patterns as pt
+from tallygrove.operators import patterns as pt
 from tallygrove.plans import credit, housing, market
 from tallygrove.plans import fixtures as fx
 
 
 @register("flow_credit_metrics")
 def _(spark, folder):
-    return credit.run(fx.loans(spark, folder), grid=[0.01, 1.0, 100.0]).tables["metrics"]
+    return credit.run(fx.loans(spark, folder)).tables["metrics"]
 
 
 @register("flow_credit_network")
 def _(spark, folder):
-    small = network.MlpParams(epochs=2)
-    return credit.run_network(fx.loans(spark, folder), n_trials=2, base=small)
+    return credit.run_network(fx.loans(spark, folder))
 
 
 @register("flow_housing_models")
 def _(spark, folder):
     table, features = housing.prepare(fx.iowa(spark, folder))
     n = table.count()
-    return housing.compare(housing.split_and_scale(table, features, int(0.6 * n), int(0.2 * n)), search=2, trees=10)
+    return housing.compare(housing.split_and_scale(table, features, int(0.6 * n), int(0.2 * n)))
 
 
 @register("flow_housing_strongest")
@@ -40,7 +39,7 @@ def _(spark, folder):
 @register("flow_return_factors")
 def _(spark, folder):
     prices = fx.price_panel(spark, folder).withColumnRenamed("month", "date")
-    return market.return_factors(prices, 60).projection
+    return market.return_factors(prices).projection
 
 
 @register("flow_equity_clusters")
@@ -79,15 +78,16 @@ def _(spark, folder):
 
 
 LOAN_FEATURES = """
-  WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS qty, avg(l_discount) AS disc, avg(l_tax) AS tax,
+  WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS qty, max(l_discount) AS disc, max(l_tax) AS tax,
                count(*) FILTER (l_returnflag = 'R') AS returned, count(*) FILTER (l_linestatus = 'F') AS closed
              FROM lineitem GROUP BY l_orderkey),
   j AS (SELECT *, CASE WHEN returned > 0 THEN qty END AS delinq, CASE WHEN closed > 1 THEN qty * 2 END AS record,
                CASE WHEN returned > 1 THEN qty + 12 END AS derog
         FROM orders LEFT JOIN l ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey
-        WHERE o_orderpriority <> '5-LOW' OR n > 0)
+        WHERE (o_orderpriority <> '5-LOW' OR n > 0) AND o_orderkey % 10 NOT IN (3, 7))
   SELECT o_orderkey AS id,
     CAST(o_orderstatus = 'F' OR (o_orderstatus = 'P' AND o_totalprice > 350000) AS INTEGER) AS label,
+    round(coalesce(disc, 0.0) * 100) AS int_rate, round(coalesce(tax, 0.0) * 100) AS revol_util,
     o_totalprice * 0.98::DOUBLE AS funded_amnt_inv, o_totalprice / 36 AS installment, c_acctbal * 10 + 20000 AS annual_inc,
     o_totalprice / 30000 AS dti, greatest(c_acctbal, 0.0) AS revol_bal,
     CASE WHEN returned > 0 THEN qty ELSE 0.0 END AS tot_coll_amt, c_acctbal AS tot_cur_bal,
@@ -108,7 +108,7 @@ LOAN_FEATURES = """
 ROUNDED = (
     "funded_amnt_inv installment annual_inc dti revol_bal tot_coll_amt tot_cur_bal total_rev_hi_lim delinq_2yrs "
     "inq_last_6mths open_acc pub_rec total_acc collections_12_mths_ex_med acc_now_delinq delinq_recency_score "
-    "derog_recency_score record_recency_score credit_age"
+    "derog_recency_score record_recency_score credit_age int_rate revol_util"
 )
 EXACT = (
     "id label ever_delinq delinq_24m ever_major_derog derog_60m ever_public_record record_60m purpose initial_list_status "
@@ -118,5 +118,4 @@ EXACT = (
 
 @register("flow_credit_features", LOAN_FEATURES, " ".join([EXACT, *[f"{c}~" for c in ROUNDED.split()]]))
 def _(spark, folder):
-    # the two rates are rounded to two digits as text, where ties may round either way
-    return credit.engineer(fx.loans(spark, folder)).drop("int_rate", "revol_util")
+    return credit.engineer(fx.loans(spark, folder))

@@ -186,7 +186,9 @@ def _(spark, folder):
 @register("l11_svm_boundary")
 def _(spark, folder):
     rows = fx.scored(spark, folder).withColumn("x2", F.col("label") * 0.5 + F.col("p") / 4)
-    model = cl.svm_linear(assemble(rows, ["p", "x2"]).persist())
+    vectors = assemble(rows, ["p", "x2"]).persist()
+    model = cl.svm_linear(vectors)
+    vectors.unpersist()
     return cl.boundary_line(rows, "p", model)
 
 
@@ -241,7 +243,7 @@ def _(spark, folder):
 
 
 def _wide_returns(spark, folder):
-    prices = panel.tail_dates(fx.price_panel(spark, folder), "month", 60)
+    prices = panel.tail_dates(fx.price_panel(spark, folder), "month", 400)
     returns = panel.date_align(panel.pct_change(prices, "ticker", "month", "price"), "ticker", "month", "ret")
     tickers = [r[0] for r in prices.select("ticker").distinct().orderBy("ticker").collect()]  # the columns
     return panel.to_wide(returns, "ticker", "month", "ret", tickers).checkpoint(), tickers
@@ -272,14 +274,14 @@ def _houses(spark, folder):
 @register("l15_random_forest")
 def _(spark, folder):
     rows = _houses(spark, folder)
-    model = forest.random_forest_regressor(rows.where("split = 'train'"), trees=20, depth=8)
+    model = forest.random_forest_regressor(rows.where("split = 'train'"), trees=100, depth=10)
     return regression_metrics(model.transform(rows.where("split = 'test'")), "label", "prediction")
 
 
 @register("l16_random_search")
 def _(spark, folder):
     train = _houses(spark, folder).where("split = 'train'").persist()
-    found = forest.random_search(train, forest.fit_ridge, forest.RIDGE_SPACE, n_iter=4)
+    found = forest.random_search(train, forest.fit_ridge, forest.RIDGE_SPACE)
     train.unpersist()
     return found.table(spark)
 
@@ -292,21 +294,21 @@ def _network_rows(spark, folder):
 @register("l17_mlp_classifier")
 def _(spark, folder):
     train, validation = _network_rows(spark, folder)
-    model = network.fit_mlp(train, validation, network.MlpParams(layers=1, units=16, alpha0=0.01, epochs=3, bn_momentum=0.9))
+    model = network.fit_mlp(train, validation, network.MlpParams(layers=1, units=64, alpha0=0.01, bn_momentum=0.9))
     return model.transform(validation).select("id", "label", "p")
 
 
 @register("l19_early_stopping_history")
 def _(spark, folder):
     train, validation = _network_rows(spark, folder)
-    p = network.MlpParams(layers=1, units=16, activation="tanh", alpha0=0.02, epochs=4, patience=2, bn_momentum=0.9)
+    p = network.MlpParams(layers=1, units=64, activation="tanh", alpha0=0.02, bn_momentum=0.9)
     return network.fit_mlp(train, validation, p).history_table(spark)
 
 
 @register("l20_mlp_random_search")
 def _(spark, folder):
     train, validation = _network_rows(spark, folder)
-    _, trials = network.mlp_random_search(train, validation, 2, 42, network.MlpParams(epochs=1))
+    _, trials = network.mlp_random_search(train, validation)
     return spark.createDataFrame(
         [(i, p.layers, p.units, p.activation, loss) for i, (p, loss) in enumerate(trials)],
         "trial int, layers int, units int, activation string, validation_loss double",

@@ -7,7 +7,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,7 +145,3 @@ def curve_points(df: DataFrame, x: str, points: int = 100, out: str = "x1") -> D
     return ends.select("lo", "hi", i.alias("i")).select(
         (F.col("lo") + F.col("i") * ((F.col("hi") - F.col("lo")) / F.lit(float(points - 1)))).alias(out)
     )
-
-
-def assemble_columns(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out).transform(df)

@@ -23,10 +23,6 @@ class Components:
         rows = [(i + 1, v, v / total) for i, v in enumerate(self.eigenvalues)]
         return spark.createDataFrame(rows, "component int, eigenvalue double, share double")
 
-    def loading_table(self, spark: SparkSession) -> DataFrame:
-        rows = [(i + 1, c, w) for i, line in enumerate(self.loadings) for c, w in zip(self.cols, line)]
-        return spark.createDataFrame(rows, "component int, column string, loading double")
-
     def project(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Scores of the un-centred rows on the kept components."""
         out = []

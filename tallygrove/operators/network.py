@@ -50,6 +50,7 @@ class MlpParams:
     epochs: int = 20
     patience: int = 3
     seed: int = 42
+    replicas: int = 8  # parts that are trained side by side and averaged; part of the result, not of the cluster
 
 
 # ---------------------------------------------------------------- the network as one flat vector
@@ -182,9 +183,10 @@ def training_rows(
     label: str = "label",
     id_col: str = "id",
     seed: int = 42,
+    replicas: int = 8,
 ) -> DataFrame:
-    """Both parts in one table, spread and ordered by hash: every task sees a fair, repeatable
-    sample of each. Persisted."""
+    """Both parts in one table, spread over the replicas and ordered by hash: each sees a fair, repeatable
+    sample of either, whatever the session's number of shuffle partitions. Persisted."""
 
     def shaped(df: DataFrame, part: str) -> DataFrame:
         return df.select(
@@ -196,7 +198,7 @@ def training_rows(
         )
 
     both = shaped(train, "train").unionByName(shaped(validation, "validation"))
-    return both.repartition("_h").sortWithinPartitions("part", "_h", "id").persist(StorageLevel.MEMORY_AND_DISK)
+    return both.repartition(replicas, "_h").sortWithinPartitions("part", "_h", "id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _blocks(total: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
@@ -356,7 +358,7 @@ def fit_mlp(
     ``epoch`` takes local minibatch steps and averages once an epoch; ``sync`` takes one exact
     full-batch step an epoch.
     """
-    rows = training_rows(train, validation, features, label, id_col, p.seed)
+    rows = training_rows(train, validation, features, label, id_col, p.seed, p.replicas)
     try:
         return _train(rows, p, mode)
     finally:
@@ -460,7 +462,7 @@ def mlp_random_search(
     train: DataFrame, validation: DataFrame, n_trials: int = 8, seed: int = 42, base: MlpParams = MlpParams(), **cols: str
 ) -> tuple[MlpModel, list[tuple[MlpParams, float]]]:
     """Best configuration by validation loss, trained once more; that run is the result."""
-    rows = training_rows(train, validation, seed=seed, **cols)
+    rows = training_rows(train, validation, seed=seed, replicas=base.replicas, **cols)
     try:
         trials = []
         for t in range(n_trials):

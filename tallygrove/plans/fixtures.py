@@ -109,13 +109,12 @@ def houses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def loans(spark: SparkSession, folder: str) -> DataFrame:
-    """Orders, their lines and customers in the columns of a loan table."""
+    """Orders, their lines and customers in the columns of a loan table; a fifth have no usable ``revol_util``."""
     lines = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("l_quantity").alias("qty"),
-        F.avg("l_discount").alias("disc"),
-        F.avg("l_tax").alias("tax"),
-        F.min("l_linenumber").alias("first_line"),
+        F.max("l_discount").alias("disc"),
+        F.max("l_tax").alias("tax"),
         F.count_if(F.col("l_returnflag") == "R").alias("returned"),
         F.count_if(F.col("l_linestatus") == "F").alias("closed"),
     )
@@ -132,8 +131,10 @@ def loans(spark: SparkSession, folder: str) -> DataFrame:
         (c("o_totalprice") / 36).alias("installment"),
         (c("c_acctbal") * 10 + 20000).alias("annual_inc"),
         (c("o_totalprice") / 30000).alias("dti"),
-        F.concat(F.round(F.coalesce("disc", F.lit(0.0)) * 100, 2).cast("string"), F.lit("%")).alias("int_rate"),
-        F.concat(F.round(F.coalesce("tax", F.lit(0.0)) * 100, 2).cast("string"), F.lit(" %")).alias("revol_util"),
+        F.concat(F.round(F.coalesce("disc", F.lit(0.0)) * 100).cast("string"), F.lit("%")).alias("int_rate"),
+        F.when(c("o_orderkey") % 10 == 7, F.lit("n/a"))
+        .when(c("o_orderkey") % 10 != 3, F.concat(F.round(F.coalesce("tax", F.lit(0.0)) * 100).cast("string"), F.lit(" %")))
+        .alias("revol_util"),
         F.lit(" 36 months").alias("term"),
         F.lit("10+ years").alias("emp_length"),
         F.date_format("o_orderdate", "MMM-yyyy").alias("issue_d"),
