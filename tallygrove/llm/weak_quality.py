@@ -28,19 +28,26 @@ _SYMBOL[list(b"#*$%&|<>{}[]\\^~_=+@")] = True
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
-#: name, measure, bad below, bad from, good from, good below: a value between the bands is no vote
-LABELLERS = (
-    ("length", "n_words", 20, None, 100, None),
-    ("symbols", "symbol_share", None, 0.05, 0.0, 0.005),
-    ("marked_words", "marked_share", None, 0.2, 0.0, 0.02),
-    ("letters", "letter_share", 0.88, None, 0.92, None),
-    ("capitals", "upper_share", None, 0.5, 0.0, 0.15),
-    ("repeats", "repeat_share", None, 0.3, 0.0, 0.05),
-    ("lines", "line_share", None, 0.3, 0.0, 0.1),
-    ("variety", "distinct_share", 0.2, None, 0.4, None),
-    ("word_size", "word_size", 2.5, 12.0, 3.5, 9.0),
-    ("sentences", "end_share", 0.005, 0.5, 0.02, 0.3),
+#: labellers of bad documents: name, measure, bad below, bad from; they vote nothing on others
+BAD_SIGNS = (
+    ("length", "n_words", 20, None),
+    ("symbols", "symbol_share", None, 0.05),
+    ("marked_words", "marked_share", None, 0.2),
+    ("letters", "letter_share", 0.86, None),
+    ("capitals", "upper_share", None, 0.5),
+    ("shouting", "shout_share", None, 0.3),
+    ("repeats", "repeat_share", None, 0.3),
+    ("lines", "line_share", None, 0.3),
+    ("variety", "distinct_share", 0.2, None),
+    ("word_size", "word_size", 2.5, 12.0),
+    ("sentences", "end_share", 0.005, 0.6),
 )
+#: labellers of good documents: name, and bands (measure, from, below) that must all hold
+GOOD_SIGNS = (
+    ("prose", (("end_share", 0.02, 0.3), ("symbol_share", 0.0, 0.03), ("upper_share", 0.0, 0.15), ("n_words", 30, np.inf))),
+    ("clean", (("letter_share", 0.92, 2.0), ("symbol_share", 0.0, 0.01), ("repeat_share", 0.0, 0.1), ("distinct_share", 0.3, 2.0))),
+)
+LABELLERS = tuple(x[0] for x in (*BAD_SIGNS, *GOOD_SIGNS))
 
 
 @dataclass(frozen=True)
@@ -80,6 +87,7 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
         "symbol_share": sum_ranges(_SYMBOL[data], offsets) / chars,
         "marked_share": words.sum_by_doc(marked[words.end] > marked[words.start]) / some,
         "letter_share": sum_ranges(_LETTER[data] & code_points(data), offsets) / chars,
+        "shout_share": words.sum_by_doc(last == ord("!")) / some,
         "upper_share": sum_ranges(_UPPER[data], offsets) / letters,
         "repeat_share": again / some,
         "line_share": 1 - np.maximum(np.bincount(lines.doc[line_kinds], minlength=words.docs), n_lines == 1) / n_lines,
@@ -91,56 +99,49 @@ def measures(column: pa.Array) -> dict[str, np.ndarray]:
 
 def votes(found: dict[str, np.ndarray]) -> np.ndarray:
     """Texts x labellers: BAD, NOTHING or GOOD. A text without words gets a vote from the length alone."""
-    out = np.full((len(found["n_words"]), len(LABELLERS)), NOTHING, np.uint8)
-    for k, (_, name, bad_below, bad_from, good_from, good_below) in enumerate(LABELLERS):
+    worded = found["n_words"] > 0
+    out = np.full((len(worded), len(LABELLERS)), NOTHING, np.uint8)
+    for k, (_, name, below, from_) in enumerate(BAD_SIGNS):
         v = found[name]
-        good = (v >= good_from) & (v < good_below if good_below is not None else True)
-        bad = np.zeros(len(v), bool)
-        if bad_below is not None:
-            bad |= v < bad_below
-        if bad_from is not None:
-            bad |= v >= bad_from
-        if name != "n_words":
-            good, bad = good & (found["n_words"] > 0), bad & (found["n_words"] > 0)
-        out[good, k], out[bad, k] = GOOD, BAD
+        bad = (v < below if below is not None else False) | (v >= from_ if from_ is not None else False)
+        out[bad & (worded | (name == "n_words")), k] = BAD
+    for k, (_, bands) in enumerate(GOOD_SIGNS, len(BAD_SIGNS)):
+        good = worded.copy()
+        for name, from_, below in bands:
+            good &= (found[name] >= from_) & (found[name] < below)
+        out[good, k] = GOOD
     return out
 
 
 @dataclass(frozen=True)
 class Votes:
-    """What expectation-maximisation found: share of good documents, and each labeller's votes on bad and good ones."""
+    """What expectation-maximisation found: the share of good documents and each labeller's accuracy where it votes."""
 
     good: float
-    tables: np.ndarray  # labellers x (bad, good) x (BAD, NOTHING, GOOD)
+    accuracy: np.ndarray
 
     def posterior(self, cast: np.ndarray) -> np.ndarray:
         """Probability that a document with these votes is good."""
-        logs = np.log(self.tables)
-        odds = np.full(len(cast), np.log(self.good / (1 - self.good)))
-        for k in range(cast.shape[1]):
-            odds += logs[k, 1, cast[:, k]] - logs[k, 0, cast[:, k]]
-        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-
-    def accuracies(self) -> np.ndarray:
-        """Of the votes that each labeller casts, the expected share that is right."""
-        prior = np.array([1 - self.good, self.good])
-        right = prior[0] * self.tables[:, 0, BAD] + prior[1] * self.tables[:, 1, GOOD]
-        return right / (prior * (self.tables[:, :, BAD] + self.tables[:, :, GOOD])).sum(axis=1)
+        odds = np.log(self.accuracy / (1 - self.accuracy))
+        logit = np.log(self.good / (1 - self.good)) + (cast.astype(np.int64) - NOTHING) @ odds
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Votes:
-    """Expectation-maximisation on vote patterns and how many documents have each; starts from the majority."""
-    labellers = patterns.shape[1]
-    p = 1 / (1 + np.exp(-2.0 * (patterns.astype(int) - NOTHING).sum(axis=1)))
+    """Expectation-maximisation on vote patterns and how many documents have each; starts from the majority.
+
+    Labellers are taken to be right more often than not, and to vote independently given the truth; whether one votes
+    says nothing.
+    """
+    side = patterns.astype(np.int64) - NOTHING
+    voted = (side != 0) * counts[:, None]
+    p = 1 / (1 + np.exp(-2.0 * side.sum(axis=1)))
+    model = Votes(0.5, np.full(patterns.shape[1], 0.7))
     for _ in range(rounds):
-        mass = np.stack([(1 - p) * counts, p * counts])
-        good = (mass[1].sum() + 1) / (mass.sum() + 2)
-        tables = np.empty((labellers, 2, 3))
-        for k in range(labellers):
-            for c in (0, 1):
-                seen = np.bincount(patterns[:, k], weights=mass[c], minlength=3) + np.array([1.0, 1.0, 1.0])
-                tables[k, c] = seen / seen.sum()
-        model = Votes(good, tables)
+        right = np.where(side > 0, p[:, None], 1 - p[:, None])
+        accuracy = ((right * voted).sum(axis=0) + 4.0) / (voted.sum(axis=0) + 5.0)
+        good = ((p * counts).sum() + 1) / (counts.sum() + 2)
+        model = Votes(float(np.clip(good, 0.01, 0.99)), np.clip(accuracy, 0.55, 0.995))
         p, before = model.posterior(patterns), p
         if np.abs(p - before).max(initial=0) < 1e-9:
             break
@@ -163,10 +164,12 @@ def features(column: pa.Array, bits: int) -> np.ndarray:
     at, value = windows(words, hashes, 3)
     _, back, counts = np.unique(value + mix(words.doc[at]), return_inverse=True, return_counts=True)
     triples = mix(np.minimum(counts[back], 3).astype(np.uint64) + np.uint64(3 << 32))
-    pairs = mix((LOWER[data[:-1]].astype(np.uint64) << np.uint64(8) | LOWER[data[1:]]) + np.uint64(4 << 32)) if len(data) > 1 else shapes[:0]
     own = np.repeat(np.arange(words.docs), np.diff(offsets))
+    low = LOWER[data].astype(np.uint64)
+    inside = np.flatnonzero(own[1:] == own[:-1])
+    pairs = mix((low[inside] << np.uint64(8) | low[inside + 1]) + np.uint64(4 << 32))
     out = []
-    for values, doc in ((shapes, words.doc), (sizes, words.doc), (often, words.doc), (triples, words.doc[at]), (pairs, own[:-1][: len(pairs)])):
+    for values, doc in ((shapes, words.doc), (sizes, words.doc), (often, words.doc), (triples, words.doc[at]), (pairs, own[inside])):
         slot = (values >> np.uint64(64 - bits)).astype(np.int64)
         x = np.bincount((doc << bits) + slot, minlength=words.docs << bits).reshape(words.docs, -1).astype(np.float32)
         out.append(x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9))
