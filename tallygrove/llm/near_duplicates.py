@@ -188,9 +188,38 @@ def _pairs(rows: DataFrame, sim: Similarity, apart: bool = False) -> DataFrame:
     return _distinct(a.join(b, "shingle").filter(wanted))
 
 
+def _mentioned(ids: DataFrame) -> np.ndarray:
+    """Hash buckets of all ids in the columns: fixed in size, and True for every id that is there and a few more."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for column in batch.columns:
+                total[_id_buckets(column)] = 1
+        yield from _emit(total)
+
+    return _add_up(ids.mapInArrow(mark, "part int, counts binary")) > 0
+
+
+def _id_buckets(column: pa.Array) -> np.ndarray:
+    return _bucket(mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+
+
+def _only(rows: DataFrame, maybe: np.ndarray) -> DataFrame:
+    """The rows whose ``doc_id`` is in a bucket that is True, so that the others needn't be shuffled."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(maybe[_id_buckets(batch.column("doc_id"))]))
+
+    return rows.mapInArrow(work, rows.schema)
+
+
 def _filtered(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
     """The pairs whose bitmaps are alike."""
     c = F.col
+    pairs = stored(pairs, "candidates")
+    sets = _only(sets, _mentioned(pairs))
     one = pairs.join(sets.select(c("doc_id").alias("a"), c("n").alias("na"), c("bits").alias("x")), "a")
     two = one.join(sets.select(c("doc_id").alias("b"), c("n").alias("nb"), c("bits").alias("y")), "b")
     return two.filter(_alike(c("x"), c("y"), sim)).select("a", "b").distinct()
@@ -200,19 +229,11 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """Those of the distinct pairs ``a``, ``b`` that are similar, as ``u``, ``v``. Sets are made anew, of documents in pairs only."""
     pairs = stored(pairs, "pairs")
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for column in batch.columns:
-                total[_bucket(mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))] = 1
-        yield from _emit(total)
-
-    maybe = _add_up(pairs.mapInArrow(mark, "part int, counts binary")) > 0
+    maybe = _mentioned(pairs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for part in slices(batch.filter(pa.array(maybe[_bucket(mix(ids.view(np.uint64)))]))):
+            for part in slices(batch.filter(pa.array(maybe[_id_buckets(batch.column("doc_id"))]))):
                 values, first = shingles(part.column("text"), sim.words)
                 raw = values.tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -297,7 +318,8 @@ def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similar
         if tests:
             pairs = _filtered(_to_heads(open_, sim, tests), sets, sim)
         else:
-            pairs = _pairs(open_.join(sets.select(c("doc_id").alias("doc"), "bits").dropDuplicates(["doc"]), "doc"), sim, apart=True)
+            own = _only(sets, _mentioned(open_.select("doc").distinct())).select(c("doc_id").alias("doc"), "bits").dropDuplicates(["doc"])
+            pairs = _pairs(open_.join(own, "doc"), sim, apart=True)
         links = stored(links.union(verified(pairs, texts, sim)), "verified")
     return links
 
