@@ -12,19 +12,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallygrove.operators.order_stats import sketched
+from tallygrove.operators.ranking import bucket
 
-def _year(c: str) -> Column:
-    return F.year(F.col(c))
+MAX_BLOCKS = 1024  # bounds the window over a ticker's blocks
+
+
+def with_blocks(df: DataFrame, date: str, blocks: int | None = None) -> DataFrame:
+    """Add ``_block``: non-decreasing in the date, about equal row counts of all tickers per block.
+
+    A ticker's rows of a block are no more than the block's, however unevenly tickers and dates are filled.
+    """
+    blocks = blocks or min(MAX_BLOCKS, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    moment = F.unix_micros(F.col(date).cast("timestamp")).cast("double")
+    (cuts,), _ = sketched(df, [(moment, [i / blocks for i in range(1, blocks)])])
+    return bucket(df.withColumn("_moment", moment), "_moment", sorted(set(cuts or [])), "_block").drop("_moment")
 
 
 def previous_value(
     df: DataFrame, ticker: str, date: str, value: str, out: str, skip_null: bool = False, block: Column | None = None
 ) -> DataFrame:
     """Add the value of the row before (per ticker, by date); with ``skip_null`` the last one present."""
-    blocked = df.withColumn("_block", _year(date) if block is None else block)
+    blocked = with_blocks(df, date) if block is None else df.withColumn("_block", block)
     when = F.when(F.col(value).isNotNull(), F.col(date)) if skip_null else F.col(date)
     ends = blocked.groupBy(ticker, "_block").agg(F.max_by(value, when).alias("_end"))
-    # one row per ticker and block: the calendar bounds the window
+    # one row per ticker and block: their number bounds the window
     earlier = Window.partitionBy(ticker).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select(ticker, "_block", F.last("_end", ignorenulls=skip_null).over(earlier).alias("_carry"))
     order = Window.partitionBy(ticker, "_block").orderBy(date)

@@ -38,7 +38,7 @@ def with_slots(df: DataFrame, key: str, tie: str | None = None, slots: int | Non
     runs = [(v, len(list(g))) for v, g in groupby(cuts or [])]
     hot = {v: n for v, n in runs if n > 1 and math.isfinite(v)} if tie else {}
     splits = sorted({v for v, _ in runs if math.isfinite(v)} | {math.nextafter(v, math.inf) for v in hot})
-    out = _bucket(df.withColumn("_key", F.col(key).cast("double") + F.lit(0.0)), "_key", splits, SLOT)
+    out = bucket(df.withColumn("_key", F.col(key).cast("double") + F.lit(0.0)), "_key", splits, SLOT)
     if not hot:
         return out.drop("_key")
 
@@ -49,12 +49,12 @@ def with_slots(df: DataFrame, key: str, tie: str | None = None, slots: int | Non
     for v, n in hot.items():
         parts[splits.index(v) + 1] = n
     starts = [sum(parts[:i]) for i in range(len(parts))]
-    out = _bucket(out.withColumn("_tie", F.col(tie).cast("double")), "_tie", fine, "_fine")
+    out = bucket(out.withColumn("_tie", F.col(tie).cast("double")), "_tie", fine, "_fine")
     share = F.floor(F.col("_fine") * F.get(F.lit(parts), F.col(SLOT)) / F.lit(len(fine) + 1))
     return out.withColumn(SLOT, F.get(F.lit(starts), F.col(SLOT)) + share.cast("int")).drop("_key", "_tie", "_fine")
 
 
-def _bucket(df: DataFrame, col: str, splits: Sequence[float], out: str) -> DataFrame:
+def bucket(df: DataFrame, col: str, splits: Sequence[float], out: str) -> DataFrame:
     if not splits:
         return df.withColumn(out, F.lit(0))
     stage = Bucketizer(splits=[-math.inf, *splits, math.inf], inputCol=col, outputCol=out, handleInvalid="keep")

@@ -50,6 +50,15 @@ def test_finer_blocks_agree(prices):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
+def test_a_large_ticker_is_divided(spark):
+    one = spark.range(9000).select(F.lit("A").alias("ticker"), F.expr("date_add(date'2021-01-01', cast(id % 300 as int))").alias("date"))
+    rest = spark.range(1000).select(F.lit("B").alias("ticker"), F.expr("date_add(date'2001-01-01', cast(id * 7 as int))").alias("date"))
+    sizes = panel.with_blocks(one.union(rest), "date", 20).groupBy("ticker", "_block").count().collect()
+    assert max(r["count"] for r in sizes) < 700 and sum(r.ticker == "A" for r in sizes) > 12
+    ends = panel.with_blocks(one, "date", 20).groupBy("_block").agg(F.min("date").alias("a"), F.max("date").alias("b")).orderBy("_block").collect()
+    assert all(x.b < y.a for x, y in zip(ends, ends[1:]))
+
+
 def test_tail_and_align(prices):
     df, pdf = prices
     kept = panel.tail_dates(df, "date", 100)
