@@ -52,7 +52,7 @@ def counts(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, limit=8 << 20):
+            for part in slices(batch):
                 _, hashes, endings = _words(part.column("text"))
                 word, first, n = np.unique(hashes, return_index=True, return_counts=True)
                 columns = [word.view(np.int64), endings[first].astype(np.int32), n.astype(np.int64)]
@@ -236,7 +236,7 @@ def train(texts: DataFrame, vocab: Vocabulary, settings: Settings = Settings())
             rng = np.random.default_rng([settings.seed, turn, TaskContext.get().partitionId()])
             seen = 0
             for batch in batches:
-                for part in slices(batch):
+                for part in slices(batch, limit=2 << 20):
                     _, _, _, target, one, two, _ = _sequences(part.column("text"), vocab)
                     learn(own, one, two, target, share, sums, rng, settings)
                     seen += len(target)
@@ -283,7 +283,7 @@ def score(docs: DataFrame, learned: Column, settings: Settings = Settings()) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=2 << 20):
                 words, hashes, count, target, one, two, ends = _sequences(part.column("text"), vocab)
                 logs = net.log_probabilities(one, two, target) / np.log(10) - vocab.room[target]
                 total = np.concatenate([[0], np.cumsum(logs)])
