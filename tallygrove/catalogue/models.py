@@ -6,7 +6,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
-from tallygrove.catalogue.registry import SCORED, register
+from tallygrove.catalogue.registry import SCORED, STRATIFIED, register
+from tallygrove.catalogue.statistics import ALIGNED
 from tallygrove.operators import classification as cl
 from tallygrove.operators import clustering, components, forest, neighbours, network, panel, ranking, regression
 from tallygrove.operators.evaluation import regression_metrics
@@ -163,6 +164,38 @@ def _(spark, folder):
     )
 
 
+def _path_sql(steps: int = 20) -> str:
+    """Newton steps for one feature and an intercept at all penalties of the grid side by side, then the validation losses."""
+    ctes = [
+        f"d AS MATERIALIZED (SELECT label AS y, p AS x, split FROM ({STRATIFIED}))",
+        f"t0 AS (SELECT unnest([{', '.join(map(repr, cl.C_GRID))}]::DOUBLE[]) AS c, 0.0::DOUBLE AS b, 0.0::DOUBLE AS w)",
+    ]
+    for i in range(steps):
+        ctes.append(
+            f"""s{i} AS MATERIALIZED (SELECT c, b, w, sum(1 / (1 + exp(-b - w * x)) - y) AS gb,
+                  sum((1 / (1 + exp(-b - w * x)) - y) * x) + w / c AS gw,
+                  sum(exp(-b - w * x) / pow(1 + exp(-b - w * x), 2)) AS hbb,
+                  sum(x * exp(-b - w * x) / pow(1 + exp(-b - w * x), 2)) AS hbw,
+                  sum(x * x * exp(-b - w * x) / pow(1 + exp(-b - w * x), 2)) + 1 / c AS hww
+                FROM d, t{i} WHERE split = 'train' GROUP BY c, b, w)"""
+        )
+        ctes.append(
+            f"""t{i + 1} AS (SELECT c, b - (hww * gb - hbw * gw) / (hbb * hww - hbw * hbw) AS b,
+                  w - (hbb * gw - hbw * gb) / (hbb * hww - hbw * hbw) AS w FROM s{i})"""
+        )
+    return f"""WITH {', '.join(ctes)}
+      SELECT c, avg(-y * ln(1 / (1 + exp(-b - w * x))) - (1 - y) * ln(1 - 1 / (1 + exp(-b - w * x)))) AS validation_loss
+      FROM d, t{steps} WHERE split = 'validation' GROUP BY c"""
+
+
+@register("l9_logistic_path_one_feature", _path_sql(), "c~ validation_loss~", digits=4)
+def _(spark, folder):
+    rows = assemble(fx.scored_split(spark, folder), ["p"], ["id", "label", "split"]).persist()
+    path = cl.logistic_path(rows.where("split = 'train'"), rows.where("split = 'validation'"))
+    rows.unpersist()
+    return spark.createDataFrame([(float(c), loss) for c, loss in path.losses], "c double, validation_loss double")
+
+
 LINEAR = f"SELECT id, 1 / (1 + exp(-(-0.5 + 1.25 * p + -0.75 * label))) AS p FROM ({SCORED})"
 
 
@@ -261,6 +294,39 @@ def _(spark, folder):
     return components.pca(wide, tickers, 3).project(wide, ["month"])
 
 
+# the eigenpairs of a two by two covariance, written out; a vector's largest entry is positive
+TWO_TICKERS = f"""
+  WITH r AS ({ALIGNED}), t AS (SELECT DISTINCT ticker FROM r ORDER BY ticker LIMIT 2),
+  x AS (SELECT month, max(ret) FILTER (ticker = (SELECT min(ticker) FROM t)) AS a,
+          max(ret) FILTER (ticker = (SELECT max(ticker) FROM t)) AS b FROM r GROUP BY month),
+  m AS (SELECT var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS c FROM x),
+  e AS (SELECT va, c, (va + vb) / 2 + side * sqrt(pow((va - vb) / 2, 2) + c * c) AS l, CASE WHEN side > 0 THEN 1 ELSE 2 END AS k
+        FROM m, (SELECT unnest([1.0::DOUBLE, -1.0]) AS side)),
+  v AS (SELECT k, l, c / sqrt(c * c + (l - va) * (l - va)) AS v1, (l - va) / sqrt(c * c + (l - va) * (l - va)) AS v2 FROM e),
+  s AS (SELECT k, l, v1, v2, CASE WHEN abs(v1) >= abs(v2) THEN sign(v1) ELSE sign(v2) END AS side FROM v)"""
+
+
+@register(
+    "l14_pca_two_shares",
+    f"{TWO_TICKERS} SELECT CAST(k AS INTEGER) AS component, l AS eigenvalue, l / (SELECT sum(l) FROM s) AS share FROM s",
+    "component eigenvalue~ share~",
+)
+def _(spark, folder):
+    wide, tickers = _wide_returns(spark, folder)
+    return components.pca(wide, tickers[:2], 2).shares(spark)
+
+
+@register(
+    "l14_pca_two_projection",
+    f"""{TWO_TICKERS} SELECT month, max(side * (v1 * a + v2 * b)) FILTER (k = 1) AS pc1,
+        max(side * (v1 * a + v2 * b)) FILTER (k = 2) AS pc2 FROM x, s GROUP BY month""",
+    "month pc1~ pc2~",
+)
+def _(spark, folder):
+    wide, tickers = _wide_returns(spark, folder)
+    return components.pca(wide, tickers[:2], 2).project(wide, ["month"])
+
+
 # ------------------------------------------------------------------ forest, searches, network
 
 
