@@ -23,7 +23,7 @@ from tallygrove.llm.text import Words, flat, slices
 BLOCK = 128
 PERCENTILE = 90
 SEGMENT = 1 << 20  # ids after which a segment ends with its document
-CACHED = 1_000_000  # words whose ids a worker remembers
+CACHED = 400_000  # words whose ids a worker remembers
 MAGIC = 0x31524F46  # "FOR1"
 SEGMENTS = "part int, start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, blocks binary"
 
