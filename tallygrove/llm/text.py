@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: text bytes worked on at a time: bounds a task's memory but for single longer texts
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 SPACES = b" \t\n\x0b\x0c\r"
 NOT_SPACE = np.ones(256, bool)
