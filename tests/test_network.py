@@ -80,3 +80,15 @@ def test_search_draws_are_per_trial():
     for t in range(30):
         p = nw.sample_params(t, 1)
         assert 1e-6 <= p.l2 <= 1e-2 and 1e-4 <= p.alpha0 <= 1 and p.units in (64, 128, 256, 384, 512)
+
+
+def test_the_model_does_not_depend_on_shuffle_partitions(spark, parts):
+    p = nw.MlpParams(layers=1, units=4, epochs=2, replicas=3)
+    before, losses = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("4", "16"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            losses.append(nw.fit_mlp(*parts, p).val_loss)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert losses[0] == pytest.approx(losses[1], rel=1e-9)
