@@ -50,8 +50,10 @@ def pack(ids: np.ndarray) -> bytes:
     for w in np.unique(width):
         if w:
             own = np.flatnonzero(width == w)
-            bits = (np.where(far[own], 0, rest[own])[:, :, None] >> np.arange(w)) & 1
-            packed[begin[own][:, None] + np.arange(size[own[0]])] = np.packbits(bits.reshape(len(own), -1).astype(np.uint8), axis=1, bitorder="little")
+            kind = "<u2" if w <= 16 else "<u4"
+            raw = np.where(far[own], 0, rest[own]).astype(kind)[:, :, None].view(np.uint8)
+            bits = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :w]
+            packed[begin[own][:, None] + np.arange(size[own[0]])] = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
     rows, places = np.nonzero(far)
     head = np.array([MAGIC, BLOCK, n, blocks, len(rows)], "<u8")
     arrays = [
@@ -86,8 +88,10 @@ def unpack(data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
         if w:
             own = np.flatnonzero(width[a:b] == w)
             raw = packed[own_begin[own][:, None] + np.arange(int(w) * block // 8)]
-            bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), block, int(w))
-            out[own] = bits @ (1 << np.arange(int(w)))
+            kind = "<u2" if w <= 16 else "<u4"
+            bits = np.zeros((len(own), block, 8 * int(kind[2])), np.uint8)
+            bits[:, :, :w] = np.unpackbits(raw, axis=1, bitorder="little").reshape(len(own), block, int(w))
+            out[own] = np.packbits(bits, axis=2, bitorder="little").view(kind)[:, :, 0]
     first = np.concatenate([[0], np.cumsum(exceptions, dtype=np.int64)])
     rows = np.repeat(np.arange(b - a), exceptions[a:b])
     out[rows, places[first[a] : first[b]]] = values[first[a] : first[b]]
@@ -115,20 +119,24 @@ class WordCache:
         """Ids of all texts and the offsets of each text's part."""
         words = Words(*flat(column))
         _, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.slots) + len(where) > CACHED:
-            self.clear()
         raw = words.data.tobytes()
         names = [raw[a:b] for a, b in zip(words.start[where].tolist(), words.end[where].tolist())]
         new = [x for x in names if x not in self.slots]
+        kept = len(self.slots)
         if new:
             got = [e.ids for e in self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)]
-            self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+            self.slots.update(zip(new, range(kept, kept + len(new))))
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in got])])
             self.pool = np.concatenate([self.pool, np.array([i for x in got for i in x], np.int32)])
         slot = np.array([self.slots[x] for x in names], np.int64)[back] if names else np.zeros(0, np.int64)
         size = self.begin[slot + 1] - self.begin[slot]
         ends = np.cumsum(size)
         ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[slot] - ends + size, size)]
+        if len(self.slots) > CACHED:  # the words seen first are the frequent ones and stay
+            for x in new:
+                del self.slots[x]
+            self.begin = self.begin[: kept + 1]
+            self.pool = self.pool[: self.begin[-1]]
         return ids, np.concatenate([[0], ends])[words.first]
 
 
@@ -155,7 +163,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["part", "start", "n_ids", "doc_ids", "doc_tokens", "blocks"])
 
         for batch in batches:
-            for piece in slices(batch, limit=1 << 20):
+            for piece in slices(batch):
                 found, offsets = cache.encode(piece.column("text"))
                 ids.append(np.insert(found, offsets[1:], end_id))
                 owners.append(piece.column("doc_id").to_pylist())
@@ -194,7 +202,8 @@ def read(segments: DataFrame) -> DataFrame:
                     )
 
     docs = segments.select(*[c.split()[0] for c in SEGMENTS.split(", ")]).mapInArrow(work, "part int, doc_id long, place long, ids array<int>")
-    return docs.join(bases, F.col("part") == F.col("of")).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "ids")
+    # a row for each written file: no more than the partitions of the write
+    return docs.join(F.broadcast(bases), F.col("part") == F.col("of")).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "ids")
 
 
 def digests(segments: DataFrame) -> DataFrame:
