@@ -8,6 +8,7 @@ folder in ascending order of document: Spark's writer commits them, whatever the
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,7 +24,7 @@ from tallygrove.llm.text import Words, flat, slices
 BLOCK = 128
 PERCENTILE = 90
 SEGMENT = 1 << 20  # ids after which a segment ends with its document
-CACHED = 400_000  # words whose ids a worker remembers
+CACHED = 600_000  # words whose ids a worker remembers
 MAGIC = 0x31524F46  # "FOR1"
 SEGMENTS = "part int, start long, n_ids long, doc_ids array<long>, doc_tokens array<long>, blocks binary"
 
@@ -106,6 +107,7 @@ class WordCache:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks fill the cores already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -124,7 +126,9 @@ class WordCache:
         new = [x for x in names if x not in self.slots]
         kept = len(self.slots)
         if new:
-            got = [e.ids for e in self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)]
+            got = []
+            for a in range(0, len(new), 5000):  # the tokenizer's results are large until their ids are taken
+                got += [e.ids for e in self.tokenizer.encode_batch([x.decode() for x in new[a : a + 5000]], add_special_tokens=False)]
             self.slots.update(zip(new, range(kept, kept + len(new))))
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in got])])
             self.pool = np.concatenate([self.pool, np.array([i for x in got for i in x], np.int32)])
@@ -163,7 +167,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> None:
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["part", "start", "n_ids", "doc_ids", "doc_tokens", "blocks"])
 
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, limit=1 << 20):
                 found, offsets = cache.encode(piece.column("text"))
                 ids.append(np.insert(found, offsets[1:], end_id))
                 owners.append(piece.column("doc_id").to_pylist())
