@@ -28,13 +28,18 @@ SCHEMA = (
 
 @dataclass(frozen=True)
 class Rules:
-    """Limits of the verdict; a document beyond any of them is not kept."""
+    """Limits of the verdict; a document beyond any of them is not kept.
+
+    Words of repeated runs are always in repeated windows of three, so ``covered_share`` only counts below
+    ``repeat_share``: prose repeats three words by chance, eight in a row it copies. A passage said twice is covered
+    twice, so at 30 percent 15 of 100 words say nothing new. 50 words in a row are a paragraph, not a phrase or a quote.
+    """
 
     min_words: int = 50  # fewer fail
     repeat_share: int = 50  # percent of words in repeated windows of three
     run_words: int = 8  # shortest repeated run of the suffix array that counts
-    covered_share: int = 60  # percent of words inside repeated runs
-    longest_run: int = 100  # words of the longest repeated run
+    covered_share: int = 30  # percent of words inside repeated runs
+    longest_run: int = 50  # words of the longest repeated run
     symbol_share: int = 5  # symbols a hundred word characters
 
 

@@ -86,3 +86,27 @@ def test_extra_columns_with_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b", 5, True)], "doc_id long, text string, n_words int, kept boolean")
     assert rep.quality(docs).collect()[0].n_words == 2
     assert rep.keep_good(docs).columns == docs.columns
+
+
+def numbered(*parts):
+    """A text of words that are all distinct but for repeated ranges."""
+    return " ".join(f"w{i}" for a, b in parts for i in range(a, b))
+
+
+def test_each_limit_of_the_runs_rejects_alone(spark):
+    short_runs = [(1000 * k, 1000 * k + 10) for k in range(8)]
+    texts = {
+        "covered": numbered(*short_runs, (20_000, 20_250), *[p for k, r in enumerate(short_runs) for p in (r, (30_000 + k, 30_001 + k))]),
+        "longest": numbered((0, 60), (100, 700), (0, 60)),
+        "twice": numbered((0, 70), (100, 260), (0, 70)),
+        "neither": numbered((0, 40), (100, 400), (0, 40)),
+    }
+    rows = [(i, t, "en", name, 1) for i, (name, t) in enumerate(texts.items())]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {rows[r.doc_id][3]: r for r in rep.quality(docs).collect()}
+    limits = rep.Rules()
+    beyond = {k: (100 * r.n_covered > limits.covered_share * r.n_words, r.longest_repeat > limits.longest_run) for k, r in got.items()}
+    assert beyond == {"covered": (True, False), "longest": (False, True), "twice": (True, True), "neither": (False, False)}
+    assert not any(r.base_failed for r in got.values())
+    assert {k for k, r in got.items() if r.kept} == {"neither"}
+    assert [r.source for r in rep.keep_good(docs).collect()] == ["neither"]
