@@ -2,8 +2,8 @@
 
 The agenda holds candidate merges by score, then from left to right; the best one is merged unless a hash keyed by the
 seed, the unit's key and the candidate's place skips it. No piece crosses a blank that follows another character, or a
-line end, so a text falls into units (blanks and the word after them) that are merged side by side in numpy; equal units
-with equal keys once. Characters without a piece become byte pieces, so every text decodes to itself.
+line end, so a text falls into units (blanks and the word after them) that are merged side by side in numpy. Every
+occurrence of a unit has a key of its own; without dropout equal units are merged once. Characters without a piece become byte pieces, so every text decodes to itself.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ from tallygrove.llm.text import ByteHash, code_points, flat, mix, slices
 BLANK = "▁"
 NEVER = np.int32(2**31 - 1)
 SLICE = 1 << 20  # text bytes whose units are merged at a time
+ROWS = 1 << 14  # units merged side by side
 WIDTHS = (4, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64)  # longer units go through the agenda one by one
 
 
 @dataclass(frozen=True)
 class Dropout:
-    """``alpha``: share of candidate merges that are skipped. An occurrence of a unit takes one of ``variants`` draws."""
+    """``alpha``: share of candidate merges that are skipped, drawn for each occurrence of a unit in each document."""
 
     alpha: float = 0.1
     seed: int = 7
-    variants: int = 16
 
 
 class Vocabulary:
@@ -212,9 +212,10 @@ def encode_texts(column: pa.Array, owners: np.ndarray, dropout: Dropout, vocab:
     keys = mix(ByteHash(data)(start, end))
     if dropout.alpha:
         nth = np.arange(len(start)) - np.searchsorted(doc, doc)
-        draw = mix(owners[doc] + mix(nth.astype(np.uint64)) + np.uint64(dropout.seed)) % np.uint64(dropout.variants)
-        keys = mix(keys + draw + (np.uint64(dropout.seed) << np.uint64(16)))
-    keys, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        keys = mix(keys + mix(owners[doc] + mix(nth.astype(np.uint64)) + mix(np.full(1, dropout.seed))))
+        where = back = np.arange(len(keys))
+    else:
+        keys, where, back = np.unique(keys, return_index=True, return_inverse=True)
 
     at, point = _characters(data)
     symbols = vocab.character[point]
@@ -223,9 +224,9 @@ def encode_texts(column: pa.Array, owners: np.ndarray, dropout: Dropout, vocab:
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # unit, symbol, character
     low = 0
     for width in WIDTHS:
-        units = np.flatnonzero((length > low) & (length <= width))
+        fitting = np.flatnonzero((length > low) & (length <= width))
         low = width
-        if len(units):
+        for units in (fitting[i : i + ROWS] for i in range(0, len(fitting), ROWS)):
             grid = np.minimum(begin[units, None] + np.arange(width), len(symbols) - 1)
             block = symbols[grid]
             left = by_matrix(block, length[units], keys[units], dropout.alpha, vocab)

@@ -104,3 +104,19 @@ def test_tables(spark):
     by = {(r.doc_id, r.text): r.ids for r in got}
     assert all(r.lossless for r in checked) and sorted(map(str, by.values())) == sorted(map(str, {(r.doc_id, str(r.ids)): r.ids for r in checked}.values()))
     assert {r.doc_id: r.n_chars for r in checked}[60] == len(rows[-1][1]) and [r.n_chars for r in checked if r.doc_id == 50] == [None]
+
+
+def test_every_occurrence_has_its_own_draws(monkeypatch):
+    many = 20_000
+    letters = [c for c in "abcdefghijklmnopqrstuvwxyz" if len(OWN.encode(c)) == 1]  # a blank and a letter: one candidate
+    assert len(letters) > 20
+    shares = [len(x) / many - 1 for x in encoded([" ".join([c] * many) for c in letters], sp.Dropout(0.1))]
+    assert max(abs(s - 0.1) for s in shares) < 0.015
+    ids = encoded([" ".join(["internationalization"] * many)], sp.Dropout(0.1))[0]
+    starts = [i for i, x in enumerate(ids) if VOCAB.text[x][:1] == b" "] + [len(ids)]
+    assert len(starts) == many + 1
+    assert len({tuple(ids[a:b]) for a, b in zip(starts, starts[1:])}) > 50
+    texts = [*TEXTS, "internationalization of words " * 30]
+    whole = encoded(texts, sp.Dropout(0.3))
+    monkeypatch.setattr(sp, "ROWS", 7)
+    assert encoded(texts, sp.Dropout(0.3)) == whole and decoded(whole) == texts
