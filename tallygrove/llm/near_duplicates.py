@@ -318,8 +318,10 @@ def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similar
         if tests:
             pairs = _filtered(_to_heads(open_, sim, tests), sets, sim)
         else:
-            own = _only(sets, _mentioned(open_.select("doc").distinct())).select(c("doc_id").alias("doc"), "bits").dropDuplicates(["doc"])
-            pairs = _pairs(open_.join(own, "doc"), sim, apart=True)
+            # all bitmaps of an id with several texts: a posting meets those of its size, its own among them
+            own = _only(sets, _mentioned(open_.select("doc").distinct())).select(c("doc_id").alias("doc"), "n", "bits")
+            own = own.groupBy("doc", "n").agg(F.collect_set("bits").alias("all")).select("doc", "n", F.explode("all").alias("bits"))
+            pairs = _pairs(open_.join(own, ["doc", "n"]), sim, apart=True)
         links = stored(links.union(verified(pairs, texts, sim)), "verified")
     return links
 

@@ -110,3 +110,16 @@ def test_components_of_a_path_a_star_and_a_loop(spark):
     got = {r.node: r.component for r in components(spark, spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {i: 5 if i == 5 else 7 for i in got} and len(got) == 61 + 101 + 1
     assert components(spark, spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_last_round_compares_all_texts_of_an_id(spark, monkeypatch):
+    monkeypatch.setattr(near, "SHORT", 0)
+    monkeypatch.setattr(near, "TESTS", (0,))  # all pairs are left to the last round
+    rows = []
+    for i in range(4):
+        for k in (100, 200):
+            words = [f"t{i}x{k}w{j}" for j in range(60 + k // 100)]
+            rows += [(i, " ".join(words)), (k + i, " ".join([*words, "more"]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    got = {(r.doc_id, r.component_id) for r in near.groups(docs).collect()}
+    assert got == {(e[0], e[2]) for e in brute(rows)} and len({c for _, c in got}) == 4
