@@ -327,12 +327,28 @@ def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similar
 
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
-    """One document of each group, the one of the smallest id, with all columns; rows without an id all stay."""
+    """One document of each group, the one of the smallest id, with all columns; rows without an id all stay.
+
+    Texts of one id that differ are documents of their own: the one of the least hash has the id, the others come after
+    all ids. Of rows of one id and text the one of the least hash stays, the same on a rerun.
+    """
+    c = F.col
+    key, mark = c("doc_id").cast("long"), F.xxhash64(c("text").cast("string"))
+    seen = docs.filter(key.isNotNull()).groupBy(key.alias("_id")).agg(F.count("*").alias("_rows"), F.min(mark).alias("_least"))
+    again = stored(seen.filter("_rows > 1").select("_id", "_least"), "repeated")
+    if again.isEmpty():
+        return _smallest(docs.withColumn("_node", key), sim).drop("_node")
+    later = F.xxhash64(key, mark).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    node = F.when(c("_id").isNull() | (mark == c("_least")), key).otherwise(later)
+    left = _smallest(docs.join(again, key == c("_id"), "left").withColumn("_node", node), sim)
+    row = F.struct(*docs.columns)
+    one = left.filter(c("_id").isNotNull()).groupBy("_node").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return left.filter(c("_id").isNull()).select(docs.columns).unionByName(one.select("_row.*"))
+
+
+def _smallest(docs: DataFrame, sim: Similarity) -> DataFrame:
+    """The rows whose ``_node`` is the smallest of its group, or null."""
     c = F.col
-    found = stored(groups(docs, sim), "groups")
-    gone = stored(found.filter(c("doc_id") != c("component_id")).select(c("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, c("doc_id").cast("long") == c("_gone"), "left_anti")
-    if found.filter(c("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return left
-    ided = left.filter(c("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return ided.unionByName(left.filter(c("doc_id").isNull()))
+    found = groups(docs.select(c("_node").alias("doc_id"), "text"), sim)
+    gone = found.filter(c("doc_id") != c("component_id")).select(c("doc_id").alias("_gone")).distinct()
+    return docs.join(stored(gone, "gone"), c("_node") == c("_gone"), "left_anti")

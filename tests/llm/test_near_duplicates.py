@@ -123,3 +123,20 @@ def test_last_round_compares_all_texts_of_an_id(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
     got = {(r.doc_id, r.component_id) for r in near.groups(docs).collect()}
     assert got == {(e[0], e[2]) for e in brute(rows)} and len({c for _, c in got}) == 4
+
+
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    def text(name, end=""):
+        return " ".join(f"{name}{j}" for j in range(60)) + end
+
+    rows = [(7, text("a")), (7, text("b")), (7, text("b")), (3, text("c")), (500, text("d")), (500, text("e")), (20, text("d", " x")), (30, text("e", " x"))]
+    rows += [(40, text("f")), (40, text("f", " x")), (7, None), (None, text("a")), (None, text("a"))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{n}", n) for n, (i, t) in enumerate(rows)], DOCS)
+    left = near.keep_one(docs)
+    assert left.schema == docs.schema
+    got = left.collect()
+    kept = sorted((r.doc_id, r.text[0]) for r in got if r.doc_id is not None and r.text)
+    assert kept == [(3, "c"), (7, "a"), (7, "b"), (20, "d"), (30, "e"), (40, "f")]
+    assert len([r for r in got if r.doc_id is None]) == 2 and len(got) == 9
+    again = near.keep_one(docs.repartition(7, "source")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
