@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["op1_sentencepiece_dropout", "op2_quality_rules", "op3_neural_lm", "op4_chat", "op5_token_files", "op6_weak_quality", "op7_near_duplicates", "op8_language_id", "op9_toxicity", "op10_decontamination", "op11_periodic_runs", "op12_byte_bpe"]
+MODULES = ["op1_sentencepiece_dropout", "op2_quality_rules", "op3_neural_lm", "op4_chat", "op5_token_files", "op6_weak_quality", "op7_near_duplicates", "op8_language_id", "op9_toxicity", "op10_decontamination", "op11_periodic_runs", "op12_byte_bpe", "op13_alignment"]
 
 
 def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
