@@ -50,6 +50,5 @@ SQL = rf"""
   SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
          CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
          CAST(n_repeat_words AS BIGINT) AS n_repeat_words, CAST(n_covered AS BIGINT) AS n_covered, base_failed,
-         NOT base_failed AND 100 * n_covered <= {RULES.covered_share} * n_words AND NOT long_repeat
-           AND 100 * n_symbols <= {RULES.symbol_share} * word_chars AS kept, long_repeat
+         NOT base_failed AND 100 * n_covered <= {RULES.covered_share} * n_words AND NOT long_repeat AS kept, long_repeat
   FROM judged"""

@@ -12,7 +12,7 @@ from test_repetition import brute as measured
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tallygrove.llm import toxicity
+from tallygrove.llm import repetition, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -31,6 +31,8 @@ def corpus():
             words[10:10] = item[3 : 3 + rng.choice([12, 13, 20])]
         elif i % 7 == 0:
             words = words[:20] * 8
+        elif i % 13 == 0:  # a passage said twice
+            words = words[:14] + words[20:80] + words[:14] + words[90:100]
         rows.append((i * 3, " ".join(words)))
     for i in range(0, 30, 2):  # near and exact copies
         words = rows[i][1].split(" ")
@@ -48,9 +50,12 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = corpus_pipeline.run(spark, str(tmp_path))
 
+    limits = repetition.Rules()
+
     def good(text):
-        n, chars, symbols, _, twice, covered, longest = measured(text, 8)
-        return n >= 50 and 2 * twice <= n and 100 * covered <= 60 * n and longest <= 100 and 100 * symbols <= 5 * chars
+        n, _, _, _, twice, covered, longest = measured(text, limits.run_words)
+        base = n >= limits.min_words and 100 * twice <= limits.repeat_share * n
+        return base and 100 * covered <= limits.covered_share * n and longest <= limits.longest_run
 
     left = [(i, t) for i, t in rows if good(t)]
     assert 0 < len(left) < len(rows)
@@ -82,5 +87,5 @@ def test_stages_keep_the_columns(spark, small):
 def test_all_queries_are_entered():
     names = set(entry.queries())
     numbers = {int(m[1]) for n in names if (m := re.match(r"op(\d+)_", n))}
-    assert numbers == set(range(1, 11)) and "pipeline" in names
+    assert numbers == set(range(1, 14)) and "pipeline" in names
     assert set(entry.oracle_sql()) <= names

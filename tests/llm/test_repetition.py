@@ -97,9 +97,9 @@ def test_each_limit_of_the_runs_rejects_alone(spark):
     short_runs = [(1000 * k, 1000 * k + 10) for k in range(8)]
     texts = {
         "covered": numbered(*short_runs, (20_000, 20_250), *[p for k, r in enumerate(short_runs) for p in (r, (30_000 + k, 30_001 + k))]),
-        "longest": numbered((0, 60), (100, 700), (0, 60)),
+        "longest": numbered((0, 31), (100, 700), (0, 31)),
         "twice": numbered((0, 70), (100, 260), (0, 70)),
-        "neither": numbered((0, 40), (100, 400), (0, 40)),
+        "neither": numbered((0, 25), (100, 400), (0, 25)) + " #$%" * 3 + " #### $$$$ <<<<",
     }
     rows = [(i, t, "en", name, 1) for i, (name, t) in enumerate(texts.items())]
     docs = spark.createDataFrame(rows, DOCS)
