@@ -1,12 +1,13 @@
 """A small feed-forward classifier trained on partitions of a table.
 
-One epoch is one Spark job. Every task starts from the same weights, takes Adam minibatch steps over
-its own rows as Arrow batches arrive, and emits its weights times its row count, cut into blocks.
-The blocks are summed on the executors and the driver receives one averaged vector, whatever the
-number of tasks. This is parameter averaging ("local SGD"), a declared departure from one process
-that sees every minibatch in turn; batch normalisation uses each minibatch's own statistics and its
-moving averages are averaged like weights. ``mode="sync"`` instead sums exact full-batch gradients
-and takes one Adam step per job.
+One epoch is one Spark job, for any number of networks side by side: every task starts from the same
+weights, takes Adam minibatch steps over its own rows as Arrow batches arrive, and emits each network's
+weights times its row count, cut into binary blocks. The same pass measures the losses of the weights it
+started from. Blocks are summed on the executors and the driver receives one averaged vector a network,
+whatever the number of tasks; a network that has stopped leaves the broadcast. This is parameter averaging
+("local SGD"), a declared departure from one process that sees every minibatch in turn; batch
+normalisation uses each minibatch's own statistics and its moving averages are averaged like weights.
+``mode="sync"`` instead sums exact full-batch gradients and takes one Adam step per job.
 
 Tasks depend only on their rows, their order and the seed, so a lost task repeats its result.
 """
@@ -21,16 +22,19 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel, TaskContext
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions.scalars import hash_order
-from tallygrove.operators.evaluation import log_loss_expr
+from tallygrove.operators.evaluation import TINY
 
-BLOCK = 4096  # numbers per block of an emitted weight vector
+BLOCK = 1 << 16  # numbers per block of an emitted vector
+AUC_STEPS = 199  # the epoch table's AUC is read off this many evenly spaced thresholds
+PARTS = ("train", "validation")
+STEPS = np.float32  # minibatch steps are taken in single precision; averages and exact gradients are double
 BN_EPS = 1e-3
 BETA1, BETA2, ADAM_EPS = 0.9, 0.999, 1e-8
 
@@ -114,7 +118,7 @@ def forward(p: MlpParams, net: Mapping[str, np.ndarray], x: np.ndarray, rng: np.
         a = np.maximum(z, 0.0) if p.activation == "relu" else np.tanh(z)
         mask = None
         if train and rng is not None and p.keep < 1.0:
-            mask = (rng.random(a.shape) < p.keep) / p.keep
+            mask = (rng.random(a.shape, dtype=a.dtype) < p.keep).astype(a.dtype) / p.keep
         tape.append((h, norm, a, mask))
         h = a if mask is None else a * mask
     return (h @ net["w_out"] + net["b_out"])[:, 0], tape, h
@@ -162,9 +166,19 @@ def gradient(p: MlpParams, nx: int, flat: np.ndarray, x: np.ndarray, y: np.ndarr
 def adam(flat: np.ndarray, grad: np.ndarray, m: np.ndarray, v: np.ndarray, step: int, rate: float, size: int) -> None:
     """One step on the first ``size`` numbers, in place."""
     g = grad[:size]
-    m += (1 - BETA1) * (g - m)
-    v += (1 - BETA2) * (g * g - v)
-    flat[:size] -= rate * (m / (1 - BETA1**step)) / (np.sqrt(v / (1 - BETA2**step)) + ADAM_EPS)
+    work = g - m
+    work *= 1 - BETA1
+    m += work
+    np.multiply(g, g, out=work)
+    work -= v
+    work *= 1 - BETA2
+    v += work
+    np.divide(v, 1 - BETA2**step, out=work)
+    np.sqrt(work, out=work)
+    work += ADAM_EPS
+    np.divide(m, work, out=work)
+    work *= rate / (1 - BETA1**step)
+    flat[:size] -= work
 
 
 # ---------------------------------------------------------------- Spark jobs
@@ -201,61 +215,161 @@ def training_rows(
     return both.repartition(replicas, "_h").sortWithinPartitions("part", "_h", "id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def _blocks(total: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
-    """A task's summed vector as (block, numbers) rows, with the row count behind it."""
+def _blocks(key: int, total: np.ndarray, rows: int) -> Iterator[pa.RecordBatch]:
+    """A task's summed vector as (key, block, task, rows, numbers) rows."""
+    task = TaskContext.get().partitionId()
     for b in range(0, len(total), BLOCK):
-        yield pa.RecordBatch.from_pydict(
-            {"block": [b // BLOCK], "part": [total[b : b + BLOCK].tolist()], "n": [rows]},
-            pa.schema([("block", pa.int32()), ("part", pa.list_(pa.float64())), ("n", pa.int64())]),
-        )
+        row = [[key], [b // BLOCK], [task], [rows], [np.ascontiguousarray(total[b : b + BLOCK]).tobytes()]]
+        types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], ["key", "block", "task", "n", "sums"])
 
 
-def _summed(rows: DataFrame, task: Callable) -> tuple[np.ndarray, int]:
-    """Run ``task`` on every partition and add up what the tasks emit, block by block, on the
-    executors. The driver gets one vector of the size a single task emits."""
-    parts = rows.mapInArrow(task, "block int, part array<double>, n bigint")
-    sums = (
-        parts.withColumn("_v", array_to_vector("part"))
-        .groupBy("block")
-        .agg(Summarizer.sum(F.col("_v")).alias("s"), F.sum("n").alias("n"))
-        .orderBy("block")
-        .collect()
-    )
-    return np.concatenate([r.s.toArray() for r in sums]), sums[0].n
+def _summed(rows: DataFrame, task: Callable) -> dict[int, tuple[np.ndarray, int]]:
+    """Run ``task`` on every partition and add up what the tasks emit, by key, block by block, on the
+    executors. The driver gets one vector a key, of the size a single task emits."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, count = None, None, 0
 
-def local_epoch(rows: DataFrame, p: MlpParams, nx: int, state: np.ndarray, moments: np.ndarray, epoch: int, step: int, per_epoch: int):
-    """One pass of minibatch steps in every partition; weights and Adam moments averaged by rows."""
-    size = _trained(p, nx)
-    sent = rows.sparkSession.sparkContext.broadcast((state, moments))
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([count], pa.int64())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([total.tobytes()], pa.binary())], ["key", "block", "n", "sums"])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng([p.seed, epoch, TaskContext.get().partitionId()])
-        flat, mv = sent.value[0].copy(), sent.value[1].copy()
-        m, v = mv[:size], mv[size:]
-        seen, t = 0, step
         for batch in batches:
-            x, y = _rows(batch)
-            order = rng.permutation(len(y))
-            for lo in range(0, len(y), p.batch):
-                at = order[lo : lo + p.batch]
-                rate = p.alpha0 / (1 + p.decay * (t / per_epoch))
-                t += 1
-                grad, tape = gradient(p, nx, flat, x[at], y[at], rng)
-                adam(flat, grad, m, v, t, rate, size)
-                net = view(p, nx, flat)
-                for i, (_, norm, _, _) in enumerate(tape):
-                    if norm is not None:
-                        net[f"m{i}"][:] += (1 - p.bn_momentum) * (norm[2] - net[f"m{i}"])
-                        net[f"v{i}"][:] += (1 - p.bn_momentum) * (norm[3] - net[f"v{i}"])
-            seen += len(y)
-        if seen:
-            yield from _blocks(np.concatenate([flat, mv, [float(t - step)]]) * seen, seen)
+            keys, blocks, counts = (batch.column(c).to_pylist() for c in ("key", "block", "n"))
+            for key, block, n, sums in zip(keys, blocks, counts, batch.column("sums")):
+                x = np.frombuffer(sums.as_buffer())
+                if (key, block) != now:
+                    if now is not None:
+                        yield out()
+                    now, total, count = (key, block), x.copy(), n
+                else:
+                    total += x
+                    count += n
+        if now is not None:
+            yield out()
+
+    parts = rows.mapInArrow(task, "key int, block int, task int, n bigint, sums binary")
+    # in the order of tasks, so that the sums are the same on a rerun
+    dealt = parts.repartition("key", "block").sortWithinPartitions("key", "block", "task")
+    found: dict[int, list] = {}
+    for r in dealt.mapInArrow(add, "key int, block int, n bigint, sums binary").collect():
+        found.setdefault(r.key, []).append((r.block, r.n, r.sums))
+    return {k: (np.concatenate([np.frombuffer(s) for _, _, s in sorted(v)]), v[0][1]) for k, v in found.items()}
+
+
+class _Meter:
+    """Losses and thresholded counts of one network over the rows of both parts, as one vector that adds up."""
+
+    def __init__(self, total: np.ndarray | None = None):
+        self.total = np.zeros((len(PARTS), 1 + 2 * (AUC_STEPS + 1))) if total is None else total.reshape(len(PARTS), -1)
+
+    def add(self, part: int, logit: np.ndarray, y: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            p = 1.0 / (1.0 + np.exp(-logit))
+        q = np.clip(p, TINY, 1 - TINY)
+        step = np.ceil(np.nan_to_num(p) * AUC_STEPS).astype(np.int64)
+        self.total[part, 0] -= float(np.where(y == 1, np.log(q), np.log1p(-q)).sum())
+        self.total[part, 1:] += np.bincount(2 * step + (y == 1), minlength=2 * (AUC_STEPS + 1))
+
+    def read(self, penalty: float) -> list[tuple[float, float]]:
+        """Mean cross-entropy plus penalty, and AUC over the fixed grid of thresholds, of each part."""
+        out = []
+        for row in self.total:
+            counts = row[1:].reshape(-1, 2)[::-1]
+            reach = np.vstack([np.zeros(2), np.cumsum(counts, axis=0)])
+            sizes = reach[-1]
+            area = float((np.diff(reach[:, 0]) * (reach[1:, 1] + reach[:-1, 1]) / 2).sum())
+            auc = area / (sizes[0] * sizes[1]) if sizes.all() else math.nan
+            out.append((float(row[0] / sizes.sum() + penalty) if sizes.sum() else math.nan, float(auc)))
+        return out
+
+
+@dataclass
+class _Trial:
+    """A network in training."""
+
+    p: MlpParams
+    nx: int
+    per_epoch: int
+    state: np.ndarray = field(repr=False)
+    moments: np.ndarray = field(repr=False)
+    best: np.ndarray = field(repr=False)
+    step: int = 0
+    best_loss: float = math.inf
+    bad: int = 0
+    history: list = field(default_factory=list)
+
+    def measured(self, epoch: int, meter: _Meter) -> bool:
+        """Note an epoch's losses; whether training goes on."""
+        (loss, auc), (val_loss, val_auc) = meter.read(penalty(self.p, view(self.p, self.nx, self.state)))
+        self.history.append((epoch, loss, auc, val_loss, val_auc))
+        if math.isfinite(val_loss) and val_loss < self.best_loss:
+            self.best, self.best_loss, self.bad = self.state, val_loss, 0
+        else:
+            self.bad += 1
+        return self.bad < self.p.patience and epoch < self.p.epochs
+
+
+def _minibatches(trial: _Trial, flat: np.ndarray, mv: np.ndarray, t: int, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> int:
+    """Adam steps over shuffled rows, in place; the number of the last step."""
+    p, size = trial.p, _trained(trial.p, trial.nx)
+    order = rng.permutation(len(y))
+    net = view(p, trial.nx, flat)
+    for lo in range(0, len(y), p.batch):
+        at = order[lo : lo + p.batch]
+        rate = p.alpha0 / (1 + p.decay * (t / trial.per_epoch))
+        t += 1
+        grad, tape = gradient(p, trial.nx, flat, x[at], y[at], rng)
+        adam(flat, grad, mv[:size], mv[size:], t, rate, size)
+        for i, (_, norm, _, _) in enumerate(tape):
+            if norm is not None:
+                net[f"m{i}"][:] += (1 - p.bn_momentum) * (norm[2] - net[f"m{i}"])
+                net[f"v{i}"][:] += (1 - p.bn_momentum) * (norm[3] - net[f"v{i}"])
+    return t
+
+
+def joint_epoch(
+    rows: DataFrame, trials: Mapping[int, _Trial], epoch: int, measure: bool, train: bool
+) -> tuple[dict[int, _Meter], dict[int, np.ndarray]]:
+    """One pass for all networks: the losses they enter with, then minibatch steps in every partition.
+
+    Returns those losses, and the new weights, Adam moments and number of steps, averaged by rows. The broadcast holds the
+    weights and moments of the networks that are still in training, and a task a copy of them.
+    """
+    entering = {k: (replace(t, best=t.state[:0], history=[]), t.state, t.moments) for k, t in trials.items()}
+    sent = rows.sparkSession.sparkContext.broadcast(entering)
 
-    total, n = _summed(rows, task)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        enter = {k: s.astype(STEPS) for k, (_, s, _) in sent.value.items()}
+        own = {k: [t, enter[k].copy(), m.astype(STEPS), t.step, np.random.default_rng([t.p.seed, epoch, part])] for k, (t, _, m) in sent.value.items()}
+        meters = {k: _Meter() for k in own}
+        seen = everything = 0
+        for batch in batches:
+            x, y = (v.astype(STEPS) for v in _rows(batch))
+            everything += len(y)
+            first = pc.equal(batch.column("part"), PARTS[0]).to_numpy(zero_copy_only=False)
+            for k, job in own.items():
+                trial = job[0]
+                if measure:
+                    logit = forward(trial.p, view(trial.p, trial.nx, enter[k]), x)[0].astype(np.float64)
+                    for i, rows_ in enumerate((first, ~first)):
+                        if rows_.any():
+                            meters[k].add(i, logit[rows_], y[rows_])
+                if train and first.any():
+                    job[3] = _minibatches(trial, job[1], job[2], job[3], x[first], y[first], job[4])
+            seen += int(first.sum())
+        for k, (trial, flat, mv, t, _) in own.items():
+            if train and seen:
+                yield from _blocks(2 * k, np.concatenate([flat, mv, [t - trial.step]]).astype(np.float64) * seen, seen)
+            if measure and everything:
+                yield from _blocks(2 * k + 1, meters[k].total.reshape(-1), everything)
+
+    sums = _summed(rows, task)
     sent.unpersist()
-    mean = total / n
-    return mean[: len(state)], mean[len(state) : -1], max(1, round(mean[-1]))
+    meters = {k: _Meter(sums[2 * k + 1][0]) for k in trials if 2 * k + 1 in sums}
+    return meters, {k: sums[2 * k][0] / sums[2 * k][1] for k in trials if 2 * k in sums}
 
 
 def full_gradient(rows: DataFrame, p: MlpParams, nx: int, state: np.ndarray) -> np.ndarray:
@@ -272,9 +386,9 @@ def full_gradient(rows: DataFrame, p: MlpParams, nx: int, state: np.ndarray) ->
             total += gradient(plain, nx, sent.value, x, y, None)[0] * len(y)
             seen += len(y)
         if seen:
-            yield from _blocks(total, seen)
+            yield from _blocks(0, total, seen)
 
-    total, n = _summed(rows, task)
+    total, n = _summed(rows, task)[0]
     sent.unpersist()
     grad = total / n
     for name, a in view(p, nx, grad).items():
@@ -313,37 +427,6 @@ class MlpModel:
         )
 
 
-AUC_STEPS = 199  # the epoch table's AUC is read off this many evenly spaced thresholds
-
-
-def _losses(model: MlpModel, rows: DataFrame) -> dict[str, tuple[float, float]]:
-    """Per part: mean cross-entropy plus penalty, and AUC over a fixed grid of thresholds.
-
-    One job; what reaches the driver is a few hundred counts per part.
-    """
-    scored = rows.select("part", F.col("y").alias("label"), model._scorer()("x").alias("p"))
-    step = F.ceil(F.col("p") * F.lit(float(AUC_STEPS))).cast("int")
-    n = F.count(F.lit(1))
-    counts = scored.groupBy("part", step.alias("step")).agg(
-        n.alias("n"), F.sum("label").alias("pos"), (log_loss_expr() * n).alias("loss")
-    )
-    found = counts.collect()
-    out = {}
-    for part in {r.part for r in found}:
-        table = np.zeros((AUC_STEPS + 1, 2))
-        total = 0.0
-        for r in found:
-            if r.part == part:
-                table[r.step] = (r.n - r.pos, r.pos)
-                total += r.loss
-        reach = np.vstack([np.zeros(2), np.cumsum(table[::-1], axis=0)])
-        sizes = reach[-1]
-        area = float((np.diff(reach[:, 0]) * (reach[1:, 1] + reach[:-1, 1]) / 2).sum())
-        auc = float(area / (sizes[0] * sizes[1])) if sizes.all() else math.nan
-        out[part] = (float(total / sizes.sum() + model.penalty()), float(auc))
-    return out
-
-
 def fit_mlp(
     train: DataFrame,
     validation: DataFrame,
@@ -360,45 +443,47 @@ def fit_mlp(
     """
     rows = training_rows(train, validation, features, label, id_col, p.seed, p.replicas)
     try:
-        return _train(rows, p, mode)
+        return train_together(rows, [p], mode)[0]
     finally:
         rows.unpersist()
 
 
-def _train(rows: DataFrame, p: MlpParams, mode: str = "epoch") -> MlpModel:
+def train_together(rows: DataFrame, params: Sequence[MlpParams], mode: str = "epoch") -> list[MlpModel]:
+    """All networks over the same rows (of ``training_rows``), each as if it were trained alone.
+
+    ``epoch`` needs one job an epoch for all of them and one more: a pass measures the weights it starts from. One that
+    doesn't improve for its ``patience`` epochs, or has had all its epochs, leaves.
+    """
     if mode not in ("epoch", "sync"):
         raise ValueError(f"unknown mode '{mode}'")
     fit_rows = rows.where("part = 'train'")
     sizes = fit_rows.select(F.size("x").alias("nx"), F.spark_partition_id().alias("part_no"))
-    shape = sizes.agg(
-        F.count(F.lit(1)).alias("n"), F.max("nx").alias("nx"), F.count_distinct("part_no").alias("parts")
-    ).first()
-    nx, parts = shape.nx, shape.parts
-    state = initial(p, nx)
-    size = _trained(p, nx)
-    moments = np.zeros(2 * size)
-    step, per_epoch = 0, max(1, math.ceil(shape.n / parts / p.batch)) if mode == "epoch" else 1
-    best, best_loss, bad, history = state, math.inf, 0, []
-    for epoch in range(1, p.epochs + 1):
-        if mode == "epoch":
-            state, moments, taken = local_epoch(fit_rows, p, nx, state, moments, epoch, step, per_epoch)
-            step += taken
-        else:
-            state = state.copy()
-            rate = p.alpha0 / (1 + p.decay * step)
-            step += 1
-            adam(state, full_gradient(fit_rows, p, nx, state), moments[:size], moments[size:], step, rate, size)
-        now = MlpModel(p, nx, state)
-        measured = _losses(now, rows)
-        (train_loss, train_auc), (val_loss, val_auc) = measured["train"], measured["validation"]
-        history.append((epoch, train_loss, train_auc, val_loss, val_auc))
-        if math.isfinite(val_loss) and val_loss < best_loss:
-            best, best_loss, bad = state, val_loss, 0
-        else:
-            bad += 1
-            if bad >= p.patience:
-                break
-    return MlpModel(p, nx, best, history, best_loss)
+    shape = sizes.agg(F.count(F.lit(1)).alias("n"), F.max("nx").alias("nx"), F.count_distinct("part_no").alias("parts")).first()
+    nx = shape.nx
+    trials = {}
+    for k, p in enumerate(params):
+        state = initial(p, nx)
+        per_epoch = max(1, math.ceil(shape.n / shape.parts / p.batch)) if mode == "epoch" else 1
+        trials[k] = _Trial(p, nx, per_epoch, state, np.zeros(2 * _trained(p, nx)), state)
+    live, epoch = dict(trials), 0
+    while live:
+        epoch += 1
+        last = all(epoch > t.p.epochs for t in live.values())
+        meters, updates = joint_epoch(rows, live, epoch, measure=epoch > 1, train=mode == "epoch" and not last)
+        if epoch > 1:
+            live = {k: t for k, t in live.items() if t.measured(epoch - 1, meters.get(k, _Meter()))}
+        for k, trial in live.items():
+            size = len(trial.state)
+            if mode == "sync":
+                rate = trial.p.alpha0 / (1 + trial.p.decay * trial.step)
+                trial.step += 1
+                half, grad = _trained(trial.p, nx), full_gradient(fit_rows, trial.p, nx, trial.state)
+                trial.state = trial.state.copy()
+                adam(trial.state, grad, trial.moments[:half], trial.moments[half:], trial.step, rate, half)
+            elif k in updates:
+                trial.state, trial.moments = updates[k][:size], updates[k][size:-1]
+                trial.step += max(1, round(updates[k][-1]))
+    return [MlpModel(t.p, nx, t.best, t.history, t.best_loss) for t in trials.values()]
 
 
 # ---------------------------------------------------------------- gradient check and search
@@ -430,9 +515,9 @@ def gradient_check(rows: DataFrame, p: MlpParams, nx: int, state: np.ndarray, co
             total += np.concatenate([g, ends])
             seen += len(y)
         if seen:
-            yield from _blocks(total, seen)
+            yield from _blocks(0, total, seen)
 
-    total, n = _summed(rows, task)
+    total, n = _summed(rows, task)[0]
     sent.unpersist()
     k = len(at)
     analytic = total[:k] / n
@@ -461,14 +546,14 @@ def sample_params(trial: int, seed: int, base: MlpParams = MlpParams()) -> MlpPa
 def mlp_random_search(
     train: DataFrame, validation: DataFrame, n_trials: int = 8, seed: int = 42, base: MlpParams = MlpParams(), **cols: str
 ) -> tuple[MlpModel, list[tuple[MlpParams, float]]]:
-    """Best configuration by validation loss, trained once more; that run is the result."""
+    """The network of the best configuration by validation loss, and each trial's loss.
+
+    All trials are trained side by side: one job an epoch. A network's training depends on its configuration and the rows
+    alone, so training the winner once more would give the same weights, and isn't done.
+    """
     rows = training_rows(train, validation, seed=seed, replicas=base.replicas, **cols)
     try:
-        trials = []
-        for t in range(n_trials):
-            p = sample_params(t, seed, base)
-            trials.append((p, _train(rows, p).val_loss))
-        winner = min(trials, key=lambda r: r[1])[0]
-        return _train(rows, winner), trials
+        models = train_together(rows, [sample_params(t, seed, base) for t in range(n_trials)])
+        return min(models, key=lambda m: m.val_loss), [(m.params, m.val_loss) for m in models]
     finally:
         rows.unpersist()

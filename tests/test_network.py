@@ -92,3 +92,39 @@ def test_the_model_does_not_depend_on_shuffle_partitions(spark, parts):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert losses[0] == pytest.approx(losses[1], rel=1e-9)
+
+
+def test_side_by_side_equals_one_by_one(parts):
+    rows = nw.training_rows(*parts, replicas=3)
+    trials = [
+        nw.MlpParams(layers=2, units=6, alpha0=0.02, batch=64, epochs=5, keep=0.8, replicas=3),
+        nw.MlpParams(layers=0, alpha0=50.0, epochs=25, patience=2, batch=64, replicas=3),  # stops early
+        nw.MlpParams(layers=1, units=70, activation="tanh", epochs=2, batch_norm=False, replicas=3),
+    ]
+    together = nw.train_together(rows, trials)
+    for p, model in zip(trials, together):
+        alone = nw.train_together(rows, [p])[0]
+        assert np.array_equal(alone.state, model.state) and alone.history == model.history
+    assert len(together[0].history) == 5 and len(together[1].history) < 25 and len(together[2].history) == 2
+    rows.unpersist()
+
+
+def test_measured_losses_and_auc(spark, parts):
+    """The pass that trains measures what scoring the rows gives."""
+    p = nw.MlpParams(layers=1, units=8, epochs=2, alpha0=0.02, batch=64, l2=1e-3)
+    model = nw.fit_mlp(*parts, p)
+    scored = model.transform(parts[1]).select("label", "p").toPandas()
+    q = scored.p.clip(1e-12, 1 - 1e-12)
+    loss = -np.mean(np.where(scored.label == 1, np.log(q), np.log1p(-q))) + model.penalty()
+    best = min(model.history, key=lambda h: h[3])
+    assert best[3] == pytest.approx(loss, rel=1e-5)
+    pos, neg = scored.p[scored.label == 1].to_numpy(), scored.p[scored.label == 0].to_numpy()
+    exact = np.mean((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg))
+    assert best[4] == pytest.approx(exact, abs=0.01)
+
+
+def test_search_keeps_the_best_trial(parts):
+    base = nw.MlpParams(epochs=2, patience=1, replicas=2)
+    model, trials = nw.mlp_random_search(*parts, n_trials=3, seed=5, base=base)
+    assert [p for p, _ in trials] == [nw.sample_params(t, 5, base) for t in range(3)]
+    assert model.val_loss == min(loss for _, loss in trials) and model.params in [p for p, _ in trials]
