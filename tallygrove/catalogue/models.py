@@ -340,8 +340,40 @@ def _houses(spark, folder):
 @register("l15_random_forest")
 def _(spark, folder):
     rows = _houses(spark, folder)
-    model = forest.random_forest_regressor(rows.where("split = 'train'"), trees=100, depth=10)
-    return regression_metrics(model.transform(rows.where("split = 'test'")), "label", "prediction")
+    model = forest.random_forest_regressor(rows.where("split = 'train'"), trees=100, depth=10, out_of_bag=True)
+    table = regression_metrics(model.transform(rows.where("split = 'test'")), "label", "prediction")
+    return table.withColumn("out_of_bag_r2", F.lit(model.out_of_bag_r2))
+
+
+STUMP = """
+  WITH r AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS size, CAST(p_partkey % 7 AS DOUBLE) AS shelf, p_retailprice AS y FROM part),
+  v AS (SELECT id, 0 AS f, size AS x, y FROM r UNION ALL SELECT id, 1, shelf, y FROM r),
+  g AS (SELECT f, x, count(*) AS n, sum(y) AS s FROM v GROUP BY f, x),
+  c AS (SELECT f, x, lead(x) OVER (PARTITION BY f ORDER BY x) AS nx, sum(n) OVER w AS ln, sum(s) OVER w AS ls,
+          sum(n) OVER (PARTITION BY f) AS n, sum(s) OVER (PARTITION BY f) AS s
+        FROM g WINDOW w AS (PARTITION BY f ORDER BY x)),
+  b AS (SELECT f, (x + nx) / 2 AS cut, ls / ln AS low, (s - ls) / (n - ln) AS high FROM c WHERE nx IS NOT NULL
+        ORDER BY ls * ls / ln + (s - ls) * (s - ls) / (n - ln) DESC, f, x LIMIT 1)
+  SELECT id, CASE WHEN (CASE WHEN f = 0 THEN size ELSE shelf END) <= cut THEN low ELSE high END AS prediction FROM r, b"""
+
+
+@register("l15_tree_of_depth_one", STUMP, "id prediction~")
+def _(spark, folder):
+    parts = fx.table(spark, folder, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 7).cast("double").alias("shelf"),
+        F.col("p_retailprice").cast("double").alias("label"),
+    )
+    rows = assemble(parts, ["size", "shelf"], ["id", "label"])
+    model = forest.random_forest_regressor(rows, trees=1, depth=1, features=None, bootstrap=False)
+    return model.transform(rows).select("id", "prediction")
+
+
+@register("l16_forest_search")
+def _(spark, folder):
+    train = _houses(spark, folder).where("split = 'train'").persist()
+    found = forest.search_forest(train)
+    train.unpersist()
+    return found.table(spark)
 
 
 @register("l16_random_search")

@@ -9,55 +9,31 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.regression import LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.functions.scalars import hash_order
+from tallygrove.operators.forest_growth import Forest, ForestParams, Unusable, fold_scores, grow_forest
 from tallygrove.operators.regression import ridge
 
-# fixed values: the search spaces, as far as Spark's estimators have the parameter
+# fixed values: the search spaces
 FOREST_SPACE = {
     "trees": [100, 200, 500],
     "depth": [10, 20, None],
     "min_split": [2, 5, 10],
     "features": ["sqrt", "log2"],
     "bootstrap": [True, False],
+    "leaves": [None, 10, 20, 100],
+    "criterion": ["squared_error", "absolute_error"],
     "out_of_bag": [False, True],
 }
 RIDGE_SPACE = {"alpha": [0.1, 0.3, 0.6], "fit_intercept": [True, False]}
-DEEPEST = 30  # what Spark allows; stands for "no limit"
 
 
-class Unusable(ValueError):
-    """A combination of parameters that cannot be fitted."""
-
-
-def random_forest_regressor(
-    df: DataFrame,
-    trees: int = 100,
-    depth: int | None = None,
-    min_split: int = 2,
-    features: str = "sqrt",
-    bootstrap: bool = True,
-    out_of_bag: bool = False,
-    seed: int = 42,
-    features_col: str = "features",
-    label: str = "label",
-) -> RandomForestRegressionModel:
-    """An out-of-bag score needs bootstrapping; Spark has none, so it only validates here."""
-    if out_of_bag and not bootstrap:
-        raise Unusable("an out-of-bag score needs bootstrap samples")
-    return RandomForestRegressor(
-        featuresCol=features_col,
-        labelCol=label,
-        numTrees=trees,
-        maxDepth=DEEPEST if depth is None else depth,
-        minInstancesPerNode=max(1, min_split // 2),
-        featureSubsetStrategy=features,
-        bootstrap=bootstrap,
-        seed=seed,
-    ).fit(df)
+def random_forest_regressor(df: DataFrame, features_col: str = "features", label: str = "label", id_col: str = "id", **params) -> Forest:
+    """A forest of ``ForestParams`` parameters; an out-of-bag score needs bootstrapping."""
+    return grow_forest(df, ForestParams(**params), features_col, label, id_col)
 
 
 def fit_ridge(df: DataFrame, alpha: float, fit_intercept: bool) -> LinearRegressionModel:
@@ -75,6 +51,26 @@ class Search:
         return spark.createDataFrame(rows, "trial int, params string, score double")
 
 
+def draws(space: Mapping[str, Sequence], n_iter: int, seed: int) -> list[dict[str, object]]:
+    """Different combinations of a space, drawn at random."""
+    grid = [dict(zip(space, values)) for values in itertools.product(*space.values())]
+    return random.Random(seed).sample(grid, min(n_iter, len(grid)))
+
+
+def search_forest(df: DataFrame, n_iter: int = 10, folds: int = 3, seed: int = 42, space: Mapping[str, Sequence] = FOREST_SPACE) -> Search:
+    """Random search over the forest's whole space: all draws and folds are grown side by side, the best is fitted on all rows.
+
+    Draws that can't be fitted (an out-of-bag score without bootstrapping) have no score and are passed over.
+    """
+    chosen = draws(space, n_iter, seed)
+    scores = fold_scores(df, [ForestParams(**c, seed=seed) for c in chosen], folds, seed)
+    usable = [i for i, s in enumerate(scores) if s is not None]
+    if not usable:
+        raise Unusable("no sampled combination can be fitted")
+    at = max(usable, key=lambda i: scores[i])
+    return Search(grow_forest(df, ForestParams(**chosen[at], seed=seed)), chosen[at], list(zip(chosen, scores)))
+
+
 def random_search(
     df: DataFrame,
     fit: Callable[..., object],
@@ -91,8 +87,7 @@ def random_search(
     Folds come from the id's hash, so they survive recomputation. ``df`` should be persisted. An
     unusable combination has no score and is passed over.
     """
-    grid = [dict(zip(space, values)) for values in itertools.product(*space.values())]
-    chosen = random.Random(seed).sample(grid, min(n_iter, len(grid)))
+    chosen = draws(space, n_iter, seed)
     folded = df.withColumn("_fold", F.pmod(hash_order(id_col, seed), F.lit(folds)))
     r2 = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName="r2")
 
