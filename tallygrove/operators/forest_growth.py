@@ -244,12 +244,8 @@ def drawn_features(trees: Trees, nodes: np.ndarray, width: int, k: int) -> np.nd
     return np.where(at < width, np.take_along_axis(order, np.minimum(at, width - 1), axis=1), -1)
 
 
-def histograms(block: Block, trees: Trees, nodes: np.ndarray, drawn: np.ndarray, p: ForestParams, numbers: Sequence[int], held_out: int, label_cuts: np.ndarray, way: dict | None = None) -> np.ndarray:
-    """Sums of each (node, drawn feature, bin): different rows, weights and, of the labels, sums and squares or a histogram.
-
-    ``way`` remembers each tree's rows and their nodes between calls.
-    """
-    way = {} if way is None else way
+def histograms(block: Block, trees: Trees, nodes: np.ndarray, drawn: np.ndarray, p: ForestParams, numbers: Sequence[int], held_out: int, label_cuts: np.ndarray) -> np.ndarray:
+    """Sums of each (node, drawn feature, bin): different rows, weights and, of the labels, sums and squares or a histogram."""
     absolute = p.criterion == "absolute_error"
     inner = 2 * LABEL_BINS if absolute else 3
     out = np.zeros((len(nodes), drawn.shape[1], BINS, 1 + inner))
@@ -257,17 +253,11 @@ def histograms(block: Block, trees: Trees, nodes: np.ndarray, drawn: np.ndarray,
     place[nodes] = np.arange(len(nodes))
     label_bin = np.searchsorted(label_cuts, block.y, "left")
     for t in np.unique(trees.tree[nodes]).tolist():
-        if t not in way:
-            w = block.weights(p, numbers[t], held_out)
-            rows = np.flatnonzero(w > 0)
-            way[t] = rows, w[rows], t
-        rows, w, node = way[t]
-        node = trees.route(block.bins[rows], node)
-        way[t] = rows, w, node
-        at = place[node]
-        inside = at >= 0
-        rows, w, at = rows[inside], w[inside], at[inside]
-        y = block.y[rows]
+        w = block.weights(p, numbers[t], held_out)
+        rows = np.flatnonzero(w > 0)
+        at = place[trees.route(block.bins[rows], t)]
+        rows, at = rows[at >= 0], at[at >= 0]
+        w, y = w[rows], block.y[rows]
         own = np.unique(at)
         local = np.searchsorted(own, at)
         for slot in range(drawn.shape[1]):
@@ -292,11 +282,12 @@ def _cost(sums: np.ndarray, absolute: bool) -> tuple[np.ndarray, np.ndarray, np.
         w, s, q = sums[..., 1], sums[..., 2], sums[..., 3]
         value = s / np.maximum(w, 1e-300)
         return w, np.maximum(q - s * value, 0.0), value
-    counts, labels = sums[..., 1 : 1 + LABEL_BINS], sums[..., 1 + LABEL_BINS :]
+    n = (sums.shape[-1] - 1) // 2
+    counts, labels = sums[..., 1 : 1 + n], sums[..., 1 + n :]
     cw, cs = np.cumsum(counts, axis=-1), np.cumsum(labels, axis=-1)
     w = cw[..., -1]
     m = (cw < w[..., None] / 2).sum(axis=-1)[..., None]  # the median's bin
-    m = np.minimum(m, LABEL_BINS - 1)
+    m = np.minimum(m, n - 1)
     pick = lambda a: np.take_along_axis(a, m, axis=-1)[..., 0]
     value = pick(labels) / np.maximum(pick(counts), 1e-300)
     below_w, below_s = pick(cw) - pick(counts), pick(cs) - pick(labels)
@@ -304,9 +295,10 @@ def _cost(sums: np.ndarray, absolute: bool) -> tuple[np.ndarray, np.ndarray, np.
     return w, np.maximum(error, 0.0), value
 
 
-def best_cuts(sums: np.ndarray, drawn: np.ndarray, p: ForestParams) -> dict[str, np.ndarray]:
-    """Of each node: value, whether it may be cut, gain of the best cut (-1: all drawn features are constant), feature, bin."""
+def best_cuts(sums: np.ndarray, drawn: np.ndarray, p: ForestParams, number: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """``number`` says which bin each place stands for, else all are there. Of each node: value, whether it may be cut, gain of the best cut (-1: all drawn features are constant), feature, bin."""
     absolute = p.criterion == "absolute_error"
+    number = np.arange(BINS) if number is None else number
     left = np.cumsum(sums, axis=2)
     whole = left[:, 0, -1]
     _, error, value = _cost(whole, absolute)
@@ -319,7 +311,7 @@ def best_cuts(sums: np.ndarray, drawn: np.ndarray, p: ForestParams) -> dict[str,
     # ties: the feature of the lowest number, then the lowest bin
     flat_gain = gain.reshape(len(gain), -1)
     top = flat_gain.max(axis=1)
-    key = np.where(flat_gain >= (top - 1e-9 * np.abs(top))[:, None], (drawn[:, :, None] * BINS + np.arange(BINS)).reshape(len(gain), -1), np.iinfo(np.int64).max)
+    key = np.where(flat_gain >= (top - 1e-9 * np.abs(top))[:, None], (drawn[:, :, None] * BINS + number).reshape(len(gain), -1), np.iinfo(np.int64).max)
     at = key.min(axis=1)
     open_ = (whole[:, 0] >= p.min_split) & (error > 1e-9 * np.maximum(1.0, np.abs(value)))
     return {"value": value, "open": open_, "gain": top, "feature": at // BINS, "cut": at % BINS}
@@ -368,21 +360,84 @@ def unknown(trees: Trees) -> np.ndarray:
     return np.flatnonzero(~trees.known)
 
 
+def _ranks(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank of each value among the different values of its group; and group and value of every rank's first holder."""
+    order = np.lexsort((value, group))
+    g, v = group[order], value[order]
+    fresh = np.concatenate([[True], g[1:] != g[:-1]])
+    new = fresh | np.concatenate([[True], v[1:] != v[:-1]])
+    count = np.cumsum(new)
+    base = np.maximum.accumulate(np.where(fresh, count, 0))
+    out = np.empty(len(group), np.int64)
+    out[order] = count - base
+    heads = order[new]
+    return out, heads, out[heads]
+
+
+def _dense_cuts(bins: np.ndarray, y: np.ndarray, label_bin: np.ndarray, w: np.ndarray, at: np.ndarray, drawn: np.ndarray, size: int, p: ForestParams) -> dict[str, np.ndarray]:
+    """``best_cuts`` of nodes of at most ``size`` rows each, on histograms of just the bins that a node has.
+
+    ``bins``, ``y``, ``label_bin`` and ``w`` are the rows', ``at`` their nodes.
+    """
+    absolute = p.criterion == "absolute_error"
+    n, k = drawn.shape
+    places, labels = min(size, BINS), min(size, LABEL_BINS)
+    label, _, _ = _ranks(at, label_bin) if absolute else (None, None, None)
+    sums = np.zeros((n, k, places, 1 + (2 * labels if absolute else 3)))
+    number = np.zeros((n, k, places), np.int64)
+    for slot in range(k):
+        feature = drawn[at, slot]
+        bin_ = np.where(feature >= 0, bins[np.arange(len(at)), np.maximum(feature, 0)], 0).astype(np.int64)
+        rank, heads, place = _ranks(at, bin_)
+        number[at[heads], slot, place] = bin_[heads]
+        cell, cells = at * places + rank, n * places
+        sums[:, slot, :, 0] = np.bincount(cell, minlength=cells).reshape(n, places)
+        if absolute:
+            fine = cell * labels + label
+            for first, v in ((1, w), (1 + labels, w * y)):
+                sums[:, slot, :, first : first + labels] = np.bincount(fine, v, cells * labels).reshape(n, places, labels)
+        else:
+            for i, v in enumerate((w, w * y, w * y * y)):
+                sums[:, slot, :, 1 + i] = np.bincount(cell, v, cells).reshape(n, places)
+    return best_cuts(sums, drawn, p, number)
+
+
 def grow_here(block: Block, p: ForestParams, numbers: Sequence[int], held_out: int, label_cuts: np.ndarray) -> Trees:
-    """The trees of these numbers from one block that holds all rows."""
+    """The trees of these numbers from one block that holds all rows. All their nodes of like size are cut together."""
     width = block.bins.shape[1]
     k = p.drawn(width)
-    trees, way = Trees.roots(numbers), {}
+    trees = Trees.roots(numbers)
     kept = np.zeros(len(numbers), bool)
-    cells = k * BINS * (1 + (2 * LABEL_BINS if p.criterion == "absolute_error" else 3))
+    weights = [block.weights(p, number, held_out) for number in numbers]
+    rows = np.concatenate([np.flatnonzero(w > 0) for w in weights])
+    node = np.repeat(np.arange(len(numbers)), [int((w > 0).sum()) for w in weights])
+    w = np.concatenate([w[w > 0] for w in weights])
+    label_bin = np.searchsorted(label_cuts, block.y, "left")
+    trees.known[:] = np.bincount(node, minlength=len(numbers)) == 0  # nothing to learn from
     while len(nodes := unknown(trees)):
-        step = max(1, CELLS // cells)
-        for a in range(0, len(nodes), step):
-            part = nodes[a : a + step]
-            drawn = drawn_features(trees, part, width, k)
-            learn(trees, part, best_cuts(histograms(block, trees, part, drawn, p, numbers, held_out, label_cuts, way), drawn, p), width, k, p)
+        place = np.full(len(trees.tree), -1)
+        place[nodes] = np.arange(len(nodes))
+        at = place[node]
+        held = np.bincount(at[at >= 0], minlength=len(nodes))
+        klass = np.maximum(8, 1 << np.ceil(np.log2(held)).astype(np.int64)).clip(max=2 * BINS)
+        found: dict[str, np.ndarray] = {}
+        for size in np.unique(klass).tolist():
+            own = np.flatnonzero(klass == size)
+            cells = k * min(size, BINS) * (1 + (2 * min(size, LABEL_BINS) if p.criterion == "absolute_error" else 3))
+            step = max(1, CELLS // cells)
+            for a in range(0, len(own), step):
+                part = own[a : a + step]
+                local = np.full(len(nodes), -1)
+                local[part] = np.arange(len(part))
+                inside = np.flatnonzero((at >= 0) & (local[at] >= 0))
+                r = rows[inside]
+                cuts = _dense_cuts(block.bins[r], block.y[r], label_bin[r], w[inside], local[at[inside]], drawn_features(trees, nodes[part], width, k), size, p)
+                for c, v in cuts.items():
+                    found.setdefault(c, np.zeros(len(nodes), v.dtype))[part] = v
+        learn(trees, nodes, found, width, k, p)
         if not len(unknown(trees)):
             kept = expand(trees, p)
+            node = trees.route(block.bins[rows], node)
     return trees.pruned(kept)
 
 
