@@ -516,8 +516,9 @@ def _grow_small(blocks: DataFrame, fits: Sequence[tuple[ForestParams, int]], bin
                 numbers = list(range(first, min(first + TREES, p.trees)))
                 trees = grow_here(block, p, numbers, held_out, label_cuts)
                 held = predict([trees], block.bins[block.fold == held_out])
-                bag, bags = np.zeros(len(block.y)), np.zeros(len(block.y))
-                if p.out_of_bag:
+                bag, bags = np.zeros(0), np.zeros(0)
+                if p.out_of_bag and keep:
+                    bag, bags = np.zeros(len(block.y)), np.zeros(len(block.y))
                     for i, number in enumerate(numbers):
                         out = np.flatnonzero((block.weights(p, number, held_out) == 0) & (block.fold != held_out))
                         bag[out] += trees.value[trees.route(block.bins[out], i)]
@@ -527,14 +528,29 @@ def _grow_small(blocks: DataFrame, fits: Sequence[tuple[ForestParams, int]], bin
 
     jobs_row = F.array(*[F.struct(F.lit(f).alias("fit"), F.lit(a).alias("first")) for f, a in jobs])
     dealt = blocks.withColumn("job", F.explode(jobs_row)).select("job.fit", "job.first", "keys", "bins", "y", "fold")
+    grown = dealt.repartition(len(jobs)).mapInArrow(work, PART)
     found: dict[int, list] = {}
-    for r in dealt.repartition(len(jobs)).mapInArrow(work, PART).toLocalIterator():
-        arrays = [np.frombuffer(x) for x in (r.held, r.bag, r.bags)]
-        own = found.setdefault(r.fit, [[], *[np.zeros(len(x)) for x in arrays]])
-        if keep:
+    if keep:
+        for r in grown.collect():  # the trees of one fit
+            arrays = [np.frombuffer(x) for x in (r.held, r.bag, r.bags)]
+            own = found.setdefault(r.fit, [[], *[np.zeros(len(x)) for x in arrays]])
             own[0].append((r["first"], pickle.loads(r.trees)))
-        for total, x in zip(own[1:], arrays):
-            total += x
+            for total, x in zip(own[1:], arrays):
+                total += x
+    else:
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for f, held in zip(batch.column("fit").to_pylist(), batch.column("held")):
+                    x = np.frombuffer(held.as_buffer())
+                    totals[f] = totals[f] + x if f in totals else x
+            if totals:
+                yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["fit", "held"])
+
+        by_fit = grown.select("fit", "first", "held").repartition("fit").sortWithinPartitions("fit", "first")
+        for r in by_fit.mapInArrow(add, "fit int, held binary").collect():  # a number a held-out row of the block
+            found[r.fit] = [[], np.frombuffer(r.held)]
     sent.unpersist()
     return found
 
@@ -657,7 +673,7 @@ def fold_scores(df: DataFrame, draws: Sequence[ForestParams], folds: int = 3, se
         if blocks.select(F.length("y")).count() == 1:
             row = blocks.first()
             y, fold = np.frombuffer(row.y), np.frombuffer(row.fold, np.int8)
-            for f, (_, held, _, _) in (_grow_small(blocks, fits, bins, False) if fits else {}).items():
+            for f, (_, held) in (_grow_small(blocks, fits, bins, False) if fits else {}).items():
                 p, k = fits[f]
                 scores.setdefault(owner[f], []).append(_r2(_judged(y[fold == k], held / p.trees)))
         else:
