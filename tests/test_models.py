@@ -184,3 +184,36 @@ def test_forest_and_search(data):
     found = forest.random_search(rows, fit, {"alpha": [0.1, 1e6], "out_of_bag": [True, False]}, n_iter=4)
     assert found.params == {"alpha": 0.1, "out_of_bag": False}
     assert sorted(s is None for _, s in found.trials) == [False, False, True, True]
+
+
+def test_path_side_by_side_is_stationary_and_as_single_fits(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 4)) * [1, 100, 0.01, 1]  # scales that a quasi-Newton fit finds hard
+    x[:, 3] = x[:, 0] + 1e-3 * x[:, 3]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x[:, 0] + 0.02 * x[:, 1] - 0.5)))).astype(int)
+    df = spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(400)], ["id", "label", *"abcd"])
+    rows = assemble(df.repartition(3), list("abcd")).persist()
+    path = cl.logistic_path(rows, rows, cl.C_GRID)
+    assert path.passes < 30 and max(path.gradients) < 1e-8
+    one = np.column_stack([np.ones(400), x])
+    for c, m in zip(cl.C_GRID, path.models):
+        w = np.array([m.intercept, *m.weights])
+        p = 1 / (1 + np.exp(-one @ w))
+        assert np.abs(one.T @ (p - y) + np.array([0, *m.weights]) / c).max() < 1e-5
+    single = cl.logistic(rows, 1.0)
+    assert path.models[6].weights[:2] == pytest.approx(single.coefficients.toArray()[:2], rel=2e-2, abs=1e-3)
+    p = 1 / (1 + np.exp(-one @ np.array([path.best.intercept, *path.best.weights])))
+    assert dict(path.losses)[path.c] == pytest.approx(-np.mean(np.where(y == 1, np.log(p), np.log1p(-p))), abs=1e-9)
+    assert cl.predict_proba(path.best, rows).orderBy("id").toPandas().p.to_numpy() == pytest.approx(p, abs=1e-9)
+    rows.unpersist()
+
+
+def test_path_of_one_class_and_of_many_features(spark, monkeypatch):
+    df = assemble(spark.createDataFrame([(i, 1, float(i)) for i in range(20)], "id long, label int, a double"), ["a"])
+    path = cl.logistic_path(df, df, [0.1, 1.0])
+    assert path.losses[0][1] < 0.01 and all(np.isfinite(m.intercept) for m in path.models)
+    mixed = assemble(spark.createDataFrame([(i, i % 3 == 0, float(i % 7)) for i in range(90)], "id long, label boolean, a double").selectExpr("id", "int(label) label", "a"), ["a"])
+    narrow = cl.logistic_path(mixed, mixed, [0.1, 10.0])
+    monkeypatch.setattr(cl, "WIDEST", 0)
+    wide = cl.logistic_path(mixed, mixed, [0.1, 10.0])
+    assert [x for _, x in wide.losses] == pytest.approx([x for _, x in narrow.losses], abs=1e-6)
