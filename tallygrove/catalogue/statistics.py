@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallygrove.catalogue.registry import PANEL, RETURNS, SCORED, STRATIFIED, hash_sql, register
 from tallygrove.operators.cleaning import align_by_id
+from tallygrove.operators.dictionary import CategoryDictionary
 from tallygrove.operators import order_stats, panel, preprocessing as prep, splits, statistics as st
 from tallygrove.plans.fixtures import price_panel, scored, scored_split, table
 from tallygrove.session import shared_folder
@@ -381,6 +382,26 @@ def _(spark, folder):
     return prep.one_hot_fixed({"c_mktsegment": seen}).transform(df.select(F.col("c_custkey").alias("id"), "c_mktsegment"))
 
 
+# every line's part and supplier, some 100,000 of them at scale 0.1, and its order as a category of as many values as orders
+CATEGORIES = """
+  WITH s AS (SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_orderkey AS VARCHAR) AS o, l_partkey || '/' || l_suppkey AS ps FROM lineitem),
+  t AS (SELECT * FROM s WHERE id % 5 <> 0),
+  a AS (SELECT o, row_number() OVER (ORDER BY o) - 1 AS slot FROM (SELECT DISTINCT o FROM t)),
+  b AS (SELECT ps, row_number() OVER (ORDER BY ps) - 1 AS slot FROM (SELECT DISTINCT ps FROM t))
+  SELECT id, line, CAST(a.slot AS INTEGER) AS o_slot, CAST(b.slot AS INTEGER) AS ps_slot
+  FROM s LEFT JOIN a USING (o) LEFT JOIN b USING (ps)"""
+
+
+@register("f7_dictionary", CATEGORIES, "id line o_slot ps_slot")
+def _(spark, folder):
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_orderkey").cast("string").alias("o"),
+        F.concat_ws("/", "l_partkey", "l_suppkey").alias("ps"),
+    )
+    found = CategoryDictionary.fit(lines.where("id % 5 <> 0"), ["o", "ps"])
+    return found.index(lines).drop("o", "ps")
+
+
 @register(
     "f9_preprocess",
     f"""WITH s AS (SELECT t.id, t.label, t.split, o_totalprice AS price, substr(o_orderpriority, 1, 1) AS prio

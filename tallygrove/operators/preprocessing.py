@@ -125,19 +125,22 @@ class OneHotModel:
 
 @dataclass(frozen=True)
 class OneHot:
-    """Categories of the training rows in sorted order, null being one; unknown values give zeros."""
+    """Categories of the training rows in sorted order, null being one; unknown values give zeros.
+
+    One job for all columns. Each value becomes a column, so there is a limit; ``CategoryDictionary`` has none.
+    """
 
     cols: Sequence[str]
     max_categories: int = 10_000
 
     def fit(self, train: DataFrame) -> OneHotModel:
-        found = {}
-        for c in self.cols:
-            values = train.select(F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")).distinct()
-            rows = values.limit(self.max_categories + 1).collect()
-            if len(rows) > self.max_categories:
-                raise ValueError(f"'{c}' has more than {self.max_categories} values: not a category column")
-            found[c] = sorted(r.v for r in rows)
+        pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias("v")) for i, c in enumerate(self.cols)])
+        values = train.select(F.explode(pairs).alias("p")).select("p.*").distinct() if self.cols else None
+        rows = values.limit(self.max_categories * len(self.cols) + 1).collect() if self.cols else []
+        found = {c: sorted(r.v for r in rows if r.i == i) for i, c in enumerate(self.cols)}
+        for c, v in found.items():
+            if len(v) > self.max_categories or len(rows) > self.max_categories * len(self.cols):
+                raise ValueError(f"'{c}' has more than {self.max_categories} values: not a category for dense columns, encode it by a CategoryDictionary")
         return OneHotModel(found, "ignore")
 
 
