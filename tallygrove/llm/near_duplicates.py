@@ -1,8 +1,9 @@
 """Similarity join of documents on their sets of word shingles, and its groups.
 
-Shingles are ordered rare first by a sketch of their counts. Two sets of Jaccard similarity t share a shingle among the
-first few of each (prefix filter), are of like size (length filter), and have room for enough shared shingles after that
-one (positional filter) and in bitmaps of the sets (suffix filter); what is left is verified once per pair.
+Shingles are ordered rare first: a mergeable table of heavy hitters tells the frequent ones apart, the others go by hash.
+Two sets of Jaccard similarity t share a shingle among the first few of each (prefix filter), are of like size (length
+filter), and have room for enough shared shingles from their first shared one on (positional filter) and in bitmaps of the
+sets (suffix filter); what is left is verified once per pair.
 
 Equal sets are one class before the join. Lists of documents that share a prefix shingle are joined in full up to
 ``SHORT`` documents. In a longer list documents are first compared with the heads of their lists; then all pairs of
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from tallygrove.llm.graph import components, stored
 from tallygrove.llm.text import LOWER, Rolling, Words, flat, mix, slices
 
-SKETCH_BITS = 20  # buckets of the counts: 4 MB a task whatever the input
-CHUNKS = 16  # parts in which the tasks' counts are added up
+HITTERS = 1 << 17  # frequent shingles that are told apart: a few MB a task whatever the input
+FILTER_BITS = (16, 28)  # log2 of the bits of a filter of ids, which has sixteen for each id up to 32 MB
 SHORT = 6
 TESTS = (3, 24)  # heads with which a document of a longer list is compared, by rounds, before all pairs are
 
@@ -56,48 +57,52 @@ def shingles(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(docs, np.arange(words.docs + 1))
 
 
-def _add_up(rows: DataFrame) -> np.ndarray:
-    """Sum of tasks' count arrays, which come in ``CHUNKS`` parts (``part``, ``counts``): fixed in size at any input."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(counts.as_buffer(), np.uint32)
-                sums[part] = sums[part] + x if part in sums else x.astype(np.int64)
-        if sums:
-            logs = [np.round(8 * np.log2(s + 1.0)).clip(0, 255).astype(np.uint8).tobytes() for s in sums.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(logs)], ["part", "counts"])
+@dataclass(frozen=True)
+class Frequent:
+    """Hashes of frequent shingles, ascending, and their counts on a logarithmic scale of 1 to 255."""
 
-    done = rows.repartition(CHUNKS, "part").mapInArrow(add, "part int, counts binary").collect()
-    table = np.zeros((CHUNKS, (1 << SKETCH_BITS) // CHUNKS), np.uint8)
-    for r in done:
-        table[r.part] = np.frombuffer(r.counts, np.uint8)
-    return table.reshape(-1)
+    hashes: np.ndarray
+    level: np.ndarray
 
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        """Level of each shingle; 0: not frequent."""
+        if not len(self.hashes):
+            return np.zeros(len(values), np.uint8)
+        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == values, self.level[at], 0)
 
-def _emit(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    parts = counts.astype(np.uint32).reshape(CHUNKS, -1)
-    used = np.flatnonzero(parts.any(axis=1))
-    if len(used):
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used])], ["part", "counts"])
 
+def _heaviest(hashes: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of equal hashes added up; the ``most`` greatest of them, by hash."""
+    kinds, back = np.unique(hashes, return_inverse=True)
+    total = np.bincount(back, counts, len(kinds)).astype(np.int64)
+    if len(kinds) > most:
+        top = np.sort(np.argpartition(total, len(total) - most)[-most:])
+        kinds, total = kinds[top], total[top]
+    return kinds, total
 
-def _bucket(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
+def frequencies(texts: DataFrame, sim: Similarity) -> Frequent:
+    """The heavy hitters among the shingles of all documents, by tables that tasks keep and Spark adds up.
 
-def frequencies(texts: DataFrame, sim: Similarity) -> np.ndarray:
-    """How often the shingles of each hash bucket occur, over all documents, on a logarithmic scale."""
+    A task drops the least counts where its table overflows, so a count may be low: that changes the order, never a result.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch):
-                total += np.bincount(_bucket(shingles(part.column("text"), sim.words)[0]), minlength=len(total))
-        yield from _emit(total)
+                values = shingles(part.column("text"), sim.words)[0]
+                kinds, n = np.unique(values, return_counts=True)
+                held = _heaviest(np.concatenate([held[0], kinds]), np.concatenate([held[1], n]), HITTERS)
+        twice = held[1] > 1
+        yield pa.RecordBatch.from_arrays([pa.array(held[0][twice].view(np.int64)), pa.array(held[1][twice])], ["hash", "n"])
 
-    return _add_up(texts.mapInArrow(count, "part int, counts binary"))
+    found = texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    top = found.orderBy(F.desc("n"), "hash").limit(HITTERS).toArrow()  # at most HITTERS rows of 16 bytes
+    hashes, n = (top.column(c).to_numpy() for c in ("hash", "n"))
+    order = np.argsort(hashes.view(np.uint64))
+    return Frequent(hashes.view(np.uint64)[order], np.round(8 * np.log2(n[order])).clip(1, 255).astype(np.uint8))
 
 
 def _bitmaps(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
@@ -113,7 +118,7 @@ def _bitmaps(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(begin.astype(np.int32), pa.array(out.view(np.int64)))
 
 
-def prefixes(texts: DataFrame, sim: Similarity, rare: np.ndarray) -> DataFrame:
+def prefixes(texts: DataFrame, sim: Similarity, frequent: Frequent) -> DataFrame:
     """``doc_id``, ``n`` shingles, ``signature`` of the set, ``prefix`` (its rarest shingles), ``bits`` (its bitmap)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +129,7 @@ def prefixes(texts: DataFrame, sim: Similarity, rare: np.ndarray) -> DataFrame:
                 docs = np.repeat(np.arange(len(n)), n)
                 raw = values.tobytes()
                 marks = [hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() if b > a else None for a, b in zip(first[:-1], first[1:])]
-                # scrambling again, so that the order among equals isn't the order of the buckets
-                order = np.lexsort((mix(values), rare[_bucket(values)], docs))
+                order = np.lexsort((values, frequent(values), docs))
                 length = np.where(n > 0, n - -(-n * sim.percent // 100) + 1, 0)
                 place = np.arange(len(values)) - first[docs]
                 take = order[place < length[docs]]
@@ -162,8 +166,8 @@ def _close(sim: Similarity) -> Column:
     """Length and positional filters on a row (a, na, pa, b, nb, pb) of two documents and a shingle of both."""
     c = F.col
     near = 100 * F.least("na", "nb").cast("long") >= sim.percent * F.greatest("na", "nb").cast("long")
-    # before this shingle at most the earlier places are shared, after it at most the rest of the shorter
-    room = F.least("pa", "pb") + 1 + F.least(c("na") - c("pa") - 1, c("nb") - c("pb") - 1)
+    # at the first shared shingle nothing before it is shared, and the pair is kept there: elsewhere it may go
+    room = F.least(c("na") - c("pa"), c("nb") - c("pb"))
     return (c("a") != c("b")) & near & _enough(room, sim)
 
 
@@ -188,31 +192,62 @@ def _pairs(rows: DataFrame, sim: Similarity, apart: bool = False) -> DataFrame:
     return _distinct(a.join(b, "shingle").filter(wanted))
 
 
-def _mentioned(ids: DataFrame) -> np.ndarray:
-    """Hash buckets of all ids in the columns: fixed in size, and True for every id that is there and a few more."""
+@dataclass(frozen=True)
+class Ids:
+    """A filter that holds each id of a set, and few others: a bit at the ``place`` of each."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for column in batch.columns:
-                total[_id_buckets(column)] = 1
-        yield from _emit(total)
+    bits: int
+    flags: np.ndarray
+
+    def place(self, name: str) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(F.col(name).cast("long")), 64 - self.bits).alias("_place")
+
+    def __call__(self, places: pa.Array) -> pa.Array:
+        at = places.to_numpy(zero_copy_only=False)
+        return pa.array((self.flags[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
-    return _add_up(ids.mapInArrow(mark, "part int, counts binary")) > 0
 
+def _mentioned(ids: DataFrame) -> Ids:
+    """A filter of all ids in the columns, sized by their number; a task sets the bits of one part after another."""
+    one = ids.select(F.explode(F.array(*[F.col(x) for x in ids.columns])).alias("id"))
+    low, high = FILTER_BITS
+    empty = Ids(min(high, max(low, (16 * one.count()).bit_length())), np.zeros(0, np.uint8))
 
-def _id_buckets(column: pa.Array) -> np.ndarray:
-    return _bucket(mix(column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, now = np.zeros(1 << low, bool), None
 
+        def out() -> pa.RecordBatch:
+            packed = np.packbits(flags, bitorder="little").tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([packed])], ["part", "flags"])
 
-def _only(rows: DataFrame, maybe: np.ndarray) -> DataFrame:
-    """The rows whose ``doc_id`` is in a bucket that is True, so that the others needn't be shuffled."""
+        for batch in batches:
+            place = batch.column("_place").to_numpy()
+            for part in np.unique(place >> low).tolist():
+                if part != now:
+                    if now is not None:
+                        yield out()
+                    now, flags[:] = part, False
+                flags[place[place >> low == part] & ((1 << low) - 1)] = True
+        if now is not None:
+            yield out()
+
+    places = one.select(empty.place("id"))
+    dealt = places.repartition(F.shiftright("_place", low)).sortWithinPartitions("_place")
+    found = np.zeros(1 << (empty.bits - 3), np.uint8)
+    for r in dealt.mapInArrow(mark, "part long, flags binary").collect():  # as many bytes as the filter has
+        at = r.part << (low - 3)
+        found[at : at + (1 << (low - 3))] = np.frombuffer(r.flags, np.uint8)
+    return Ids(empty.bits, found)
+
+
+def _only(rows: DataFrame, ids: Ids) -> DataFrame:
+    """The rows whose ``doc_id`` the filter holds, so that the others needn't be shuffled."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(maybe[_id_buckets(batch.column("doc_id"))]))
+            yield batch.filter(ids(batch.column("_place"))).drop_columns(["_place"])
 
-    return rows.mapInArrow(work, rows.schema)
+    return rows.select("*", ids.place("doc_id")).mapInArrow(work, rows.schema)
 
 
 def _filtered(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
@@ -227,13 +262,11 @@ def _filtered(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """Those of the distinct pairs ``a``, ``b`` that are similar, as ``u``, ``v``. Sets are made anew, of documents in pairs only."""
-    pairs = stored(pairs, "pairs")
-
-    maybe = _mentioned(pairs)
+    ids = _mentioned(pairs)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(pa.array(maybe[_id_buckets(batch.column("doc_id"))]))):
+            for part in slices(batch.filter(ids(batch.column("_place")))):
                 values, first = shingles(part.column("text"), sim.words)
                 raw = values.tobytes()
                 yield pa.RecordBatch.from_arrays(
@@ -249,7 +282,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
                 good[i] = (100 + sim.percent) * int((both[1:] == both[:-1]).sum()) >= sim.percent * (len(x) + len(y))
             yield batch.select(["u", "v"]).filter(pa.array(good))
 
-    known = texts.mapInArrow(sets, "doc_id long, set binary")
+    known = texts.select("*", ids.place("doc_id")).mapInArrow(sets, "doc_id long, set binary")
     one = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(known.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
     return two.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(check, "u long, v long")
@@ -285,11 +318,14 @@ def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
 def _to_heads(rows: DataFrame, sim: Similarity, tests: int) -> DataFrame:
     """Pairs of a document and a head of one of its lists, ``tests`` for each document; a list's head is any of its documents."""
     c = F.col
-    head = F.min(F.struct(F.xxhash64("doc", "shingle").alias("draw"), "doc", "n", "pos")).over(Window.partitionBy("shingle"))
-    rows = rows.withColumn("head", head)
+    draw = F.xxhash64("doc", "shingle")
+    picks = [F.min(F.struct(draw.alias("draw"), "doc", "n", "pos")).alias("head")]
     if "comp" in rows.columns:
-        other = F.min_by("comp", F.struct(F.xxhash64("doc", "shingle"), "doc")).over(Window.partitionBy("shingle"))
-        rows = rows.withColumn("other", other).filter("comp != other")
+        picks.append(F.min_by("comp", F.struct(draw, "doc")).alias("other"))
+    # minima are taken before the shuffle, and the join may be split where a list is long
+    rows = rows.join(rows.groupBy("shingle").agg(*picks), "shingle")
+    if "other" in rows.columns:
+        rows = rows.filter("comp != other")
     own = rows.select(
         c("doc").alias("a"), c("n").alias("na"), c("pos").alias("pa"), c("head.doc").alias("b"), c("head.n").alias("nb"), c("head.pos").alias("pb")
     )
@@ -307,7 +343,8 @@ def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similar
     rows = stored(rows.withColumn("k", F.count("*").over(Window.partitionBy("shingle"))).filter("k > 1"), "postings")
     sets = worded.select("doc_id", "n", "bits")
     pairs = _pairs(rows.filter(c("k") <= SHORT), sim).union(_to_heads(rows.filter(c("k") > SHORT), sim, TESTS[0])).distinct()
-    links = stored(verified(_filtered(pairs, sets, sim), texts, sim), "verified")
+    tried = stored(_filtered(pairs, sets, sim), "pairs")
+    links = stored(verified(tried, texts, sim), "verified")
     for tests in (*TESTS[1:], None):
         found = stored(components(spark, links), "components")
         named = rows.filter(c("k") > SHORT).join(found, c("doc") == c("node"), "left").withColumn("comp", F.coalesce("component", "doc"))
@@ -322,7 +359,10 @@ def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similar
             own = _only(sets, _mentioned(open_.select("doc").distinct())).select(c("doc_id").alias("doc"), "n", "bits")
             own = own.groupBy("doc", "n").agg(F.collect_set("bits").alias("all")).select("doc", "n", F.explode("all").alias("bits"))
             pairs = _pairs(open_.join(own, ["doc", "n"]), sim, apart=True)
+        # a pair that was refused before isn't verified again
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = stored(links.union(verified(pairs, texts, sim)), "verified")
+        tried = tried.union(pairs)
     return links
 
 
