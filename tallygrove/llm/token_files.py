@@ -100,10 +100,15 @@ def unpack(data: bytes, start: int = 0, stop: int | None = None) -> np.ndarray:
     return out.reshape(-1)[start - a * block : stop - a * block].astype(np.uint32)
 
 
+#: texts on which a tokenizer must treat words and blanks as the cache does
+PROBES = ["a b", "  two\tblanks\n\nlines ", "it's, don't! (x) 1 2", "A B ABC", "é ü 日本 語", "</s> <a> b", "." * 3 + " ..."]
+
+
 class WordCache:
-    """Ids of words, remembered between batches.
+    """Ids of words, remembered between batches in arrays sorted by hash.
 
-    The tokenizer must drop white space and never look across it, so that a text's ids are its words' ids one after another.
+    Where the tokenizer drops white space and never looks across it, a text's ids are its words' ids one after another. That
+    is tried on a few texts first; another tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -112,36 +117,73 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
+        self.by_words = all(self._ids([t])[0] == [i for w in self._ids(t.split()) for i in w] for t in PROBES)
+        #: ids that end a word of letters, where the vocabulary marks them
+        suffix, self.last = getattr(self.tokenizer.model, "end_of_word_suffix", None), None
+        if suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, names: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in the order they were encoded, the number of ids of each, and all ids.
+
+        Words of ASCII letters are encoded many at a time, as one text, and told apart by the marks of their last ids.
+        """
+        plain = [w for w in names if w.isascii() and w.isalpha()] if self.last is not None else []
+        done, sizes, ids = [], [], []
+        for a in range(0, len(plain), 500):
+            part = plain[a : a + 500]
+            own = np.array(self._ids([" ".join(part)])[0], np.int32)
+            cuts = np.flatnonzero(self.last[own]) + 1
+            if len(cuts) == len(part) and cuts[-1] == len(own):
+                done += part
+                sizes.append(np.diff(cuts, prepend=0))
+                ids.append(own)
+        seen = set(done)
+        rest = [w for w in names if w not in seen]
+        for a in range(0, len(rest), 5000):  # the tokenizer's results are large until their ids are taken
+            got = self._ids(rest[a : a + 5000])
+            done += rest[a : a + 5000]
+            sizes.append(np.array([len(x) for x in got], np.int64))
+            ids += [np.array([i for x in got for i in x], np.int32)]
+        return done, np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.int32), *ids])
 
     def clear(self) -> None:
-        self.slots: dict[bytes, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the offsets of each text's part."""
+        if not self.by_words:
+            got = self._ids([t or "" for t in column.to_pylist()])
+            return np.array([i for x in got for i in x], np.int32), np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
         words = Words(*flat(column))
-        _, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        raw = words.data.tobytes()
-        names = [raw[a:b] for a, b in zip(words.start[where].tolist(), words.end[where].tolist())]
-        new = [x for x in names if x not in self.slots]
-        kept = len(self.slots)
-        if new:
-            got = []
-            for a in range(0, len(new), 5000):  # the tokenizer's results are large until their ids are taken
-                got += [e.ids for e in self.tokenizer.encode_batch([x.decode() for x in new[a : a + 5000]], add_special_tokens=False)]
-            self.slots.update(zip(new, range(kept, kept + len(new))))
-            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum([len(x) for x in got])])
-            self.pool = np.concatenate([self.pool, np.array([i for x in got for i in x], np.int32)])
-        slot = np.array([self.slots[x] for x in names], np.int64)[back] if names else np.zeros(0, np.int64)
-        size = self.begin[slot + 1] - self.begin[slot]
+        kinds, where, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, kinds)
+        new = np.ones(len(kinds), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != kinds[inside]
+        known, slot, begin, pool = self.known, self.slot, self.begin, self.pool
+        if new.any():
+            raw, first = words.data.tobytes(), where[new]
+            names = [raw[a:b].decode() for a, b in zip(words.start[first].tolist(), words.end[first].tolist())]
+            order, sizes, ids = self._words(names)
+            place = dict(zip(order, range(len(begin) - 1, len(begin) - 1 + len(order))))
+            slot = np.insert(slot, at[new], [place[w] for w in names])
+            known = np.insert(known, at[new], kinds[new])
+            begin = np.concatenate([begin, begin[-1] + np.cumsum(sizes)])
+            pool = np.concatenate([pool, ids])
+            if len(known) <= CACHED:  # the words seen first are the frequent ones and stay
+                self.known, self.slot, self.begin, self.pool = known, slot, begin, pool
+        own = slot[np.searchsorted(known, kinds)][back] if len(kinds) else np.zeros(0, np.int64)
+        size = begin[own + 1] - begin[own]
         ends = np.cumsum(size)
-        ids = self.pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begin[slot] - ends + size, size)]
-        if len(self.slots) > CACHED:  # the words seen first are the frequent ones and stay
-            for x in new:
-                del self.slots[x]
-            self.begin = self.begin[: kept + 1]
-            self.pool = self.pool[: self.begin[-1]]
-        return ids, np.concatenate([[0], ends])[words.first]
+        found = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[own] - ends + size, size)]
+        return found, np.concatenate([[0], ends])[words.first]
 
 
 @lru_cache(maxsize=2)
@@ -183,45 +225,54 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str) -> None:
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(work, SEGMENTS).write.parquet(folder)
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each segment, a thousand documents at a time: part, ids of documents, where each starts, offsets and token ids."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            part, start, _, owners, counts, blocks = (batch.column(i)[row] for i in range(6))
+            ids = unpack(blocks.as_buffer())
+            sizes = counts.values.to_numpy().astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            for a in range(0, len(sizes), 1000):
+                own = ends[a : a + 1001]
+                yield part.as_py(), owners.values.slice(a, len(own) - 1), start.as_py() + own[:-1], own - own[0], ids[own[0] : own[-1]]
+
+
+def _bases(segments: DataFrame) -> DataFrame:
+    """``of``, ``base``: the ids of all parts before each part; a row for each written file."""
+    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
+
+
+def _placed(segments: DataFrame, work, column: str, kind: str) -> DataFrame:
+    """Rows of ``work`` (part, doc_id, place, n_tokens and a column) with the ``start`` of each document."""
+    rows = segments.select(*[c.split()[0] for c in SEGMENTS.split(", ")]).mapInArrow(work, f"part int, doc_id long, place long, n_tokens long, {column} {kind}")
+    joined = rows.join(F.broadcast(_bases(segments)), F.col("part") == F.col("of"))
+    return joined.select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", column)
+
+
 def read(segments: DataFrame) -> DataFrame:
     """``doc_id``, ``start`` (ids of all documents before it), ``ids`` (array) of every document of a written folder."""
-    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each file
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select(F.col("part").alias("of"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                part, start, _, owners, counts, blocks = (batch.column(i)[row] for i in range(6))
-                ids = unpack(blocks.as_buffer())
-                sizes = counts.values.to_numpy().astype(np.int64)
-                ends = np.concatenate([[0], np.cumsum(sizes)])
-                for a in range(0, len(sizes), 1000):
-                    own = ends[a : a + 1001]
-                    lists = pa.ListArray.from_arrays((own - own[0]).astype(np.int32), pa.array(ids[own[0] : own[-1]].astype(np.int32)))
-                    n = len(own) - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part.as_py()] * n, pa.int32()), owners.values.slice(a, n), pa.array(start.as_py() + own[:-1]), lists],
-                        ["part", "doc_id", "place", "ids"],
-                    )
-
-    docs = segments.select(*[c.split()[0] for c in SEGMENTS.split(", ")]).mapInArrow(work, "part int, doc_id long, place long, ids array<int>")
-    # a row for each written file: no more than the partitions of the write
-    return docs.join(F.broadcast(bases), F.col("part") == F.col("of")).select("doc_id", (F.col("base") + F.col("place")).alias("start"), "ids")
+        for part, owners, place, offsets, ids in _documents(batches):
+            lists = pa.ListArray.from_arrays(offsets.astype(np.int32), pa.array(ids.astype(np.int32)))
+            numbers = pa.array([part] * len(owners), pa.int32())
+            yield pa.RecordBatch.from_arrays([numbers, owners, pa.array(place), pa.array(np.diff(offsets)), lists], ["part", "doc_id", "place", "n_tokens", "ids"])
+
+    return _placed(segments, work, "ids", "array<int>").drop("n_tokens")
 
 
 def digests(segments: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of every document, unpacked from a written folder."""
+    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of every document, unpacked from a written folder in the same pass."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            ends = lists.offsets.to_numpy()
-            sums = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(sums, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return read(segments).mapInArrow(work, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        for part, owners, place, offsets, ids in _documents(batches):
+            raw, ends = memoryview(ids.astype("<u4").tobytes()), (4 * offsets).tolist()
+            sums = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:])]
+            numbers = pa.array([part] * len(owners), pa.int32())
+            columns = [numbers, owners, pa.array(place), pa.array(np.diff(offsets)), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "doc_id", "place", "n_tokens", "ids_crc32"])
+
+    return _placed(segments, work, "ids_crc32", "long")

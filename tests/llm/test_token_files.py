@@ -1,5 +1,6 @@
 """Blocks and files against the ids that went in."""
 
+import random
 import zlib
 
 import numpy as np
@@ -79,3 +80,21 @@ def test_files_round_trip(spark, tmp_path, monkeypatch, segment):
 def test_empty_table(spark, tmp_path):
     tf.write(spark.createDataFrame([], DOCS), PATH, 2, f"{tmp_path}/none")
     assert tf.digests(spark.read.schema(tf.SEGMENTS).parquet(f"{tmp_path}/none")).count() == 0
+
+
+def test_word_cache_is_the_tokenizer(monkeypatch):
+    """Words of letters told apart in one text, other words, a full cache, and a tokenizer that looks across blanks."""
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choices("abcdeXYZé'!1日", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 300))) for _ in range(30)]
+    texts += [None, "", " \n ", "don't </w> <|startoftext|> a</w>b", "x" * 5000]
+    for name, by_words in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        own = Tokenizer.from_file(path)
+        for room in (10**6, 50):
+            monkeypatch.setattr(tf, "CACHED", room)
+            cache = tf.WordCache(path)
+            assert cache.by_words == by_words
+            for part in (texts[:9], texts):
+                ids, offsets = cache.encode(pa.array(part, pa.string()))
+                assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [own.encode(t or "", add_special_tokens=False).ids for t in part]
+            assert len(cache.known) <= room
