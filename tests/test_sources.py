@@ -56,3 +56,24 @@ def test_classes_are_matched_by_token(spark):
     assert {k: v for k, v in got.items() if v} == {1: "a", 2: "b", 6: "f"}
     links = {r.page_id: (r.href, r.status) for r in pages.first_link(df, "html").collect()}
     assert links[7] == (None, "empty") and links[8] == ("yes", "ok") and links[1] == (None, "missing")
+
+
+def test_scanner_nests_decodes_and_closes(spark):
+    html = {
+        1: '<div class="ad">a<div class="ad">b</div>c</div>', 2: '<div class="ad">x &amp; y &lt;z&gt; &#233;&nbsp;</div>',
+        3: '<div class="ad">open <p>para <b>bold</div> after', 4: '<!-- <div class="ad">no</div> --><div class="ad">yes<!-- hidden --></div>',
+        5: '<div class="ad">one<br>two<img src="x">three</div>', 6: '<div class="ad">never closed', 7: '</div><div class="ad"/>tail',
+        8: '<div class="ad"><script>var a = "<div>";</script>shown</div>', 9: "", 10: '<div class="ad" class="other">twice</div>',
+    }
+    df = spark.createDataFrame(list(html.items()), "page_id long, html string").repartition(3)
+    got = {}
+    for r in pages.extract_tag_text(df, "html", "div", "ad").collect():
+        got.setdefault(r.page_id, []).append((r.position, r.text, r.status))
+    assert {k: sorted(v) for k, v in got.items() if k not in (7, 9)} == {
+        1: [(0, "abc", "ok"), (1, "b", "ok")], 2: [(0, "x & y <z> é", "ok")], 3: [(0, "open para bold", "ok")], 4: [(0, "yes", "ok")],
+        5: [(0, "onetwothree", "ok")], 6: [(0, "never closed", "ok")], 8: [(0, "shown", "ok")], 10: [(0, "twice", "ok")],
+    }
+    assert got[7] == [(0, None, "empty")] and got[9] == [(None, None, "missing")]
+    links = spark.createDataFrame([(1, '<a name="top">t</a><a href="/x?a=1&amp;b=2">go</a>'), (2, "<a>none</a>")], "page_id long, html string")
+    assert {r.page_id: (r.href, r.status) for r in pages.first_link(links, "html").collect()} == {1: ("/x?a=1&b=2", "ok"), 2: (None, "missing")}
+    assert pages.extract_tag_text(df.limit(0), "html", "div").count() == 0
