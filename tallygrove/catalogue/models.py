@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallygrove.catalogue.registry import SCORED, STRATIFIED, register
 from tallygrove.catalogue.statistics import ALIGNED
 from tallygrove.operators import classification as cl
-from tallygrove.operators import clustering, components, forest, neighbours, network, panel, ranking, regression
+from tallygrove.operators import clustering, components, factors, forest, neighbours, network, panel, ranking, regression
 from tallygrove.operators.evaluation import regression_metrics
 from tallygrove.operators.preprocessing import assemble
 from tallygrove.operators.splits import split_exact
@@ -282,16 +282,32 @@ def _wide_returns(spark, folder):
     return panel.to_wide(returns, "ticker", "month", "ret", tickers).checkpoint(), tickers
 
 
+def _factors(spark, folder):
+    prices = panel.tail_dates(fx.price_panel(spark, folder), "month", 400)
+    returns = panel.date_align(panel.pct_change(prices, "ticker", "month", "price"), "ticker", "month", "ret").checkpoint()
+    return factors.panel_factors(returns, "ticker", "month", "ret", 3)
+
+
 @register("l14_pca_shares")
 def _(spark, folder):
-    wide, tickers = _wide_returns(spark, folder)
-    return components.pca(wide, tickers, 3).shares(spark)
+    return _factors(spark, folder).shares(spark)
 
 
 @register("l14_pca_projection")
 def _(spark, folder):
-    wide, tickers = _wide_returns(spark, folder)
-    return components.pca(wide, tickers, 3).project(wide, ["month"])
+    return _factors(spark, folder).scores(spark, "month")
+
+
+@register(
+    "l14_factor_checks",
+    f"""SELECT sum(v) AS trace, sum(v) AS eigenvalue_sum, true AS stationary
+        FROM (SELECT var_samp(ret) AS v FROM ({ALIGNED}) GROUP BY ticker)""",
+    "trace~ eigenvalue_sum~ stationary",
+)
+def _(spark, folder):
+    found = _factors(spark, folder)
+    trace, residual = found.checks()
+    return spark.createDataFrame([(trace, float(found.eigenvalues.sum()), residual < 1e-9)], "trace double, eigenvalue_sum double, stationary boolean")
 
 
 # the eigenpairs of a two by two covariance, written out; a vector's largest entry is positive
