@@ -32,7 +32,6 @@ class Settings:
 
     per_language: int = 600  # labelled texts of a language that the fit reads
     total: int = 4000  # and of all languages: the bound of its sample
-    max_languages: int = 200  # the most frequent ones are learned
     max_chars: int = 50_000  # longer texts are scored but not in the sample
     bits: int = 13  # n-grams are hashed to 2 ** bits counts
     steps: int = 120
@@ -120,7 +119,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on a bounded sample of the rows with text and ``lang``, drawn by hash of the id within each language."""
     known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).dropna()
     known = known.filter(F.length("text") <= settings.max_chars)
-    rows = bounded_by_class(known, "doc_id", "lang", settings.per_language, settings.max_languages, settings.total).collect()
+    rows = bounded_by_class(known, "doc_id", "lang", settings.per_language, settings.total).collect()
     rows = sorted(rows, key=lambda r: (r.doc_id, r.text, r.lang))
     some = has_letter(pa.array([r.text for r in rows], pa.string()))
     rows = [r for r, s in zip(rows, some) if s]

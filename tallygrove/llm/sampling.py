@@ -13,20 +13,18 @@ def remainder(key: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(0)).cast("int")
 
 
-def bounded_by_class(rows: DataFrame, key: str, label: str, per_class: int, max_classes: int, total: int | None = None) -> DataFrame:
-    """About ``per_class`` rows (with ``total``, fewer of many classes) of each of the ``max_classes`` most frequent labels.
+def bounded_by_class(rows: DataFrame, key: str, label: str, per_class: int, total: int | None = None) -> DataFrame:
+    """About ``per_class`` rows (with ``total``, fewer of many classes) of each label, never more than 1.5 times that in all.
 
-    Never more than 1.5 times that in all.
-    Counts cover all rows; a row is taken by the hash of its ``key``, so a rerun takes the same.
+    Counts cover all rows; a row is taken by the hash of its ``key`` and, where too many are, by the least hashes, so a rerun
+    takes the same.
     """
-    counts = rows.filter(F.col(label).isNotNull()).groupBy(label).count()
-    top = counts.orderBy(F.desc("count"), label).limit(max_classes).collect()
-    if not top:
+    found = rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect()  # a row a class
+    if not found:
         return rows.limit(0)
     if total:
-        per_class = max(1, min(per_class, total // len(top)))
+        per_class = max(1, min(per_class, total // len(found)))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(20240229)), F.lit(_RANGE))
-    keep = F.lit(False)
-    for value, count in top:
-        keep = keep | ((F.col(label) == F.lit(value)) & (draw < F.lit(int(min(1.0, per_class / count) * _RANGE))))
-    return rows.filter(keep).limit(per_class * len(top) * 3 // 2)
+    shares = [x for value, count in sorted(found) for x in (F.lit(value), F.lit(int(min(1.0, per_class / count) * _RANGE)))]
+    taken = rows.filter(draw < F.coalesce(F.try_element_at(F.create_map(*shares), F.col(label)), F.lit(0)))
+    return taken.orderBy(draw, F.xxhash64(*rows.columns)).limit(per_class * len(found) * 3 // 2)

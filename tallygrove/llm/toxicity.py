@@ -243,10 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     Rows without text, id or label are left out; a document labelled twice is toxic if any label says so, and so is a repeated text.
     """
     marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
-    chosen = bounded_by_class(marked, "id", "toxic", settings.per_class, 2)
+    chosen = bounded_by_class(marked, "id", "toxic", settings.per_class)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).dropna()
     texts = texts.filter(F.length("text") <= settings.max_chars)
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic").limit(4 * settings.per_class)
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "toxic")
+    rows = rows.orderBy(F.xxhash64("doc_id", "text")).limit(4 * settings.per_class)
     once = {r.text: r.toxic for r in sorted(rows.collect(), key=lambda r: (r.toxic, r.doc_id))}
     return train(list(once), list(once.values()), settings)
 
@@ -292,7 +293,12 @@ def score(docs: DataFrame, model: Field) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Field, limit: float = 0.5) -> DataFrame:
-    """The documents that score below ``limit``, with all their columns."""
+    """The documents that score below ``limit``, with all their columns; a null or empty text scores low and stays.
+
+    Labels of one kind only say nothing on single documents: then all stay.
+    """
+    if model.prior is not None:
+        return docs
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

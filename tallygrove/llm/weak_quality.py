@@ -222,7 +222,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model:
     model = estimate(patterns, counts, settings.rounds)
     share = min(1.0, settings.sample / max(counts.sum(), 1))
     drawn = texts.filter(F.col("text").isNotNull() & (F.length("text") <= settings.max_chars))
-    drawn = drawn.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).limit(2 * settings.sample)
+    drawn = drawn.filter(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).orderBy(F.xxhash64("doc_id", "text")).limit(2 * settings.sample)
     sample = [r.text for r in sorted(drawn.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text))]
     posterior = model.posterior(votes(measures(pa.array(sample, pa.string()))))
     return Model(model, *train(sample, posterior, settings), settings)

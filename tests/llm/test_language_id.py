@@ -78,3 +78,11 @@ def test_tables(spark):
     nothing = lid.fit(docs.limit(0))
     assert [r.lang_pred for r in lid.languages(docs.limit(3), nothing).collect()] == ["und"] * 3
     assert lid.languages(docs.limit(0), model).count() == 0
+
+
+def test_more_than_two_hundred_languages(spark):
+    """No language is left out of the fit, however many there are."""
+    rows = [(i * 7 + k, f"{chr(0x4E00 + 3 * i) * 3} {chr(0x4E01 + 3 * i) * 4} word", f"l{i:03d}") for i in range(230) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lid.fit(docs, lid.Settings(steps=5))
+    assert len(model.languages) == 230

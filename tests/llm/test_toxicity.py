@@ -100,3 +100,10 @@ def test_fit_reads_labels_of_repeated_documents(spark):
     model = tox.fit(docs, marks.withColumn("text", marks.toxic))
     got = {r.doc_id: r.score >= 0.5 for r in tox.score(docs, model).collect()}
     assert sum(got[i] == bool(y) for i, y in enumerate(labels)) > 195
+
+
+def test_labels_of_one_kind_keep_all_documents(spark):
+    docs = spark.createDataFrame([(1, "some vile text"), (2, "other"), (3, None)], "doc_id long, text string")
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(1, kind), (2, kind)], "doc_id long, toxic int")
+        assert tox.keep_clean(docs, tox.fit(docs, labels)).count() == 3
