@@ -8,30 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallygrove.functions.scalars import floor_log, signed_log, to_number
-from tallygrove.operators import clustering, cleaning, components, panel, regression
+from tallygrove.operators import clustering, cleaning, factors, panel, regression
 from tallygrove.operators.preprocessing import assemble
-from tallygrove.operators.statistics import covariance_matrix
 from tallygrove.session import shared_folder
 from tallygrove.sources.tables import null_if_token, split_xy
 
 
 @dataclass(frozen=True)
 class ReturnFactors:
-    returns: DataFrame  # wide: one row per date
+    returns: DataFrame  # long: date, ticker, ret
     covariance: DataFrame
-    components: components.Components
+    components: factors.Factors
     projection: DataFrame
 
 
 def return_factors(prices: DataFrame, last: int = 400, k: int = 3) -> ReturnFactors:
-    """Prices (date, ticker, price) -> aligned returns, covariance, components and factor scores."""
-    shared_folder(prices.sparkSession)
+    """Prices (date, ticker, price) -> aligned returns, covariance, components and factor scores; nothing is pivoted."""
+    spark = prices.sparkSession
+    shared_folder(spark)
     kept = panel.tail_dates(prices, "date", last)
-    returns = panel.date_align(panel.pct_change(kept, "ticker", "date", "price"), "ticker", "date", "ret")
-    tickers = [r[0] for r in prices.select("ticker").distinct().orderBy("ticker").collect()]  # become columns
-    wide = panel.to_wide(returns, "ticker", "date", "ret", tickers).checkpoint()  # read several times below
-    fitted = components.pca(wide, tickers, k)
-    return ReturnFactors(wide, covariance_matrix(wide, tickers), fitted, fitted.project(wide, ["date"]))
+    returns = panel.date_align(panel.pct_change(kept, "ticker", "date", "price"), "ticker", "date", "ret").checkpoint()  # read several times below
+    fitted = factors.panel_factors(returns, "ticker", "date", "ret", k)
+    return ReturnFactors(returns, factors.covariance_blocks(fitted.panel), fitted, fitted.scores(spark, "date"))
 
 
 def clean_equities(raw: DataFrame) -> DataFrame:

@@ -46,7 +46,7 @@ def test_return_factors(spark, small):
     prices = fx.price_panel(spark, small).withColumnRenamed("month", "date")
     tickers = ["Brand#1", "Brand#2", "Brand#3"]
     got = market.return_factors(prices.where(F.col("ticker").isin(tickers)), 50, 2)
-    assert got.returns.dropna().count() == got.returns.count() == got.projection.count()
+    assert got.returns.dropna().count() == got.returns.count() == 3 * got.projection.count()
     assert got.covariance.count() == 9 and len(got.components.eigenvalues) == 3
 
 
