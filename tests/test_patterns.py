@@ -64,3 +64,22 @@ def test_kernel_limits(spark, matrix):
 def test_one_shuffle(matrix):
     plan = pt.convolve2d_valid(matrix[0], KERNEL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("tile", [50, 256])
+def test_large_patterns(spark, tile, monkeypatch):
+    rng = np.random.default_rng(6)
+    m, k = rng.integers(0, 3, size=(90, 110)).astype(float), rng.integers(0, 2, size=(64, 64)).astype(float)
+    cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(90) for j in range(110)], "row_idx int, col_idx int, value double").repartition(4)
+    want = {(i, j): (m[i : i + 64, j : j + 64] * k[::-1, ::-1]).sum() for i in range(27) for j in range(47)}
+    assert grid(pt.convolve2d_valid(cells, k.tolist(), tile)) == want  # by transform
+    monkeypatch.setattr(pt, "TRANSFORM", 1 << 30)
+    assert grid(pt.convolve2d_valid(cells, k.tolist(), tile)) == want
+    half = pt.convolve2d_valid(cells.selectExpr("row_idx", "col_idx", "value / 3 AS value"), k.tolist(), tile)
+    assert grid(half) == pytest.approx({p: v / 3 for p, v in want.items()})
+
+
+def test_missing_cells_and_values(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 0, 1.0), (5, 5, 2.0), (9, 9, None)], "row_idx int, col_idx int, value double")
+    got = grid(pt.convolve2d_valid(cells, [[1, 2], [3, 4]], 4))
+    assert got[0, 0] == 8.0 and {p: v for p, v in got.items() if v} == {(0, 0): 8.0, (4, 4): 2.0, (4, 5): 4.0, (5, 4): 6.0, (5, 5): 8.0}
