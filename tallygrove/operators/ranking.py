@@ -4,17 +4,18 @@ Rows are cut into slots by value: the cut points come from a sketch, so they onl
 work; a row's slot depends on its values alone, so a retried task puts it in the same place. Each
 slot is ranked by itself, and the totals of the slots before it (a table of a few thousand rows at
 most) are added. A score shared by very many rows spans several cut points; its rows are divided
-further by id, in proportion to their number.
+further by id, in proportion to their number; ids may be numbers or texts.
 """
 
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 from itertools import groupby
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -29,8 +30,6 @@ def with_slots(df: DataFrame, key: str, tie: str | None = None, slots: int | Non
     slots = slots or min(MAX_SLOTS, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / slots for i in range(1, slots)]
     bad = F.col(key).isNull() | F.isnan(F.col(key).cast("double"))
-    if tie and not isinstance(df.schema[tie].dataType, NumericType):
-        raise ValueError(f"'{tie}' breaks ties and must be a number")
     accuracy = min(32_768, max(4096, 4 * slots))
     (cuts,), (missing,) = sketched(df, [(F.col(key), probs)], accuracy, [bad.cast("long")])
     if missing:
@@ -43,17 +42,31 @@ def with_slots(df: DataFrame, key: str, tie: str | None = None, slots: int | Non
         return out.drop("_key")
 
     # sub-slots by id inside the scores that fill more than one slot
-    (id_cuts,), _ = sketched(df.where(F.col(key).cast("double").isin(list(hot))), [(F.col(tie), probs)], accuracy)
+    tied = df.where(F.col(key).cast("double").isin(list(hot)))
+    number = _in_order(tied, tie)
+    (id_cuts,), _ = sketched(tied, [(number, probs)], accuracy)
     fine = sorted(set(id_cuts or []))
     parts = [1] * (len(splits) + 1)
     for v, n in hot.items():
         parts[splits.index(v) + 1] = n
     starts = [sum(parts[:i]) for i in range(len(parts))]
-    out = bucket(out.withColumn("_tie", F.col(tie).cast("double")), "_tie", fine, "_fine")
+    out = bucket(out.withColumn("_tie", number.cast("double")), "_tie", fine, "_fine")
     share = F.floor(F.col("_fine") * F.get(F.lit(parts), F.col(SLOT)) / F.lit(len(fine) + 1))
     return out.withColumn(SLOT, F.get(F.lit(starts), F.col(SLOT)) + share.cast("int")).drop("_key", "_tie", "_fine")
 
 
+def _in_order(rows: DataFrame, tie: str) -> Column:
+    """A number that never falls where ``tie`` rises among these rows: itself, or the six bytes of its text after what all
+    texts begin with. Other types go by their text, if that keeps their order (dates and times do)."""
+    if isinstance(rows.schema[tie].dataType, NumericType):
+        return F.col(tie)
+    text = F.col(tie).cast("string")
+    low, high = rows.agg(F.min(text), F.max(text)).first()
+    shared = os.path.commonprefix([(low or "").encode(), (high or "").encode()])
+    after = F.substring(text.cast("binary"), len(shared) + 1, 6)
+    return F.coalesce(F.conv(F.rpad(F.hex(after), 12, "0"), 16, 10).cast("double"), F.lit(-1.0))
+
+
 def bucket(df: DataFrame, col: str, splits: Sequence[float], out: str) -> DataFrame:
     if not splits:
         return df.withColumn(out, F.lit(0))

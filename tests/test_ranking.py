@@ -79,3 +79,17 @@ def test_rows_never_meet_in_one_task(scored, make):
         if node.startswith("Exchange SinglePartition"):
             below = next(n for n in nodes[i + 1 :] if not n.startswith("Project"))
             assert below.startswith(("HashAggregate", "SortAggregate")), below
+
+
+@pytest.mark.parametrize("name", [lambda i: f"customer-{i:06d}", lambda i: f"é{i * 7919 % 1999}", lambda i: f"{'x' * (i % 5)}{i}"])
+def test_text_ids_with_one_score_on_half_the_rows(spark, name):
+    rows = [(name(i), 0.5 if i % 2 else (i * 37 % 1000) / 1000, i % 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id string, p double, label int").repartition(6)
+    got = rk.running_rows(df, "p", "id", ["label"], slots=16).collect()
+    want = sorted(rows, key=lambda r: (r[1], r[0].encode()))
+    at = {r[0]: (k + 1, sum(x[2] for x in want[: k + 1])) for k, r in enumerate(want)}
+    assert {r.id: (r.row_no, r.run_label) for r in got} == at
+    slots = rk.with_slots(df, "p", "id", 16).groupBy("_slot").count().toPandas()
+    assert slots["count"].max() < 700  # the tie of 1,000 rows is divided
+    plan = rk.running_rows(df, "p", "id", ["label"], slots=16)._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
