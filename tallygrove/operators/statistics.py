@@ -249,7 +249,7 @@ def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """Nulls per column."""
-    return _per_column(df, df.columns, {"missing": lambda c: F.count_if(F.col(c).isNull())})
+    return _per_column(df, df.columns, {"missing": lambda c: F.count_if(F.col(f"`{c}`").isNull())})
 
 
 def require_complete(df: DataFrame) -> None:

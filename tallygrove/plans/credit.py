@@ -91,7 +91,7 @@ def prepare(loans: DataFrame, seed: int = 42, date_format: str = "MMM-yyyy") ->
     split = splits.split_stratified(engineer(loans, date_format), seed).persist(StorageLevel.MEMORY_AND_DISK)
     model = Preprocess(FEATURES, CATEGORIES, FLAGS).fit(split.where("split = 'train'"))
     wide = model.transform(split)
-    require_complete(wide.select(*[f"`{c}`" for c in wide.columns if "." not in c]))
+    require_complete(wide)
     rows = assemble(wide, model.features, ["id", "label", "split"]).persist(StorageLevel.MEMORY_AND_DISK)
     rows.count()  # fill the cache, so the split's can go
     split.unpersist()
@@ -103,6 +103,8 @@ def run(loans: DataFrame, seed: int = 42, threshold_mode: str = "ks", grid=cl.C_
     rows, model = prepare(loans, seed)
     path = cl.logistic_path(rows.where("split = 'train'"), rows.where("split = 'validation'"), grid)
     scored = cl.predict_proba(path.best, rows).select("id", "label", "split", "p").persist(StorageLevel.MEMORY_AND_DISK)
+    scored.count()  # fill the cache, so the features can go
+    rows.unpersist()
     t = evaluation.choose_threshold(scored.where("split = 'validation'"), threshold_mode)
     return CreditRun(model, path, t, scored, evaluation.evaluation_pack(scored, t))
 

@@ -106,3 +106,10 @@ def test_missing_values_and_constants_count_alike_at_every_width(spark):
         assert pair(wide.columns) == pair(wide.columns[:-1])
         assert pair(wide.columns)["a", "b"] is not None
         assert pair(wide.columns)["c", "a"] == (0.0 if matrix is st.covariance_matrix else None)
+
+
+def test_missing_values_of_odd_names(spark):
+    df = spark.createDataFrame([(1, None), (2, 3)], "`a.b` int, `c d.e` int")
+    assert {r["column"]: r["missing"] for r in st.missing_counts(df).collect()} == {"a.b": 0, "c d.e": 1}
+    with pytest.raises(ValueError, match="c d.e"):
+        st.require_complete(df)
