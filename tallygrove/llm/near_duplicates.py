@@ -268,24 +268,15 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
         for batch in batches:
             for part in slices(batch.filter(ids(batch.column("_place")))):
                 values, first = shingles(part.column("text"), sim.words)
-                raw = values.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array([raw[8 * a : 8 * b] for a, b in zip(first[:-1], first[1:])], pa.binary())], ["doc_id", "set"]
-                )
+                lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "set"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
-                good[i] = (100 + sim.percent) * int((both[1:] == both[:-1]).sum()) >= sim.percent * (len(x) + len(y))
-            yield batch.select(["u", "v"]).filter(pa.array(good))
-
-    known = texts.select("*", ids.place("doc_id")).mapInArrow(sets, "doc_id long, set binary")
+    known = texts.select("*", ids.place("doc_id")).mapInArrow(sets, "doc_id long, set array<long>")
     one = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
     two = one.join(known.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
-    return two.select(F.col("a").alias("u"), F.col("b").alias("v"), "x", "y").mapInArrow(check, "u long, v long")
+    # in the JVM, pair by pair: an Arrow batch of many pairs of long sets could be of any size
+    shared, sizes = F.size(F.array_intersect("x", "y")).cast("long"), F.size("x").cast("long") + F.size("y")
+    return two.filter((100 + sim.percent) * shared >= sim.percent * sizes).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
