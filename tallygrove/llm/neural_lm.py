@@ -2,9 +2,9 @@
 
 The most frequent words are classes of their own; every other word belongs to one of a fixed number of classes by its
 ending. The network predicts the next class from the two before it and is trained in numpy with noise-contrastive
-estimation: every training text is used once, a slice of the corpus a round, in parallel tasks whose parameters are
-averaged. Scoring normalises exactly: for the distinct contexts of a batch one matrix product gives the scores of all
-classes. A word's share of its class follows from its count in the training texts; counts cover all of them, and those of
+estimation: every training token is used once, a slice of the corpus a round, by replicas in parallel tasks whose
+parameters are averaged; hashes deal texts to replicas, so the way files are cut changes nothing. Scoring normalises
+exactly: batched matrix products give the totals of all contexts once, for every text. A word's share of its class follows from its count in the training texts; counts cover all of them, and those of
 rare words are joined in by Spark. Words are told apart by 64-bit hashes.
 """
 
@@ -15,8 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallygrove.llm.graph import stored
@@ -33,7 +32,11 @@ class Settings:
     size: int = 24  # numbers of a class's vectors
     noise: int = 64  # noise classes a batch
     batch: int = 4096
-    rounds: int = 3  # slices of the corpus, and averages of parameters
+    rounds: int = 6  # slices of the corpus, and averages of parameters; one more each time the tokens are four times as many
+    span: int = 200_000  # tokens of a replica in a round, as long as there are fewer replicas than
+    replicas: int = 4096
+    piece: int = 1 << 15  # tokens of a text that are dealt together
+    held: int = 1 << 18  # tokens that a replica puts in random order at a time
     rate: float = 0.1
     seed: int = 11
 
@@ -58,7 +61,7 @@ def counts(texts: DataFrame) -> DataFrame:
                 columns = [word.view(np.int64), endings[first].astype(np.int32), n.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["word", "ending", "n"])
 
-    rows = texts.mapInArrow(count, "word long, ending int, n long")
+    rows = texts.select("text").mapInArrow(count, "word long, ending int, n long")
     return rows.groupBy("word", "ending").agg(F.sum("n").alias("n"))
 
 
@@ -148,17 +151,21 @@ class Network:
     def hidden(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         return self.places[0] * self.context[one] + self.places[1] * self.context[two]
 
-    def log_probabilities(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log of the normalised probability of each target after (two, one); distinct contexts are worked out once."""
-        classes = len(self.bias)
-        keys, back = np.unique(one.astype(np.int64) * (classes + 1) + two, return_inverse=True)
-        hidden = self.hidden(keys // (classes + 1), keys % (classes + 1))
-        total = np.empty(len(keys))
-        for a in range(0, len(keys), 4096):
-            scores = hidden[a : a + 4096] @ self.target.T + self.bias
+    def normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Natural log of the summed weights of all targets after each context (two, one)."""
+        hidden = self.hidden(one, two)
+        total = np.empty(len(one))
+        for a in range(0, len(one), 4096):
+            scores = hidden[a : a + 4096] @ self.target.T
+            scores += self.bias
             top = scores.max(axis=1, keepdims=True)
-            total[a : a + 4096] = top[:, 0] + np.log(np.exp(scores - top).sum(axis=1))
-        return (hidden[back] * self.target[target]).sum(axis=1) + self.bias[target] - total[back]
+            scores -= top
+            total[a : a + 4096] = top[:, 0] + np.log(np.exp(scores, out=scores).sum(axis=1))
+        return total
+
+    def log_probabilities(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Natural log of the normalised probability of each target after (two, one)."""
+        return (self.hidden(one, two) * self.target[target]).sum(axis=1) + self.bias[target] - self.normalisers(one, two)
 
 
 def start(vocab: Vocabulary, settings: Settings) -> Network:
@@ -221,63 +228,151 @@ def _sequences(column: pa.Array, vocab: Vocabulary) -> tuple[Words, np.ndarray,
     return words, hashes, count, target, one, two, ends
 
 
+def pieces(texts: DataFrame, vocab: Vocabulary, settings: Settings) -> DataFrame:
+    """Training texts as classes: ``draw`` (a hash of id, text and place), ``n``, ``codes`` of up to ``piece`` tokens.
+
+    Codes are 16-bit numbers after those of the two tokens before the piece. A long text is several pieces.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, limit=2 << 20):
+                _, _, _, target, one, two, ends = _sequences(part.column("text"), vocab)
+                begins = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+                number = -(-(ends + 1 - begins) // settings.piece)
+                doc = np.repeat(np.arange(len(ends)), number)
+                nth = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+                start = begins[doc] + nth * settings.piece
+                stop = np.minimum(start + settings.piece, ends[doc] + 1)
+                codes = [np.concatenate([[two[i], one[i]], target[i:j]]).astype(np.uint16).tobytes() for i, j in zip(start, stop)]
+                draw = mix(part.column("mark").to_numpy().view(np.uint64)[doc] + mix(nth.astype(np.uint64) + np.uint64(settings.seed)))
+                yield pa.RecordBatch.from_arrays([pa.array(draw.view(np.int64)), pa.array(stop - start), pa.array(codes, pa.binary())], ["draw", "n", "codes"])
+
+    return texts.select("text", F.xxhash64("doc_id", "text").alias("mark")).mapInArrow(work, "draw long, n long, codes binary")
+
+
+def schedule(tokens: int, settings: Settings) -> tuple[int, int]:
+    """Rounds, which grow with the logarithm of the tokens, and replicas, which grow with the tokens up to ``replicas``."""
+    rounds = settings.rounds + max(0, int(np.log2(max(tokens, 1) / settings.span)) // 2)
+    return rounds, int(min(settings.replicas, max(1, round(tokens / (settings.span * rounds)))))
+
+
 def train(texts: DataFrame, vocab: Vocabulary, settings: Settings = Settings()) -> Network:
-    """Every round trains on one slice of the texts, task by task from the same parameters, and averages by tokens seen."""
+    """Learns from every token once, from rows of ``doc_id``, ``text``.
+
+    A hash of a piece of text gives its round, its replica and its place there. In a round each replica takes its steps from
+    the same parameters; then parameters, and the squares of gradients that set the rate, are averaged by tokens seen. So
+    the result follows from the rows alone, however they are cut into files, partitions and tasks.
+    """
     net = start(vocab, settings)
     share = (vocab.class_counts + 1.0) / (vocab.class_counts + 1.0).sum()
     if not vocab.documents:
         return net
-    for turn in range(settings.rounds):
-        now = net
-
-        def work(batches: Iterator[pa.RecordBatch], now: Network = now, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            own = now.like(now.flat())
-            sums = own.like(np.zeros(own.flat().size))
-            rng = np.random.default_rng([settings.seed, turn, TaskContext.get().partitionId()])
-            seen = 0
-            for batch in batches:
-                for part in slices(batch, limit=2 << 20):
-                    _, _, _, target, one, two, _ = _sequences(part.column("text"), vocab)
+    squares = net.like(np.zeros(net.flat().size))
+    rounds, replicas = schedule(vocab.tokens, settings)
+    draw = F.col("draw")
+    dealt = pieces(texts, vocab, settings).withColumn("round", F.pmod(draw, F.lit(rounds)).cast("int"))
+    dealt = stored(dealt.withColumn("replica", F.pmod(F.xxhash64("draw"), F.lit(replicas)).cast("int")), "pieces")
+    for turn in range(rounds):
+        now, before = net, squares
+
+        def work(batches: Iterator[pa.RecordBatch], now: Network = now, before: Network = before, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            replica, waiting, held, seen = None, [], 0, 0
+
+            def step() -> None:
+                nonlocal waiting, held, seen
+                if waiting:
+                    one, two, target = (np.concatenate(x) for x in zip(*((c[1:-1], c[:-2], c[2:]) for c in waiting)))
                     learn(own, one, two, target, share, sums, rng, settings)
                     seen += len(target)
-            if seen:
-                pieces = np.array_split(own.flat().astype(np.float64) * seen, PARTS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(PARTS), pa.int32()), pa.array([seen] * PARTS, pa.int64()), pa.array([p.astype(np.float32).tobytes() for p in pieces])],
-                    ["piece", "seen", "sums"],
-                )
+                waiting, held = [], 0
+
+            def out() -> pa.RecordBatch:
+                step()
+                both = np.array_split(np.concatenate([own.flat(), sums.flat()]), PARTS)
+                columns = [pa.array(range(PARTS), pa.int32()), pa.array([replica] * PARTS, pa.int32()), pa.array([seen] * PARTS, pa.int64())]
+                return pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in both])], ["piece", "replica", "seen", "numbers"])
+
+            for batch in batches:
+                for r, raw in zip(batch.column("replica").to_pylist(), batch.column("codes")):
+                    if r != replica:
+                        if replica is not None:
+                            yield out()
+                        replica, seen = r, 0
+                        own, sums = now.like(now.flat()), before.like(before.flat())
+                        rng = np.random.default_rng([settings.seed, turn, r])
+                    waiting.append(np.frombuffer(raw.as_buffer(), np.uint16).astype(np.int64))
+                    held += len(waiting[-1]) - 2
+                    if held >= settings.held:
+                        step()
+            if replica is not None:
+                yield out()
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[int, list] = {}
+            total: dict[int, list] = {}
             for batch in batches:
-                for piece, seen, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    x = np.frombuffer(raw, np.float32).astype(np.float64)
-                    sums[piece] = [sums[piece][0] + seen, sums[piece][1] + x] if piece in sums else [seen, x]
-            if sums:
-                means = [(x / n).astype(np.float32).tobytes() for n, x in sums.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(means)], ["piece", "means"])
-
-        own = texts.filter(F.pmod(F.xxhash64("text", F.lit(settings.seed)), F.lit(settings.rounds)) == turn)
-        done = own.mapInArrow(work, "piece int, seen long, sums binary").repartition(PARTS, "piece").mapInArrow(add, "piece int, means binary").collect()
-        if done:
-            net = net.like(np.concatenate([np.frombuffer(r.means, np.float32) for r in sorted(done)]))
+                for piece, seen, raw in zip(*(batch.column(c).to_pylist() for c in ("piece", "seen", "numbers"))):
+                    x = np.frombuffer(raw, np.float32) * np.float64(seen)
+                    total[piece] = [total[piece][0] + seen, total[piece][1] + x] if piece in total else [seen, x]
+            if total:
+                means = [(x / n).astype(np.float32).tobytes() for n, x in total.values()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(means)], ["piece", "means"])
+
+        slice_ = dealt.filter(F.col("round") == turn).select("replica", "draw", "codes")
+        taken = slice_.repartition("replica").sortWithinPartitions("replica", "draw", "codes")
+        states = taken.mapInArrow(work, "piece int, replica int, seen long, numbers binary")
+        # in order of replicas, so that sums don't depend on which task ends first
+        means = states.repartition(PARTS, "piece").sortWithinPartitions("piece", "replica").mapInArrow(add, "piece int, means binary").collect()
+        if means:
+            numbers = np.concatenate([np.frombuffer(r.means, np.float32) for r in sorted(means)])
+            net, squares = net.like(numbers), squares.like(numbers[len(numbers) // 2 :])
     return net
 
 
+@dataclass
+class Tables:
+    """Parts of log10 probabilities: of a target by the class before it and by the one before that, and a context's total."""
+
+    near: np.ndarray  # (classes + 1) x classes, with the bias
+    far: np.ndarray  # (classes + 1) x classes
+    total: np.ndarray  # (classes + 1) x (classes + 1)
+
+    def __call__(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return self.near[one, target].astype(np.float64) + self.far[two, target] - self.total[one, two]
+
+
+def tables(spark: SparkSession, net: Network) -> Tables:
+    """Exact normalisers of all contexts by batched matrix products in parallel tasks: 12 bytes for each pair of classes."""
+    classes = len(net.bias)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.column("id").to_pylist():
+                two = np.arange(classes + 1)
+                total = net.normalisers(np.full(classes + 1, one), two).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([one], pa.int64()), pa.array([total.tobytes()])], ["id", "total"])
+
+    rows = spark.range(0, classes + 1, 1, 16).mapInArrow(work, "id long, total binary").collect()
+    total = np.stack([np.frombuffer(r.total, np.float32) for r in sorted(rows)])
+    near, far = ((net.places[i] * net.context) @ net.target.T for i in (0, 1))
+    ten = np.float32(np.log(10))
+    return Tables((near + net.bias) / ten, far / ten, total / ten)
+
+
 def score(docs: DataFrame, learned: Column, settings: Settings = Settings()) -> DataFrame:
     """Scores of every row, learned from those where ``learned`` holds.
 
     ``doc_id``, ``n_tokens`` (words and one end), ``n_known`` (tokens in the training texts), ``train_tokens``,
     ``base_score`` (log10 probability under smoothed single counts), ``score`` (under the network). A null text is empty: its
     one token is the end. Repeated rows count and score each. Without training texts nothing is known, and the network
-    gives its start values. Other columns are not read.
+    gives its start values. Rows of one id and text are dealt to one replica. Other columns are not read.
     """
     c = F.col
     rows = docs.select(c("doc_id").cast("long").alias("doc_id"), F.coalesce(c("text").cast("string"), F.lit("")).alias("text"), learned.alias("learned"))
-    texts = rows.filter("learned").select("text")
+    texts = rows.filter("learned").select("doc_id", "text")
     table = stored(counts(texts), "counts")
     vocab = vocabulary(table, texts.count(), settings)
-    net = train(texts, vocab, settings)
+    network = tables(docs.sparkSession, train(texts, vocab, settings))
     whole = np.log10(vocab.tokens + vocab.distinct + 1.0)
     end_base = np.log10(vocab.documents + 1.0)
 
@@ -285,7 +380,7 @@ def score(docs: DataFrame, learned: Column, settings: Settings = Settings()) ->
         for batch in batches:
             for part in slices(batch, limit=2 << 20):
                 words, hashes, count, target, one, two, ends = _sequences(part.column("text"), vocab)
-                logs = net.log_probabilities(one, two, target) / np.log(10) - vocab.room[target]
+                logs = network(one, two, target) - vocab.room[target]
                 total = np.concatenate([[0], np.cumsum(logs)])
                 begins = np.concatenate([[0], ends[:-1] + 1])
                 listed = np.where(count >= 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)

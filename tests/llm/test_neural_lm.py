@@ -70,6 +70,43 @@ def test_probabilities_are_normalised():
         assert math.isclose(p.sum(), 1, rel_tol=1e-5)
 
 
+def test_tables_give_the_same_probabilities(spark):
+    rng = np.random.default_rng(4)
+    net = lm.Network(*(rng.normal(0, 1, s).astype(np.float32) for s in ((12, 5), (11, 5), (2, 5), (11,))))
+    one, two, target = rng.integers(0, 12, 500), rng.integers(0, 12, 500), rng.integers(0, 11, 500)
+    assert np.allclose(lm.tables(spark, net)(one, two, target) * np.log(10), net.log_probabilities(one, two, target), atol=1e-4)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    """Texts longer than a piece, several replicas and rounds, rows in any order."""
+    rows = list(enumerate(corpus(300))) + [(900, " ".join(corpus(40, seed=9))), (901, None), (None, "ba0 ce1"), (5, "twice"), (5, "twice")]
+    settings = lm.Settings(heads=40, listed=120, batch=64, rounds=3, span=500, piece=50, held=700)
+    assert lm.schedule(9000, settings)[1] > 2
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    found = []
+    for cut in (docs.coalesce(1), docs.orderBy("text").repartition(16)):
+        got = lm.score(cut, remainder("doc_id", 7) != 2, settings).collect()
+        found.append(sorted((str(r.doc_id), r.n_tokens, r.n_known, r.score) for r in got))
+    assert all(a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-6) for a, b in zip(*found, strict=True))
+
+
+def test_pieces_hold_every_token_once(spark):
+    texts = spark.createDataFrame([(1, "a b c d e f g"), (2, ""), (3, "a"), (None, "b b b b")], "doc_id long, text string")
+    settings = lm.Settings(heads=3, listed=5, piece=3)
+    vocab = lm.vocabulary(lm.counts(texts).cache(), 4, settings)
+    got = lm.pieces(texts, vocab, settings).collect()
+    codes = [np.frombuffer(r.codes, np.uint16).tolist() for r in got]
+    assert sorted(r.n for r in got) == [1, 2, 2, 2, 3, 3, 3] and len({r.draw for r in got}) == 7
+    assert sorted(np.bincount([x for c in codes for x in c[2:]], minlength=len(vocab.class_counts))) == sorted(vocab.class_counts)
+    following = [c for c in codes if vocab.end + 1 not in c[:2]]
+    assert len(following) == 3 and all(any(c[:2] == o[-2:] for o in codes) for c in following)
+
+
+def test_rounds_and_replicas_grow_with_the_tokens():
+    plan = [lm.schedule(n, lm.Settings()) for n in (0, 10**6, 10**9, 10**13)]
+    assert plan == sorted(plan) and plan[0] == (6, 1) and plan[2][1] > 100 and plan[3][1] == lm.Settings().replicas and plan[3][0] < 40
+
+
 def test_training_finds_a_pattern():
     rng = np.random.default_rng(3)
     target = np.resize([0, 1, 2, 3, 1], 20_000)
