@@ -2,8 +2,8 @@
 
 Shingles are ordered rare first: a mergeable table of heavy hitters tells the frequent ones apart, the others go by hash.
 Two sets of Jaccard similarity t share a shingle among the first few of each (prefix filter), are of like size (length
-filter), and have room for enough shared shingles from their first shared one on (positional filter) and in bitmaps of the
-sets (suffix filter); what is left is verified once per pair.
+filter), have room for enough shared shingles from their first shared one on (positional filter), and differ in few enough bits of
+a sketch of parities (suffix filter: it bounds the Hamming distance); what is left is verified once per pair.
 
 Equal sets are one class before the join. Lists of documents that share a prefix shingle are joined in full up to
 ``SHORT`` documents. In a longer list documents are first compared with the heads of their lists; then all pairs of
@@ -105,21 +105,21 @@ def frequencies(texts: DataFrame, sim: Similarity) -> Frequent:
     return Frequent(hashes.view(np.uint64)[order], np.round(8 * np.log2(n[order])).clip(1, 255).astype(np.uint8))
 
 
-def _bitmaps(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
-    """A bitmap of each set's hashes: the least power of two of bits that is four times its size, in 64-bit words."""
+def _parities(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Whether an odd number of each set's hashes falls on a bit, in 64-bit words: the least power of two of bits not below its size."""
     n = np.diff(first)
-    bits = np.maximum(64, 4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
     words = np.where(n > 0, bits // 64, 0)
     begin = np.concatenate([[0], np.cumsum(words)])
     doc = np.repeat(np.arange(len(n)), n)
     bit = (values & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
     out = np.zeros(begin[-1], np.uint64)
-    np.bitwise_or.at(out, begin[doc] + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+    np.bitwise_xor.at(out, begin[doc] + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
     return pa.ListArray.from_arrays(begin.astype(np.int32), pa.array(out.view(np.int64)))
 
 
 def prefixes(texts: DataFrame, sim: Similarity, frequent: Frequent) -> DataFrame:
-    """``doc_id``, ``n`` shingles, ``signature`` of the set, ``prefix`` (its rarest shingles), ``bits`` (its bitmap)."""
+    """``doc_id``, ``n`` shingles, ``signature`` of the set, ``prefix`` (its rarest shingles), ``bits`` (its parities)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +135,7 @@ def prefixes(texts: DataFrame, sim: Similarity, frequent: Frequent) -> DataFrame
                 take = order[place < length[docs]]
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(values[take].view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(marks, pa.binary()), lists, _bitmaps(values, first)],
+                    [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(marks, pa.binary()), lists, _parities(values, first)],
                     ["doc_id", "n", "signature", "prefix", "bits"],
                 )
 
@@ -148,18 +148,19 @@ def _enough(shared: Column, sim: Similarity) -> Column:
 
 
 def _alike(x: Column, y: Column, sim: Similarity) -> Column:
-    """Suffix filter on bitmaps: every bit of one set that the other lacks is a shingle that they don't share."""
+    """Suffix filter on parities: two sets differ in at least as many shingles as their parities differ in bits.
+
+    A bit differs only where an odd number of shingles of one set alone fall on it. The longer parities are folded; after the
+    length filter one of them is at most twice as long.
+    """
 
     def folded(a: Column, b: Column) -> Column:
         half = F.size(b)
-        return F.when(F.size(a) <= half, a).otherwise(F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseOR(q)))
-
-    def lacking(a: Column, b: Column) -> Column:
-        each = F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q))))
-        return F.aggregate(each, F.lit(0), lambda s, v: s + v)
+        return F.when(F.size(a) <= half, a).otherwise(F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q)))
 
-    a, b = folded(x, y), folded(y, x)
-    return _enough(F.least(F.col("na") - lacking(a, b), F.col("nb") - lacking(b, a)), sim)
+    each = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    differ = F.aggregate(each, F.lit(0), lambda s, v: s + v)
+    return _enough(F.floor((F.col("na").cast("long") + F.col("nb") - differ) / 2), sim)
 
 
 def _close(sim: Similarity) -> Column:
@@ -179,7 +180,7 @@ def _distinct(pairs: DataFrame) -> DataFrame:
 def _pairs(rows: DataFrame, sim: Similarity, apart: bool = False) -> DataFrame:
     """Pairs of documents in a list: the smaller by one of its first shingles, which are fewer for it than for the larger.
 
-    With ``apart``, rows have a component and a bitmap: only pairs of different components whose bitmaps are alike.
+    With ``apart``, rows have a component and parities: only pairs of different components whose parities are alike.
     """
     c = F.col
     more = ("comp", "bits") if apart else ()
@@ -251,7 +252,7 @@ def _only(rows: DataFrame, ids: Ids) -> DataFrame:
 
 
 def _filtered(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs whose bitmaps are alike."""
+    """The pairs whose parities are alike."""
     c = F.col
     pairs = stored(pairs, "candidates")
     sets = _only(sets, _mentioned(pairs))
@@ -346,7 +347,7 @@ def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similar
         if tests:
             pairs = _filtered(_to_heads(open_, sim, tests), sets, sim)
         else:
-            # all bitmaps of an id with several texts: a posting meets those of its size, its own among them
+            # all parities of an id with several texts: a posting meets those of its size, its own among them
             own = _only(sets, _mentioned(open_.select("doc").distinct())).select(c("doc_id").alias("doc"), "n", "bits")
             own = own.groupBy("doc", "n").agg(F.collect_set("bits").alias("all")).select("doc", "n", F.explode("all").alias("bits"))
             pairs = _pairs(open_.join(own, ["doc", "n"]), sim, apart=True)

@@ -4,6 +4,9 @@ import itertools
 import random
 import re
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tallygrove.llm import near_duplicates as near
 from tallygrove.llm.graph import components
 
@@ -140,3 +143,25 @@ def test_unrelated_texts_of_one_id_all_stay(spark):
     assert len([r for r in got if r.doc_id is None]) == 2 and len(got) == 9
     again = near.keep_one(docs.repartition(7, "source")).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_parities_never_refuse_a_similar_pair(spark):
+    """Pairs on both sides of the limit, sizes on both sides of a power of two, so that one of the two is folded."""
+    rng = np.random.default_rng(8)
+    sim, sets, rows = near.Similarity(), [], []
+    for i in range(120):
+        size = int(rng.choice([1, 7, 60, 64, 65, 70, 127, 129, 140, 300]))
+        one = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        gone, more = int(size * rng.random() * 0.3), int(size * rng.random() * 0.3)
+        sets += [one, np.concatenate([one[gone:], rng.integers(0, 1 << 63, more, dtype=np.uint64)])]
+    bits = near._parities(np.concatenate(sets), np.cumsum([0] + [len(s) for s in sets])).to_pylist()
+    for i in range(0, len(sets), 2):
+        a, b = (set(s.tolist()) for s in sets[i : i + 2])
+        rows.append((100 * len(a & b) >= 75 * len(a | b), len(a), len(b), bits[i], bits[i + 1]))
+        other = (i + 2) % len(sets)
+        if 100 * min(len(a), len(sets[other])) >= 75 * max(len(a), len(sets[other])):
+            rows.append((False, len(a), len(sets[other]), bits[i], bits[other]))
+    df = spark.createDataFrame(rows, "similar boolean, na int, nb int, x array<long>, y array<long>")
+    got = df.select("similar", near._alike(F.col("x"), F.col("y"), sim).alias("kept")).collect()
+    assert all(r.kept for r in got if r.similar) and sum(r.similar for r in got) > 30
+    assert sum(not r.kept for r in got) > 10
