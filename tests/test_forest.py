@@ -177,3 +177,18 @@ def test_constant_features_many_values_and_ties(spark):
     steep = assemble(spark.createDataFrame([(i, float(i >= 150), 1.0, float(i)) for i in range(300)], "id long, label double, a double, b double"), ["a", "b"])
     cut = fg.grow_forest(steep, fg.ForestParams(trees=1, depth=1, features="sqrt", bootstrap=False))  # one feature a node: may draw the constant first
     assert len(cut.bins.cuts[1]) == fg.BINS - 1 and cut.n_leaves() == [2]
+
+
+def test_a_table_of_a_town_is_one_block(spark):
+    rows = assemble(spark.range(60_000).selectExpr("id", "double(id % 7) AS label", "double(id % 50) AS a"), ["a"])
+    blocks = fg.pack(rows, fg.fit_bins(rows))
+    assert blocks.count() == 1 and len(np.frombuffer(blocks.first().keys, np.int64)) == 60_000
+    blocks.unpersist()
+    for n in (10, 60_000, 1_000_000):  # a task's rows times trees stay bounded
+        groups = fg._groups(fg.ForestParams(trees=60), n)
+        assert [t for g in groups for t in g] == list(range(60)) and max(map(len, groups)) * n <= max(fg.HELD, n)
+
+
+def test_ranks_of_values_that_are_there():
+    rank, group, value, place = fg._ranks(np.array([0, 0, 1, 0]), np.array([5, 2, 7, 5]), 2, 8)
+    assert rank.tolist() == [1, 0, 0, 1] and list(zip(group, value, place)) == [(0, 2, 0), (0, 5, 1), (1, 7, 0)]
