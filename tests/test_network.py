@@ -1,3 +1,5 @@
+import threading
+
 import numpy as np
 import pytest
 
@@ -128,3 +130,19 @@ def test_search_keeps_the_best_trial(parts):
     model, trials = nw.mlp_random_search(*parts, n_trials=3, seed=5, base=base)
     assert [p for p, _ in trials] == [nw.sample_params(t, 5, base) for t in range(3)]
     assert model.val_loss == min(loss for _, loss in trials) and model.params in [p for p, _ in trials]
+
+
+def test_networks_do_not_wait_for_one_another(parts, monkeypatch):
+    both, plain, seen = threading.Barrier(2), nw.one_epoch, []
+
+    def epoch(rows, trial, number, **how):
+        if number == 1:
+            both.wait(60)  # breaks unless both are in training
+        seen.append((trial.p.seed, number))
+        return plain(rows, trial, number, **how)
+
+    monkeypatch.setattr(nw, "one_epoch", epoch)
+    rows = nw.training_rows(*parts, replicas=2)
+    models = nw.train_together(rows, [nw.MlpParams(layers=0, epochs=1, seed=1), nw.MlpParams(layers=0, epochs=2, seed=2)])
+    rows.unpersist()
+    assert sorted(seen) == [(1, 1), (1, 2), (2, 1), (2, 2), (2, 3)] and [len(m.history) for m in models] == [1, 2]
