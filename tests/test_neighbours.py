@@ -57,3 +57,14 @@ def test_no_cross_join(spark):
     x = table(spark, np.eye(4))
     plan = nb.knn(x, x, 2, pivots=2)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_single_precision_and_few_groups(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(150, 3)).astype(np.float32).astype(np.float64)
+    rows = table(spark, x).select("id", F.col("vec").cast("array<float>").alias("vec"))
+    got = nb.knn(rows, rows, 4, skip_self=True, pivots=5, block=20)
+    check(got, brute(x, x, 4, True))
+    assert "array<double>" not in got._jdf.queryExecution().optimizedPlan().toString()  # single as given, so short to shuffle
+    many = spark.range(3000).selectExpr("id", "array(float(id), float(id % 7)) AS vec")
+    assert len(nb._pivots(many, None)[0]) == 1  # a query goes to few groups
