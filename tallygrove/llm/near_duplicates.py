@@ -27,6 +27,7 @@ from tallygrove.llm.text import LOWER, Rolling, Words, flat, mix, slices
 
 HITTERS = 1 << 17  # frequent shingles that are told apart: a few MB a task whatever the input
 FILTER_BITS = (16, 28)  # log2 of the bits of a filter of ids, which has sixteen for each id up to 32 MB
+SLICE = 512 << 10  # text bytes a task works on at a time: its arrays of words and shingles are some thirty times as large
 SHORT = 6
 TESTS = (3, 24)  # heads with which a document of a longer list is compared, by rounds, before all pairs are
 
@@ -91,7 +92,7 @@ def frequencies(texts: DataFrame, sim: Similarity) -> Frequent:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 values = shingles(part.column("text"), sim.words)[0]
                 kinds, n = np.unique(values, return_counts=True)
                 held = _heaviest(np.concatenate([held[0], kinds]), np.concatenate([held[1], n]), HITTERS)
@@ -123,7 +124,7 @@ def prefixes(texts: DataFrame, sim: Similarity, frequent: Frequent) -> DataFrame
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 values, first = shingles(part.column("text"), sim.words)
                 n = np.diff(first)
                 docs = np.repeat(np.arange(len(n)), n)
@@ -267,7 +268,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.filter(ids(batch.column("_place")))):
+            for part in slices(batch.filter(ids(batch.column("_place"))), limit=SLICE):
                 values, first = shingles(part.column("text"), sim.words)
                 lists = pa.ListArray.from_arrays(first.astype(np.int32), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "set"])

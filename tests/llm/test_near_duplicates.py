@@ -165,3 +165,21 @@ def test_parities_never_refuse_a_similar_pair(spark):
     got = df.select("similar", near._alike(F.col("x"), F.col("y"), sim).alias("kept")).collect()
     assert all(r.kept for r in got if r.similar) and sum(r.similar for r in got) > 30
     assert sum(not r.kept for r in got) > 10
+
+
+def test_a_task_works_on_little_text_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tallygrove.llm import near_duplicates as nd
+    from tallygrove.llm.text import slices
+
+    text = " ".join(f"w{i * i % 9973}" for i in range(400))
+    batch = pa.RecordBatch.from_arrays([pa.array([text] * 2000)], ["text"])
+    tracemalloc.start()
+    for part in slices(batch, limit=nd.SLICE):
+        nd.shingles(part.column("text"), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20  # slices of 2 MB take more than twice as much
