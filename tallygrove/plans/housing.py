@@ -45,16 +45,16 @@ def split_and_scale(table: DataFrame, features: Sequence[str], n_train: int, n_t
     return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def compare(rows: DataFrame, search: int = 10, forests: int = 10) -> DataFrame:
-    """Test error of every ridge and lasso penalty, the searched ridge and the searched forest, ``search`` and ``forests`` draws."""
+def compare(rows: DataFrame, search: int = 10, trees: int = 10) -> DataFrame:
+    """Test error of every ridge and lasso penalty, the searched ridge and the searched forest, ``search`` and ``trees`` draws."""
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     models = [(f"ridge {a}", regression.ridge(train, a)) for a in RIDGE_ALPHAS]
     models += [(f"lasso {a}", regression.lasso(train, a)) for a in LASSO_ALPHAS]
     if search:
         found = forest.random_search(train, forest.fit_ridge, forest.RIDGE_SPACE, search)
         models.append(("ridge searched", found.best))
-    if forests:
-        models.append(("forest searched", forest.search_forest(train, forests).best))
+    if trees:
+        models.append(("forest searched", forest.search_forest(train, trees).best))
     out = None
     for name, model in models:
         line = evaluation.regression_metrics(model.transform(test), "label", "prediction").withColumn("model", F.lit(name))
