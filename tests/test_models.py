@@ -152,6 +152,21 @@ def test_kmeans(spark):
     assert total == pytest.approx(sum(((x[i * 60 : (i + 1) * 60] - want[i]) ** 2).sum() for i in range(3)))
 
 
+def test_kmeans_tasks_in_proportion_to_the_vectors(spark):
+    points = [(float(i % 4 * 10 + i % 3), float(i % 4)) for i in range(400)]
+    rows = assemble(spark.createDataFrame(points, "u double, v double"), ["u", "v"], []).repartition(40).persist()
+    rows.count()
+    context, status = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("kmeans-tasks", "kmeans")
+    _, centres = clustering.kmeans(rows, 4, 42)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    rows.unpersist()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("kmeans-tasks") for s in status.getJobInfo(j).stageIds]
+    tasks = [s.numTasks for s in stages if s]
+    assert len(tasks) > 8 and sum(n > 1 for n in tasks) <= 8  # the rows are written and packed; iterations need one task
+    assert len(centres) == 4
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5)) + 3
