@@ -30,6 +30,21 @@ def test_credit_cleaning(spark, small):
         credit.prepare(bad)
 
 
+def test_credit_loans_are_engineered_once(spark, small):
+    loans = fx.loans(spark, small).persist()
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def status(value):
+        seen.add(1)
+        return value
+
+    rows, _ = credit.prepare(loans.withColumn("loan_status", status("loan_status")))
+    assert 0 < rows.count() <= seen.value <= loans.count()  # not once for every pass that the split needs
+    rows.unpersist()
+    loans.unpersist()
+
+
 def test_housing(spark, small):
     table, features = housing.prepare(fx.iowa(spark, small))
     assert len(features) == 22 + 25
