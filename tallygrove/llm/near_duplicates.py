@@ -6,9 +6,9 @@ filter), have room for enough shared shingles from their first shared one on (po
 a sketch of parities (suffix filter: it bounds the Hamming distance); what is left is verified once per pair.
 
 Equal sets are one class before the join. Lists of documents that share a prefix shingle are joined in full up to
-``SHORT`` documents. In a longer list documents are first compared with the heads of their lists; then all pairs of
-the list are that these links leave in different components. So a large group of near copies doesn't become all its
-pairs, while no link between components is lost.
+``SHORT`` documents. In a longer list documents are first compared with heads of their lists, others in each round, then
+with the likeliest of the list that are in other components; at last all pairs of the list are that these links leave in
+different components. So a large group of near copies doesn't become all its pairs, while no link between components is lost.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,7 @@ FILTER_BITS = (16, 28)  # log2 of the bits of a filter of ids, which has sixteen
 SLICE = 512 << 10  # text bytes a task works on at a time: its arrays of words and shingles are some thirty times as large
 SHORT = 6
 TESTS = (3, 24)  # heads with which a document of a longer list is compared, by rounds, before all pairs are
+NEAREST = 4  # documents of other components, the likeliest by parities, with which it is compared between those and all pairs
 
 
 @dataclass(frozen=True)
@@ -148,20 +151,23 @@ def _enough(shared: Column, sim: Similarity) -> Column:
     return (100 + sim.percent) * shared.cast("long") >= sim.percent * (F.col("na").cast("long") + F.col("nb"))
 
 
-def _alike(x: Column, y: Column, sim: Similarity) -> Column:
-    """Suffix filter on parities: two sets differ in at least as many shingles as their parities differ in bits.
-
-    A bit differs only where an odd number of shingles of one set alone fall on it. The longer parities are folded; after the
-    length filter one of them is at most twice as long.
-    """
+def _differing(x: Column, y: Column) -> Column:
+    """Bits in which two parities differ. The longer is folded; after the length filter one of them is at most twice as long."""
 
     def folded(a: Column, b: Column) -> Column:
         half = F.size(b)
         return F.when(F.size(a) <= half, a).otherwise(F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q)))
 
     each = F.zip_with(folded(x, y), folded(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    differ = F.aggregate(each, F.lit(0), lambda s, v: s + v)
-    return _enough(F.floor((F.col("na").cast("long") + F.col("nb") - differ) / 2), sim)
+    return F.aggregate(each, F.lit(0), lambda s, v: s + v)
+
+
+def _alike(x: Column, y: Column, sim: Similarity) -> Column:
+    """Suffix filter on parities: two sets differ in at least as many shingles as their parities differ in bits.
+
+    A bit differs only where an odd number of shingles of one set alone fall on it.
+    """
+    return _enough(F.floor((F.col("na").cast("long") + F.col("nb") - _differing(x, y)) / 2), sim)
 
 
 def _close(sim: Similarity) -> Column:
@@ -178,19 +184,19 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select(small.alias("a"), large.alias("b")).distinct()
 
 
-def _pairs(rows: DataFrame, sim: Similarity, apart: bool = False) -> DataFrame:
+def _pairs(rows: DataFrame, sim: Similarity) -> DataFrame:
     """Pairs of documents in a list: the smaller by one of its first shingles, which are fewer for it than for the larger.
 
-    With ``apart``, rows have a component and parities: only pairs of different components whose parities are alike.
+    Where rows have a component, only pairs of different components.
     """
     c = F.col
-    more = ("comp", "bits") if apart else ()
-    a = rows.select("shingle", c("doc").alias("a"), c("n").alias("na"), c("pos").alias("pa"), *[c(m).alias(f"{m}_a") for m in more])
-    b = rows.select("shingle", c("doc").alias("b"), c("n").alias("nb"), c("pos").alias("pb"), *[c(m).alias(f"{m}_b") for m in more])
+    more = [x for x in ("comp",) if x in rows.columns]
+    a = rows.select("shingle", c("doc").alias("a"), c("n").alias("na"), c("pos").alias("pa"), *[c(x).alias("comp_a") for x in more])
+    b = rows.select("shingle", c("doc").alias("b"), c("n").alias("nb"), c("pos").alias("pb"), *[c(x).alias("comp_b") for x in more])
     smaller = (c("na") < c("nb")) | ((c("na") == c("nb")) & (c("a") < c("b")))
     wanted = smaller & (c("pa") * (100 + sim.percent) <= c("na") * (100 - sim.percent)) & _close(sim)
-    if apart:
-        wanted = (c("comp_a") != c("comp_b")) & wanted & _alike(c("bits_a"), c("bits_b"), sim)
+    if more:
+        wanted = (c("comp_a") != c("comp_b")) & wanted
     return _distinct(a.join(b, "shingle").filter(wanted))
 
 
@@ -211,7 +217,7 @@ class Ids:
 
 def _mentioned(ids: DataFrame) -> Ids:
     """A filter of all ids in the columns, sized by their number; a task sets the bits of one part after another."""
-    one = ids.select(F.explode(F.array(*[F.col(x) for x in ids.columns])).alias("id"))
+    one = reduce(DataFrame.union, [ids.select(F.col(x).alias("id")) for x in ids.columns]).distinct()
     low, high = FILTER_BITS
     empty = Ids(min(high, max(low, (16 * one.count()).bit_length())), np.zeros(0, np.uint8))
 
@@ -242,24 +248,44 @@ def _mentioned(ids: DataFrame) -> Ids:
     return Ids(empty.bits, found)
 
 
-def _only(rows: DataFrame, ids: Ids) -> DataFrame:
-    """The rows whose ``doc_id`` the filter holds, so that the others needn't be shuffled."""
+def _only(rows: DataFrame, ids: Ids, inside: bool = True) -> DataFrame:
+    """The rows whose ``doc_id`` the filter holds, so that the others needn't be shuffled; or else those others."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(ids(batch.column("_place"))).drop_columns(["_place"])
+            held = ids(batch.column("_place"))
+            yield batch.filter(held if inside else pc.invert(held)).drop_columns(["_place"])
 
     return rows.select("*", ids.place("doc_id")).mapInArrow(work, rows.schema)
 
 
+def _both(pairs: DataFrame, known: DataFrame, left: dict[str, str], right: dict[str, str]) -> DataFrame:
+    """The pairs with columns of ``known`` for ``a`` and for ``b``, named as given.
+
+    Merge joins, so that both read one shuffle of ``known``: as the larger side of a broadcast it would be made twice.
+    """
+    for end, names in (("a", left), ("b", right)):
+        side = known.select(F.col("doc_id").alias(end), *[F.col(x).alias(y) for x, y in names.items()])
+        pairs = pairs.join(side.hint("merge"), end)
+    return pairs
+
+
 def _filtered(pairs: DataFrame, sets: DataFrame, sim: Similarity) -> DataFrame:
-    """The pairs whose parities are alike."""
+    """The pairs whose parities are alike, and the least share ``far`` of both sets' shingles in which they differ."""
     c = F.col
     pairs = stored(pairs, "candidates")
     sets = _only(sets, _mentioned(pairs))
-    one = pairs.join(sets.select(c("doc_id").alias("a"), c("n").alias("na"), c("bits").alias("x")), "a")
-    two = one.join(sets.select(c("doc_id").alias("b"), c("n").alias("nb"), c("bits").alias("y")), "b")
-    return two.filter(_alike(c("x"), c("y"), sim)).select("a", "b").distinct()
+    two = _both(pairs, sets, {"n": "na", "bits": "x"}, {"n": "nb", "bits": "y"}).filter(_alike(c("x"), c("y"), sim))
+    far = _differing(c("x"), c("y")) / (c("na").cast("long") + c("nb"))
+    return two.groupBy("a", "b").agg(F.min(far).alias("far"))
+
+
+def _nearest(pairs: DataFrame, most: int) -> DataFrame:
+    """Of the pairs of each document, the ``most`` least ``far``."""
+    c = F.col
+    ends = pairs.select(c("a").alias("doc"), "a", "b", "far").union(pairs.select(c("b").alias("doc"), "a", "b", "far"))
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("far", F.xxhash64("a", "b"), "a", "b"))
+    return ends.withColumn("nth", nth).filter(c("nth") <= most).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
@@ -274,8 +300,7 @@ def verified(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "set"])
 
     known = texts.select("*", ids.place("doc_id")).mapInArrow(sets, "doc_id long, set array<long>")
-    one = pairs.join(known.select(F.col("doc_id").alias("a"), F.col("set").alias("x")), "a")
-    two = one.join(known.select(F.col("doc_id").alias("b"), F.col("set").alias("y")), "b")
+    two = _both(pairs, known, {"set": "x"}, {"set": "y"})
     # in the JVM, pair by pair: an Arrow batch of many pairs of long sets could be of any size
     shared, sizes = F.size(F.array_intersect("x", "y")).cast("long"), F.size("x").cast("long") + F.size("y")
     return two.filter((100 + sim.percent) * shared >= sim.percent * sizes).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -308,10 +333,10 @@ def groups(docs: DataFrame, sim: Similarity = Similarity()) -> DataFrame:
     return named.select("doc_id", F.col("n").cast("long").alias("n_shingles"), smallest.cast("long").alias("component_id"))
 
 
-def _to_heads(rows: DataFrame, sim: Similarity, tests: int) -> DataFrame:
-    """Pairs of a document and a head of one of its lists, ``tests`` for each document; a list's head is any of its documents."""
+def _to_heads(rows: DataFrame, sim: Similarity, tests: int, turn: int) -> DataFrame:
+    """Pairs of a document and a head of one of its lists, ``tests`` for each document; a list's head is any of its documents, another each turn."""
     c = F.col
-    draw = F.xxhash64("doc", "shingle")
+    draw = F.xxhash64("doc", "shingle", F.lit(turn))
     picks = [F.min(F.struct(draw.alias("draw"), "doc", "n", "pos")).alias("head")]
     if "comp" in rows.columns:
         picks.append(F.min_by("comp", F.struct(draw, "doc")).alias("other"))
@@ -327,33 +352,40 @@ def _to_heads(rows: DataFrame, sim: Similarity, tests: int) -> DataFrame:
     return _distinct(own.withColumn("nth", nth).filter(c("nth") <= tests))
 
 
+def _representatives(worded: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ids that a class is named after. Only ids that may be copies are looked up: the other rows needn't be shuffled."""
+    c = F.col
+    copies = worded.select("doc_id", "signature").join(classes, "signature").filter("doc_id != class").select("doc_id")
+    maybe = _mentioned(stored(copies, "copies"))
+    rows = worded.select("doc_id", "n", "prefix")
+    named = _only(rows, maybe).join(classes.select(c("class").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    return _only(rows, maybe, inside=False).union(named)
+
+
 def _links(worded: DataFrame, classes: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
     """Enough verified links between classes to connect all that any links connect."""
     c = F.col
     spark = worded.sparkSession
-    first = worded.join(classes.select(c("class").alias("doc_id")), "doc_id", "left_semi")
+    first = _representatives(worded, classes)
     rows = first.select(c("doc_id").alias("doc"), "n", F.posexplode("prefix").alias("pos", "shingle"))
     rows = stored(rows.withColumn("k", F.count("*").over(Window.partitionBy("shingle"))).filter("k > 1"), "postings")
     sets = worded.select("doc_id", "n", "bits")
-    pairs = _pairs(rows.filter(c("k") <= SHORT), sim).union(_to_heads(rows.filter(c("k") > SHORT), sim, TESTS[0])).distinct()
-    tried = stored(_filtered(pairs, sets, sim), "pairs")
+    long = rows.filter(c("k") > SHORT)
+    pairs = _pairs(rows.filter(c("k") <= SHORT).drop("k"), sim).union(_to_heads(long, sim, TESTS[0], 0)).distinct()
+    tried = stored(_filtered(pairs, sets, sim).select("a", "b"), "pairs")
     links = stored(verified(tried, texts, sim), "verified")
-    for tests in (*TESTS[1:], None):
+    last = len(TESTS) + 1
+    for turn in range(1, last + 1):
         found = stored(components(spark, links), "components")
-        named = rows.filter(c("k") > SHORT).join(found, c("doc") == c("node"), "left").withColumn("comp", F.coalesce("component", "doc"))
+        named = long.join(found, c("doc") == c("node"), "left").withColumn("comp", F.coalesce("component", "doc"))
         mixed = named.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("shingle")
         open_ = stored(named.join(mixed, "shingle").select("shingle", "doc", "n", "pos", "comp"), "open")
         if open_.isEmpty():
             break
-        if tests:
-            pairs = _filtered(_to_heads(open_, sim, tests), sets, sim)
-        else:
-            # all parities of an id with several texts: a posting meets those of its size, its own among them
-            own = _only(sets, _mentioned(open_.select("doc").distinct())).select(c("doc_id").alias("doc"), "n", "bits")
-            own = own.groupBy("doc", "n").agg(F.collect_set("bits").alias("all")).select("doc", "n", F.explode("all").alias("bits"))
-            pairs = _pairs(open_.join(own, ["doc", "n"]), sim, apart=True)
+        pairs = _to_heads(open_, sim, TESTS[turn], turn) if turn < len(TESTS) else _pairs(open_, sim)
         # a pair that was refused before isn't verified again
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        pairs = _filtered(pairs.join(tried, ["a", "b"], "left_anti"), sets, sim)
+        pairs = stored(pairs.select("a", "b") if turn in (last, *range(len(TESTS))) else _nearest(pairs, NEAREST), "pairs")
         links = stored(links.union(verified(pairs, texts, sim)), "verified")
         tried = tried.union(pairs)
     return links

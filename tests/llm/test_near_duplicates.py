@@ -183,3 +183,31 @@ def test_a_task_works_on_little_text_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 << 20  # slices of 2 MB take more than twice as much
+
+
+def test_a_large_group_of_near_copies_is_joined_by_few_pairs(spark, monkeypatch):
+    """Copies with three edits are similar to those with none or one, which are few, and nearly so to the many with two."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(154)]
+
+    def copy(edits):
+        words = list(base)
+        for place in rng.sample(range(5, 149, 6), edits):
+            words[place] = f"e{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    texts = [copy(n) for n in [0, 1, 1, 1, *[2] * 60, *[3] * 100]]
+    rows = list(zip(rng.sample(range(1000), len(texts)), texts))
+    tested, verified = [], near.verified
+    monkeypatch.setattr(near, "verified", lambda pairs, *a: (tested.append(pairs.count()), verified(pairs, *a))[1])
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(4)
+    assert {r.component_id for r in near.groups(docs).collect()} == {min(i for i, _ in rows)}
+    assert sum(tested) < 10 * len(rows)
+
+
+def test_rows_of_representatives_are_found_without_a_shuffle_of_the_others(spark):
+    rows = [(i, bytes([i % 200]), [i]) for i in range(400)] + [(3, b"other", [7]), (5, bytes([3]), [8])]
+    worded = spark.createDataFrame(rows, "doc_id long, signature binary, prefix array<long>").withColumn("n", F.lit(1))
+    classes = worded.groupBy("signature").agg(F.min("doc_id").alias("class"))
+    got = sorted(tuple(r) for r in near._representatives(worded, classes).select("doc_id", "prefix").collect())
+    assert got == sorted((i, p) for i, _, p in rows if i < 200)
