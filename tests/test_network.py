@@ -125,6 +125,20 @@ def test_measured_losses_and_auc(spark, parts):
     assert best[4] == pytest.approx(exact, abs=0.01)
 
 
+@pytest.mark.parametrize("p", [
+    nw.MlpParams(layers=3, units=6, activation="tanh"),
+    nw.MlpParams(layers=2, units=6),
+    nw.MlpParams(layers=1, units=6, batch_norm=False),
+    nw.MlpParams(layers=0),
+])
+def test_logits_in_pieces(p, monkeypatch):
+    monkeypatch.setattr(nw, "PIECE", 16)
+    rng = np.random.default_rng(4)
+    x, flat = rng.normal(size=(53, 5)), nw.initial(p, 5) + rng.random(len(nw.initial(p, 5)))
+    net = nw.view(p, 5, flat)
+    assert nw.logits(p, net, x) == pytest.approx(nw.forward(p, net, x)[0], abs=1e-12)
+
+
 def test_search_keeps_the_best_trial(parts):
     base = nw.MlpParams(epochs=2, patience=1, replicas=2)
     model, trials = nw.mlp_random_search(*parts, n_trials=3, seed=5, base=base)
