@@ -132,6 +132,50 @@ def test_many_blocks_give_the_same_trees(houses, p, monkeypatch):
     assert scores == pytest.approx(fg.fold_scores(houses, [p], 2), abs=1e-9)
 
 
+@pytest.mark.parametrize("p", [PARAMS[0], PARAMS[3], PARAMS[5]])
+def test_blocks_beyond_the_limit_are_grown_by_passes(houses, p, monkeypatch):
+    p = fg.replace(p, out_of_bag=p.bootstrap)
+    one, score = fg.grow_forest(houses, p), fg.fold_scores(houses, [p], 2)
+    monkeypatch.setattr(fg, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(fg, "WHOLE_BYTES", 1000)
+    many = fg.grow_forest(houses, p)
+    features = np.array([r.features.toArray() for r in houses.collect()])
+    assert many.predict(features) == pytest.approx(one.predict(features), abs=1e-8)
+    assert many.n_leaves() == one.n_leaves() and many.out_of_bag_r2 == pytest.approx(one.out_of_bag_r2, abs=1e-9)
+    assert fg.fold_scores(houses, [p], 2) == pytest.approx(score, abs=1e-9)
+
+
+def test_a_search_over_several_blocks_takes_no_job_a_level(spark, houses, monkeypatch):
+    monkeypatch.setattr(fg, "BLOCK_ROWS", 50)
+    sc = spark.sparkContext
+    sc.setJobGroup("blocks", "")
+    try:
+        scores = fg.fold_scores(houses, [fg.ForestParams(trees=2), fg.ForestParams(trees=2, leaves=9)], 3)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert all(0 < s < 1 for s in scores) and len(sc.statusTracker().getJobIdsForGroup("blocks")) < 30
+
+
+@pytest.mark.parametrize("p", PARAMS)
+def test_nodes_one_by_one_and_together(houses, p, monkeypatch):
+    bins, block = one_block(houses)
+    together = fg.grow_here(block, p, [0, 1], 0, bins.label)
+    monkeypatch.setattr(fg, "NODE_ROWS", 20)
+    one = fg.grow_here(block, p, [0, 1], 0, bins.label)
+    few = np.flatnonzero(block.keys % 2)
+    for t in (0, 1):
+        want = together.value[together.route(block.bins, t)]
+        assert one.value[one.route(block.bins, t)] == pytest.approx(want, abs=1e-12)
+        assert (one.route(block.bins, t, few) == one.route(block.bins, t)[few]).all()
+
+
+def test_counts_are_poisson_draws():
+    keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 300_000)
+    block = fg.Block(keys, np.zeros((len(keys), 1), np.uint8), np.zeros(len(keys)), np.zeros(len(keys), np.int8))
+    found = np.bincount(block.weights(fg.ForestParams(seed=3), 5, fg.ALL).astype(int), minlength=5)[:5] / len(keys)
+    assert found == pytest.approx(np.exp(-1) / np.array([1, 1, 2, 6, 24]), abs=0.004)
+
+
 def test_out_of_bag_score(houses):
     p = fg.ForestParams(trees=30, depth=6, out_of_bag=True)
     model = fg.grow_forest(houses, p)
