@@ -107,23 +107,21 @@ def test_penalised_intercept(data):
     assert m.transform(df).orderBy("id").toPandas()["p"].to_numpy() == pytest.approx(p)
 
 
-def test_penalised_intercept_takes_few_passes(spark):
-    """Columns that almost say the same: quasi-Newton steps are many there and end away from the optimum."""
-    rng = np.random.default_rng(2)
-    a = rng.normal(size=400)
-    x = np.column_stack([a, a + rng.normal(size=400) / 50, a > 0, a <= 0]).astype(float)
-    y = (rng.random(400) < 1 / (1 + np.exp(-a))).astype(int)
-    df = assemble(spark.createDataFrame([(i, int(y[i]), *map(float, x[i])) for i in range(400)], "id bigint, label int, a double, b double, c double, d double"), list("abcd"))
-    sc = spark.sparkContext
-    sc.setJobGroup("penalised", "")
-    try:
-        m = cl.logistic_penalised(df.persist(), 5.0)
-    finally:
-        sc.setLocalProperty("spark.jobGroup.id", None)
-    theta, z = np.array([m.intercept, *m.weights]), np.column_stack([np.ones(400), x])
-    assert theta + 5 * z.T @ (1 / (1 + np.exp(-(z @ theta))) - y) == pytest.approx(np.zeros(5), abs=1e-6)
-    assert len(sc.statusTracker().getJobIdsForGroup("penalised")) <= 25
-    df.unpersist()
+def test_penalised_rows_are_made_once(spark, data):
+    df, *_ = data
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(value):
+        seen.add(1)
+        return value
+
+    rows = df.persist()
+    m = cl.logistic_penalised(rows.withColumn("label", counted("label")), 0.7)
+    assert seen.value == rows.count()
+    want = cl.logistic_penalised(rows, 0.7)
+    assert [m.intercept, *m.weights] == pytest.approx([want.intercept, *want.weights], rel=1e-9)
+    rows.unpersist()
 
 
 def test_path_keeps_the_smallest_loss(data):
